@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filters
+from . import quality_rules, secret_scans, url_filters, warc
 
 MODULES = {
     "op2_url_filters": url_filters,
+    "op5_secret_scans": secret_scans,
+    "op7_warc": warc,
     "op10_quality_rules": quality_rules,
 }
 
