@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scans, url_filters, warc
+from . import decontamination, quality_rules, secret_scans, token_counts, url_filters, warc
 
 MODULES = {
     "op2_url_filters": url_filters,
+    "op4_token_counts": token_counts,
     "op5_secret_scans": secret_scans,
+    "op6_decontamination": decontamination,
     "op7_warc": warc,
     "op10_quality_rules": quality_rules,
 }
