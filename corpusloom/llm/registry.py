@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_rules, secret_scans, token_counts, url_filters, warc
+from . import decontamination, ngram_join, quality_rules, secret_scans, token_counts, url_filters, warc
 
 MODULES = {
+    "op1_ngram_join": ngram_join,
     "op2_url_filters": url_filters,
     "op4_token_counts": token_counts,
     "op5_secret_scans": secret_scans,

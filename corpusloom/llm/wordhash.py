@@ -82,14 +82,14 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     g = h[:n] * _STEP[0]
     for j in range(1, k):
         g += h[j : j + n] * _STEP[j]
-    return mix(g ^ _U(k * 0x632BE59BD9B4E019 & _M64))
+    return mix(g ^ _U(int(k) * 0x632BE59BD9B4E019 & _M64))
 
 
 def grams_at(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     g = h[at] * _STEP[0]
     for j in range(1, k):
         g += h[at + j] * _STEP[j]
-    return mix(g ^ _U(k * 0x632BE59BD9B4E019 & _M64))
+    return mix(g ^ _U(int(k) * 0x632BE59BD9B4E019 & _M64))
 
 
 def byte_slices(column: pa.Array, limit: int = SLICE_BYTES):
