@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, ngram_join, quality_rules, secret_scans, token_counts, url_filters, warc
+from . import decontamination, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts, url_filters, warc
 
 MODULES = {
     "op1_ngram_join": ngram_join,
@@ -11,6 +11,7 @@ MODULES = {
     "op5_secret_scans": secret_scans,
     "op6_decontamination": decontamination,
     "op7_warc": warc,
+    "op8_quality_classifier": quality_classifier,
     "op10_quality_rules": quality_rules,
 }
 

@@ -97,3 +97,26 @@ def byte_slices(column: pa.Array, limit: int = SLICE_BYTES):
     texts = [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
     for i, j in slices([len(t) for t in texts], limit):
         yield i, texts[i:j]
+
+
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[97:123] = 97
+_SHAPE[65:91] = 65
+_SHAPE[48:58] = 57
+_SHAPE[128:] = 97
+
+
+def word_shapes(texts: list[bytes], in_word: np.ndarray) -> np.ndarray:
+    """Hash of every word's shape: letters as a or A, digits as 9, signs as they are, each run of one of them once."""
+    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    inside = in_word[buf]
+    edge = np.diff(np.r_[False, inside].view(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    shape = _SHAPE[buf]
+    keep = inside & (np.r_[True, shape[1:] != shape[:-1]] | (edge == 1))
+    place = np.r_[0, np.cumsum(keep)]
+    shape = shape[keep].astype(np.uint64) + _U(1)
+    up, down = _power_tables(len(buf) + 1)
+    total = np.r_[_U(0), np.cumsum(shape * up[: len(shape)])]
+    starts, ends = place[starts], place[ends]
+    return mix((total[ends] - total[starts]) * down[starts])
