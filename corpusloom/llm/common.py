@@ -52,6 +52,12 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns that an operator's results would clash with, whatever their case."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
 def slices(sizes, limit: int):
     """Consecutive index ranges whose sizes add up to at most ``limit`` (a single larger item stands alone)."""
     start = total = 0

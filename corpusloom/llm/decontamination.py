@@ -192,6 +192,22 @@ def hit_words(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a window of the benchmark: one pass for each block, no join."""
+    for windows in _blocks(benchmark, item, item_text, block_bytes):
+        docs = _clean(docs, text, docs.sparkSession.sparkContext.broadcast(windows))
+    return docs
+
+
+def _clean(docs: DataFrame, text: str, sent) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(b.schema.get_field_index(text))
+            yield b.filter(pa.array([not hits for _, texts in byte_slices(column) for _, hits, _ in _marks(sent.value, texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     out = found.select(

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free_name, table, written
 from .components import components
 from .wordhash import SPACED, byte_slices, grams, hash_words, mix
 
@@ -300,8 +300,9 @@ def _named(signed: DataFrame, known: DataFrame, second: DataFrame, key: str, kin
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that are not the first of their component; rows without a key stay."""
     found = ngram_join(docs, key=key, text=text)
-    gone = found.where(f"`{key}` <> component_id").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = free_name(docs, "_gone")
+    copies = found.where(f"`{key}` <> component_id").select(F.col(key).alias(gone)).distinct()
+    return docs.join(copies, docs[key] == F.col(gone), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, without
 from .wordhash import SPACED, byte_slices, hash_words, word_shapes
 
 #: Most labelled rows of one class that are used; two classes.
@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` plus ``out``: no shuffle, and a broadcast of at most 2 * SAMPLE vectors."""
+    """``docs`` plus ``out`` (replacing one of this name): no shuffle, and a broadcast of at most 2 * SAMPLE vectors."""
+    docs = without(docs, out)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 

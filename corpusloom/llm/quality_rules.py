@@ -5,7 +5,7 @@ cost: the first rule that rejects a row ends its cascade. The order changes the
 sample decides nothing else.
 
 Defined results: a null or empty text has no words and fails the base rules. Counts are taken over the whole text.
-Repeated rows give repeated results; other columns of the input are left alone.
+Repeated rows give repeated results. Columns of the input are kept but for those with the names of results.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words_of
+from .common import table, without, words_of
 
 #: Rows of the sample on which the cascade's order is estimated; at this many the order is settled well enough.
 SAMPLE_ROWS = 500
@@ -81,6 +81,7 @@ def _repeats(w: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (all long)."""
+    docs = without(docs, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "_w", "_l")
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.transform(
         F.array(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))),
@@ -117,7 +118,7 @@ def apply_rules(measured: DataFrame, order: list[Rule]) -> DataFrame:
     chain = F.when(F.col("base_failed"), F.lit("base"))
     for rule in order:
         chain = chain.when(F.coalesce(F.expr(rule.rejects), F.lit(False)), F.lit(rule.name))
-    out = measured.withColumn("base_failed", F.coalesce(base_failed(), F.lit(True)))
+    out = without(measured, "base_failed", "failed_rule", "kept").withColumn("base_failed", F.coalesce(base_failed(), F.lit(True)))
     out = out.withColumn("failed_rule", chain)
     return out.withColumn("kept", F.col("failed_rule").isNull())
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontamination, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts, url_filters, warc
+from . import decontamination, html_extraction, mixing, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts, url_filters, warc
 
 MODULES = {
     "op1_ngram_join": ngram_join,
     "op2_url_filters": url_filters,
+    "op3_html_extraction": html_extraction,
     "op4_token_counts": token_counts,
     "op5_secret_scans": secret_scans,
     "op6_decontamination": decontamination,
     "op7_warc": warc,
     "op8_quality_classifier": quality_classifier,
+    "op9_mixing": mixing,
     "op10_quality_rules": quality_rules,
 }
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table, written
+from .common import free_name, table, written
 
 #: (kind, pattern, group that holds the value, least length of that group), in the order in which kinds are listed.
 KINDS = (
@@ -77,7 +77,7 @@ def scan(docs: DataFrame, *, text: str = "text", owner: str = "source", reposito
 
 def ownership(hits: DataFrame) -> DataFrame:
     """value, n_owners, n_repositories: distinct pairs first, so a value that a third of all rows hold is combined early."""
-    pairs = hits.where("value is not null").groupBy("value", "owner").agg(F.approx_count_distinct("repository", 0.05).alias("n"))
+    pairs = hits.where("value is not null").select("value", "owner", "repository").distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
     return pairs.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
@@ -106,25 +106,25 @@ def digest(spans: Column) -> Column:
 def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", repository: str = "doc_id", live_owners: int = LIVE_OWNERS) -> DataFrame:
     """``docs`` with every span replaced by ``[kind]``; overlapping spans become one, named by the first.
 
-    A repository is one document here, so spans meet their text by (repository, text hash); rows that repeat both hold
-    the same spans.
+    A repository is one document here: spans meet their text by its key, which rows with different spans may not share.
+    Rows without a key keep their text.
     """
     found = find_secrets(docs, text=text, owner=owner, repository=repository, live_owners=live_owners).where(F.size("spans") > 0)
     found = found.groupBy("repository").agg(F.min_by("spans", F.size("spans")).alias("_spans"), F.count_distinct("spans").alias("_ways"))
     if found.where("_ways > 1").limit(1).count():
         raise ValueError(f"{repository} is not unique: its rows hold different texts")
-    t = F.col(text)
+    t, other, spans = F.col(text), free_name(docs, "_repository"), free_name(docs, "_spans")
     piece = lambda a, b: F.substring(t, a + 1, b - a)
     joined = F.aggregate(
-        F.col("_spans"),
+        F.col(spans),
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("at"), F.concat(a["out"], piece(a["at"], s["start"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))
         ),
         lambda a: F.concat(a["out"], piece(a["at"], F.char_length(t).cast("long"))),
     )
-    out = docs.join(found.select(F.col("repository").alias("_repository"), "_spans"), F.col(repository) == F.col("_repository"), "left")
-    return out.withColumn(text, F.when(F.col("_spans").isNotNull(), joined).otherwise(t)).select(*docs.columns)
+    out = docs.join(found.select(F.col("repository").alias(other), F.col("_spans").alias(spans)), docs[repository] == F.col(other), "left")
+    return out.withColumn(text, F.when(F.col(spans).isNotNull(), joined).otherwise(t)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, table, without
 
 #: (verdict, host, path) of the contract's rules.
 RULES = (
@@ -49,7 +49,8 @@ def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default_verdict: str = "allow") -> DataFrame:
-    """``pages`` plus url_host, url_path, url_rule, url_verdict, n_rules (rules that fit)."""
+    """``pages`` plus url_host, url_path, url_rule, url_verdict, n_rules (rules that fit); columns of these names are replaced."""
+    pages = without(pages, "url_host", "url_path", "url_rule", "url_verdict", "n_rules", "_u_host", "_u_path")
     row = free_name(pages, "_row")
     made = rules.select("verdict", "host", "path").where("host is not null and path is not null and verdict is not null")
     made = made.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # 'block' > 'allow': a contradiction blocks
