@@ -10,10 +10,14 @@ sizes a, b differ in at most D = (a + b) // 7 members. Each set is XOR-hashed tw
 * into a bit sketch of 2n bits or more, whose Hamming distance is a lower bound of the symmetric difference, and which
   folds to any smaller power of two. It rejects most candidates before the exact check.
 
-Candidates share an emitted word. First every document is checked against one document of its groups (the first in the
-group: linear in the group's size), and components are formed. Only groups that still hold two components are compared
-in full, across components, in blocks of bounded size; groups of copies are one component by then. Checks recompute
-the sets of the candidates' whole texts and are exact.
+Candidates share an emitted word. Every word's group is represented by its first document, its centre, so a group costs
+rows in proportion to its size, and a document meets a centre once, however many words they share. Documents of one
+group have the same centre, so all candidates lie within the clusters of a centre. First every document is checked
+against the centre with which it shares most words, and components are formed. Then clusters that still hold several
+components are compared by their sketches, in blocks of bounded size, twice: the first time each block returns a
+spanning forest of its likely links, the second time, when these have been checked and components merged, all that are
+left between components. Copies are one component by then and are not compared. Checks recompute the sets of the
+candidates' whole texts and are exact.
 
 Defined results: null texts and texts without words have an empty set (n_shingles 0), link with nothing and are their
 own component. Copies within a task emit words once; equal sets are linked through their digest. Rows with one doc_id
@@ -37,7 +41,7 @@ from .wordhash import SPACED, byte_slices, grams, hash_words, mix
 SHINGLE = 5
 #: Sets under this size emit single members; from here on bands [4^j, 4^(j+1)) have m = 4^(j+1) / LOAD words.
 SMALL, LOAD = 256, 1.8
-#: Members of a group that are compared in one block, and ids of candidates that are broadcast at most.
+#: Members of a cluster that are compared in one block, and ids of candidates that are broadcast at most.
 BLOCK, BROADCAST_IDS = 1000, 1_000_000
 
 
@@ -174,44 +178,84 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep)) for k in ("a", "b", "shared")], names=["a", "b", "shared"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within each run of (word, i, j), by size and sketch; a run is of bounded size."""
-    table, run = [], None
-    for b in batches:
-        cols = [b.column(k).to_pylist() for k in ("word", "i", "j", "side", "id", "component", "n", "sketch")]
-        for row in zip(*cols, strict=True):
-            if row[:3] != run:
-                if len(table) > 1:
-                    yield from _block(run, table)
-                table, run = [], row[:3]
-            table.append(row[3:])
-    if len(table) > 1:
-        yield from _block(run, table)
-
-
-def _block(run, members: list) -> Iterator[pa.RecordBatch]:
+def _across(forest: bool):
+    """Likely links between components within each run of (centre, i, j); of a forest only those that join components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, now = [], None
+        for b in batches:
+            found = []
+            cols = [b.column(k).to_pylist() for k in ("centre", "i", "j", "side", "id", "component", "n", "sketch")]
+            for row in zip(*cols, strict=True):
+                if row[:3] != now:
+                    if len(members) > 1:
+                        found.append(_likely(now[1] != now[2], members, forest))
+                    members, now = [], row[:3]
+                members.append(row[3:])
+            yield _pairs(found)
+        if len(members) > 1:
+            yield _pairs([_likely(now[1] != now[2], members, forest)])
+
+    return run
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+    return _rows(pairs[:, 0].copy(), pairs[:, 1].copy(), names=("a", "b"))
+
+
+def _likely(two_sides: bool, members: list, forest: bool) -> np.ndarray:
+    """Pairs (larger id, smaller id) of different components whose sizes and sketches allow a similarity of 3/4."""
+    members.sort(key=lambda m: m[3])
     side, ids, comp, n = (np.array([m[k] for m in members], np.int64) for k in range(4))
-    order = np.argsort(n, kind="stable")
-    sketches: list[np.ndarray] = [np.frombuffer(members[k][4], np.uint8) for k in order]
-    side, ids, comp, n = side[order], ids[order], comp[order], n[order]
-    stacked: dict[tuple[int, int], np.ndarray] = {}
-    found = []
-    for p in range(len(ids)):
-        end = np.searchsorted(n, 4 * n[p] // 3, side="right")  # partners of at least this size, largest last
-        q = np.arange(p + 1, end)
-        q = q[comp[q] != comp[p]]
-        if run[1] != run[2]:
-            q = q[side[q] != side[p]]
-        if not len(q):
-            continue
-        size = len(sketches[p])
-        big = np.stack([folded(sketches[k], size) for k in q])
-        far = np.bitwise_count(big ^ sketches[p]).sum(axis=1, dtype=np.int64)
-        q = q[far <= (n[p] + n[q]) // 7]
-        found += [(max(ids[p], ids[k]), min(ids[p], ids[k])) for k in q]
-    if found:
-        pairs = np.unique(np.array(found, np.int64), axis=0)
-        yield _rows(pairs[:, 0].copy(), pairs[:, 1].copy(), names=("a", "b"))
+    sizes = np.array([len(m[4]) for m in members])
+    ends = np.searchsorted(n, 4 * n // 3, side="right")
+    left, right, far = [], [], []
+    for size in np.unique(sizes):  # sketches grow with n: those of this size are neighbours, and partners have it or twice it
+        own = np.flatnonzero(sizes == size)
+        top = ends[own[-1]]
+        rows = np.stack([folded(np.frombuffer(m[4], np.uint8), size) for m in members[own[0] : top]]).view(np.uint64)
+        for p in own:
+            q = np.arange(p + 1, ends[p])
+            q = q[comp[q] != comp[p]]
+            if two_sides:
+                q = q[side[q] != side[p]]
+            if not len(q):
+                continue
+            d = np.bitwise_count(rows[q - own[0]] ^ rows[p - own[0]]).sum(axis=1, dtype=np.int64)
+            near = d <= (n[p] + n[q]) // 7
+            if near.any():
+                q = q[near]
+                left.append(np.full(len(q), p))
+                right.append(q)
+                far.append(d[near] / (n[p] + n[q]))
+        if forest and left and sum(map(len, left)) > BLOCK:  # keeps what is held in proportion to the block
+            left, right, far = ([x] for x in _spanning(comp, *map(np.concatenate, (left, right, far))))
+    if not left:
+        return np.zeros((0, 2), np.int64)
+    left, right, far = map(np.concatenate, (left, right, far))
+    if forest:
+        left, right, far = _spanning(comp, left, right, far)
+    return np.stack([np.maximum(ids[left], ids[right]), np.minimum(ids[left], ids[right])], axis=1)
+
+
+def _spanning(comp: np.ndarray, left: np.ndarray, right: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that a minimum spanning forest of the components keeps, nearest first."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    order = np.argsort(far, kind="stable")
+    kept = []
+    for k, a, b in zip(order.tolist(), comp[left[order]].tolist(), comp[right[order]].tolist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return left[kept], right[kept], far[kept]
 
 
 def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -262,39 +306,45 @@ def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
     signed = written(signatures(docs, "_id", "_text", size), "signatures")
     marks = signed.select("id", "n", "sketch").where("id is not null and n > 0")
     words = signed.where("id is not null").select(F.explode("words").alias("word"), "id").repartition("word").sortWithinPartitions("word", "id")
-    groups = written(words.mapInArrow(_groups, "word bigint, id bigint, first bigint"), "groups")
+    groups = words.mapInArrow(_groups, "word bigint, id bigint, first bigint").where("id <> first")
+    stars = written(groups.groupBy(F.col("id").alias("a"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "stars")
 
     equal = signed.where("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest", "b")
     equal = signed.where("id is not null and n > 0").select("digest", F.col("id").alias("a")).join(equal, "digest").where("a <> b").select("a", "b")
 
-    # One check per document: of the first documents of its groups, the one with which it shares most words.
-    stars = groups.where("id <> first").groupBy(F.col("id").alias("a"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    stars = _with_sketches(stars, marks).mapInArrow(_near, "a bigint, b bigint, shared bigint")
-    one = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    near = _with_sketches(stars, marks).mapInArrow(_near, "a bigint, b bigint, shared bigint")
+    one = near.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     links = written(verified(docs, "_id", "_text", one, size).unionByName(equal), "linked")
     known = components(links)
-
-    # What is left: groups that still hold several components, compared across these in blocks.
-    named = groups.select("word", "id").join(known.withColumnRenamed("node", "id"), "id", "left").select("word", "id", F.coalesce("component", "id").alias("component"))
-    open_ = named.groupBy("word").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
-    open_ = named.join(open_.select("word", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "word").distinct()
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    open_ = open_.select("word", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    open_ = open_.select("word", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    ready = open_.join(marks, "id").repartition("word", "i", "j").sortWithinPartitions("word", "i", "j")
-    rest = ready.select("word", "i", "j", "side", "id", "component", "n", "sketch").mapInArrow(_across, "a bigint, b bigint").distinct()
-    more = written(verified(docs, "_id", "_text", rest, size), "linked")
-
-    label = known.unionByName(known.select(F.col("component").alias("node"), "component").distinct())
-    lifted = more.join(label.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    second = components(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    return _named(signed, known, second, key, kind)
-
-
-def _named(signed: DataFrame, known: DataFrame, second: DataFrame, key: str, kind: str) -> DataFrame:
-    out = signed.select("id", "n").join(known.withColumnsRenamed({"node": "id", "component": "c1"}), "id", "left")
-    out = out.withColumn("c1", F.coalesce("c1", "id")).join(second.withColumnsRenamed({"node": "c1", "component": "c2"}), "c1", "left")
-    return out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("c2", "c1").cast(kind).alias("component_id"))
+    for forest in (True, False):
+        rest = _between(stars, marks, known, forest)
+        known = _merged(known, written(verified(docs, "_id", "_text", rest, size), "linked"))
+    out = signed.select("id", "n").join(known, F.col("id") == F.col("node"), "left")
+    return out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
+
+
+def _between(stars: DataFrame, marks: DataFrame, known: DataFrame, forest: bool) -> DataFrame:
+    """Likely links (a, b) between components within the clusters of one centre, in blocks of about BLOCK members."""
+    members = stars.select(F.col("b").alias("centre"), F.col("a").alias("id"))
+    members = members.unionByName(stars.select(F.col("b").alias("centre"), F.col("b").alias("id")).distinct())
+    named = members.join(known.withColumnRenamed("node", "id"), "id", "left").select("centre", "id", F.coalesce("component", "id").alias("component"))
+    sizes = named.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
+    cut = named.join(sizes.select("centre", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "centre")
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = cut.select("centre", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cut = cut.select("centre", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    ready = cut.join(marks, "id").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+    return ready.select("centre", "i", "j", "side", "id", "component", "n", "sketch").mapInArrow(_across(forest), "a bigint, b bigint").distinct()
+
+
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links."""
+    side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    lifted = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = components(lifted)
+    # The nodes of these links are the components so far, none of which is a node of ``known``.
+    moved = known.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return written(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(more), "components")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
