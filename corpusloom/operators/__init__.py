@@ -1 +1 @@
-"""Filled in below."""
+"""Relational operators of the research library, each a function from DataFrames to a DataFrame."""

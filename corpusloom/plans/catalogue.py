@@ -1,15 +1,19 @@
-"""Registered queries of the library's own operators."""
+"""Registered queries of the library's own operators, and their equivalents in ANSI SQL."""
 
 from __future__ import annotations
 
+from ..operators import outcomes, runs
+
+_MODULES = (outcomes, runs)
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return queries()["dead_domains"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: fn for m in _MODULES for name, (fn, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}

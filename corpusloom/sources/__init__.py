@@ -1 +1 @@
-"""Filled in below."""
+"""Readers, sinks and the relational views that the research queries run on."""
