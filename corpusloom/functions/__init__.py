@@ -1 +1 @@
-"""Filled in below."""
+"""Column functions: URLs, text, citations, dates. All stay in the JVM unless they say otherwise."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ..functions import urls
 from ..operators import outcomes, runs
 
-_MODULES = (outcomes, runs)
+_MODULES = (outcomes, runs, urls)
 
 
 def flagship(spark, sf_dir):
