@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions import urls
+from ..functions import text, urls
 from ..operators import outcomes, runs
 
-_MODULES = (outcomes, runs, urls)
+_MODULES = (outcomes, runs, urls, text)
 
 
 def flagship(spark, sf_dir):
