@@ -106,17 +106,22 @@ def is_living_page(url: Column) -> Column:
 
 def source_key(url: Column, author: Column | None = None) -> Column:
     """What counts as one source: a channel, a repository, a forum, an account, else the host."""
-    canon = canonicalize(url)
-    host, segs = domain_of(canon), F.filter(F.split(path_of(canon), "/"), lambda s: s != "")
-    seg = lambda k: F.lower(F.get(segs, F.lit(k)))
-    who = F.lower(F.trim(author)) if author is not None else F.lit("")
-    return (
-        F.when(under(host, VIDEO_HOSTS), F.concat(F.lit("youtube:"), F.when(F.coalesce(who, F.lit("")) != "", who).otherwise(canon)))
-        .when(under(host, REPO_HOSTS) & (F.size(segs) >= 2), F.concat(host, F.lit(":"), seg(0), F.lit("/"), seg(1)))
-        .when(host.endswith("reddit.com") & (F.size(segs) >= 2) & (F.get(segs, F.lit(0)) == "r"), F.concat(F.lit("reddit:r/"), seg(1)))
-        .when((host == "medium.com") & (F.size(segs) >= 1), F.concat(F.lit("medium:"), seg(0)))
-        .otherwise(host)
-    )
+    who = F.coalesce(F.lower(F.trim(author)), F.lit("")) if author is not None else F.lit("")
+
+    def of(canon: Column, host: Column, segs: Column) -> Column:
+        seg = lambda k: F.lower(F.get(segs, F.lit(k)))
+        return (
+            F.when(under(host, VIDEO_HOSTS), F.concat(F.lit("youtube:"), F.when(who != "", who).otherwise(canon)))
+            .when(under(host, REPO_HOSTS) & (F.size(segs) >= 2), F.concat(host, F.lit(":"), seg(0), F.lit("/"), seg(1)))
+            .when(host.endswith("reddit.com") & (F.size(segs) >= 2) & (F.get(segs, F.lit(0)) == "r"), F.concat(F.lit("reddit:r/"), seg(1)))
+            .when((host == "medium.com") & (F.size(segs) >= 1), F.concat(F.lit("medium:"), seg(0)))
+            .otherwise(host)
+        )
+
+    # Bound step by step, so that the long expression of the canonical form stands in the plan once.
+    bind = lambda value, body: F.transform(F.array(value), body)[0]
+    parts = lambda canon: F.filter(F.split(path_of(canon), "/"), lambda s: s != "")
+    return bind(canonicalize(url), lambda c: bind(domain_of(c), lambda h: bind(parts(c), lambda p: of(c, h, p))))
 
 
 def suffixes(host: Column) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ..functions import text, urls
-from ..operators import outcomes, runs
+from ..functions import citations, text, urls
+from ..operators import dedup, outcomes, passages, runs, search, select
+from ..streaming import bench
+from . import depth
 
-_MODULES = (outcomes, runs, urls, text)
+_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth)
 
 
 def flagship(spark, sf_dir):
-    return queries()["dead_domains"](spark, sf_dir)
+    return queries()["rrf_library_search"](spark, sf_dir)
 
 
 def queries() -> dict:

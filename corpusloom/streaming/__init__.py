@@ -1 +1 @@
-"""Filled in below."""
+"""Streams: the engine bench state machine, windows and sessions over event logs."""
