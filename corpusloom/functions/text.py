@@ -187,7 +187,7 @@ _FSTEM = "case " + " ".join(f"when ends_with(t, '{s}') and length(t) - {len(s)}
 _FTOK = f"list_distinct(list_transform(list_filter({_WORDS}, lambda t: length(t) >= 2 and not list_contains({_LIST(FILLER)}, t)), lambda t: {_FSTEM}))"
 _M = lambda e: f"md5(array_to_string(list_sort({e}), ' '))"
 _VOC = f"list_distinct(list_transform({_TOK}, lambda t: {_STEM}))"
-_NORM = r"trim(regexp_replace(regexp_replace(lower(translate(coalesce(text, ''), '‘’“”–—' || chr(160), '''''""-- ')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_NORM = r"trim(regexp_replace(regexp_replace(lower(translate(coalesce(text, ''), '‘’“”–—' || chr(160), '''''' || chr(34) || chr(34) || '-- ')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def _facets(spark, d):

@@ -126,7 +126,7 @@ def _quotes(spark, d):
     return x.select("doc_id", quote_is_verbatim(own, F.col("text")).alias("own"), quote_is_verbatim(F.reverse(own), F.col("text")).alias("reversed"))
 
 
-_NORM = r"trim(regexp_replace(regexp_replace(lower(translate(TEXT, '‘’“”–—' || chr(160), '''''""-- ')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_NORM = r"trim(regexp_replace(regexp_replace(lower(translate(TEXT, '‘’“”–—' || chr(160), '''''' || chr(34) || chr(34) || '-- ')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 _N = lambda t: _NORM.replace("TEXT", t)
 
 
