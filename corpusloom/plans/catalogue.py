@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions import citations, text, urls
-from ..operators import dedup, outcomes, passages, runs, search, select
+from ..functions import citations, coerce, text, urls
+from ..operators import dedup, outcomes, pages, passages, runs, search, select
 from ..streaming import bench
 from . import depth
 
-_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth)
+_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth, coerce, pages)
 
 
 def flagship(spark, sf_dir):
