@@ -18,7 +18,8 @@ def enum(value: Column, allowed, default: str) -> Column:
 
 
 def depth(value: Column) -> Column:
-    return F.coalesce(F.least(F.greatest(value.try_cast("int"), F.lit(1)), F.lit(10)), F.lit(3))
+    v = value.try_cast("int")  # least and greatest skip nulls
+    return F.when(v.isNull(), 3).otherwise(F.least(F.greatest(v, F.lit(1)), F.lit(10)))
 
 
 def id_list(values: Column, most: int = 8) -> Column:
@@ -107,7 +108,7 @@ QUERIES = {
     "coerced_fields": (
         _coerced,
         """select event_id, case when event_type in ('click', 'view') then event_type else 'other' end as action,
-        coalesce(least(greatest(case when event_id % 7 = 0 then null else cast(event_id % 30 - 5 as int) end, 1), 10), 3) as depth,
+        cast(case when event_id % 7 = 0 then 3 else least(greatest(event_id % 30 - 5, 1), 10) end as int) as depth,
         (event_id % 50) || ',' || user_id as ids, event_type || ',x' as names, cast(2 as int) as pairs from events""",
     ),
     "recency_filter": (

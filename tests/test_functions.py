@@ -115,3 +115,40 @@ def test_side_by_side_directions(spark):
     got = {r.key: r.better for r in outcomes.side_by_side(df, "a", "b").collect()}
     assert got["kept"] == "b" and got["failed"] == "a" and got["scored_0_1"] is None
     assert isinstance(df.toPandas(), pd.DataFrame)
+
+
+def test_feeds_rss_and_atom(spark):
+    from corpusloom.operators import pages
+
+    rss = "<rss><item><title><![CDATA[A & b]]></title><link>http://a/1</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate></item><item><title>x</title></item></rss>"
+    atom = '<feed><entry><title>T</title><link rel="alternate" href="http://a/2"/><updated>2024-01-05T00:00:00Z</updated></entry></feed>'
+    got = pages.feed_entries(spark.createDataFrame([(1, rss), (2, atom)], "feed long, body string")).orderBy("feed").collect()
+    assert [(r.title, r.link, str(r.published)) for r in got] == [("A & b", "http://a/1", "2024-01-02"), ("T", "http://a/2", "2024-01-05")]
+
+
+def test_sniffs_and_vocabulary(spark):
+    from corpusloom.operators import pages
+
+    assert one(spark, "Please VERIFY you are human", pages.looks_bot_walled) and not one(spark, "a page", pages.looks_bot_walled)
+    assert one(spark, "x\n| a | b |\n|---|---|\n| 1 | 2 |", pages.has_table) and not one(spark, "a\n|---|---|", pages.has_table)
+    assert one(spark, "# Title\ntext", pages.is_markdown_document) and not one(spark, "text only", pages.is_markdown_document)
+    pool = spark.createDataFrame([("kindles here",), ("other",)], "text string")
+    assert pages.filter_by_vocabulary(pool, ["kindle"], 1).count() == 1 and pages.filter_by_vocabulary(pool, ["kindle"], 2).count() == 2
+
+
+def test_fresh_queries_follow_what_was_accepted(spark):
+    from corpusloom.operators import pages
+
+    rows = [("g", k, q) for k, q in enumerate(["lora range test", "range test lora", "antenna gain", "prior words here", "antenna gain types"])]
+    df = spark.createDataFrame(rows, "group string, pos long, query string")
+    assert pages.fresh_queries(df, ["prior words here"], 5).first().queries == ["lora range test", "antenna gain", "antenna gain types"]
+
+
+def test_coercion(spark):
+    from corpusloom.functions import coerce
+
+    assert [one(spark, v, coerce.depth) for v in ("7", "99", "-1", "x", None)] == [7, 10, 1, 3, 3]
+    assert one(spark, ["[33]", "a", "7"], coerce.id_list, "array<string>") == [33, 7]
+    assert one(spark, "Éa Ünïcode -- test!", coerce.slug) == "ea-unicode-test" and one(spark, "日本", coerce.slug) == "research"
+    assert [one(spark, v, coerce.duration_label, "double") for v in (60.0, 1800.0, 5400.0)] == ["about a minute", "about 30 min", "about 1.5 h"]
+    assert str(one(spark, "Mon, 05 Feb 2024 10:00:00 GMT", coerce.published)) == "2024-02-05" and one(spark, "soon", coerce.published) is None
