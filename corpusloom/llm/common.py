@@ -11,7 +11,17 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows that a reader or an Arrow transfer holds at once. Texts take kilobytes on average and megabytes at most, so the
+#: defaults (4096 and 10000 rows) would allocate tens of megabytes per column and task.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_DEFAULTS = {"4096", "10000"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts; the session's batches become small unless someone chose their size."""
+    for key, rows in BATCHES.items():
+        if spark.conf.get(key, None) in _DEFAULTS:
+            spark.conf.set(key, rows)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +41,23 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """A folder for an operator's intermediate tables, which goes when the operator has written its result."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.path = spark, scratch_path(spark, what)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,14 +32,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b long) that is not the least of its component.
 
     Each round is two grouped minima over the remaining links and ends in a written table; the number of rounds grows
     with the logarithm of the longest path. Batches are contracted in their tasks first.
     """
     edges = links.select("a", "b").where("a <> b").mapInArrow(_forest, "a bigint, b bigint").distinct()
-    edges = written(edges, "links")
+    edges = scratch.written(edges, "links")
     before = None
     while True:
         # Large star: every larger neighbour of a node is tied to the least node around it.
@@ -50,7 +50,7 @@ def components(links: DataFrame) -> DataFrame:
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         mins = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(mins, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionByName(mins.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        edges = scratch.written(small.unionByName(mins.select("a", F.col("m").alias("b"))).distinct(), "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if now == before or now[0] == now[2] and not edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b").limit(1).count():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, written
+from .common import Scratch, free_name, table, written
 from .components import components
 from .wordhash import SPACED, byte_slices, grams, hash_words, mix
 
@@ -42,7 +42,7 @@ SHINGLE = 5
 #: Sets under this size emit single members; from here on bands [4^j, 4^(j+1)) have m = 4^(j+1) / LOAD words.
 SMALL, LOAD = 256, 1.8
 #: Members of a cluster that are compared in one block, and ids of candidates that are broadcast at most.
-BLOCK, BROADCAST_IDS = 1000, 1_000_000
+BLOCK, BROADCAST_IDS = 4000, 1_000_000
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -175,7 +175,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
             size = min(len(x), len(y))
             keep[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum() <= (na[i] + nb[i]) // 7
-        yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep)) for k in ("a", "b", "shared")], names=["a", "b", "shared"])
+        yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep)) for k in ("a", "b")], names=["a", "b"])
 
 
 def _across(forest: bool):
@@ -258,12 +258,12 @@ def _spanning(comp: np.ndarray, left: np.ndarray, right: np.ndarray, far: np.nda
     return left[kept], right[kept], far[kept]
 
 
-def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, scratch: Scratch, size: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose sets have an intersection of at least 3/4 of their union.
 
     Sets are recomputed from whole texts and gathered by b: b's set is held while those of its partners pass by.
     """
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    pairs = scratch.written(pairs.select("a", "b").distinct(), "pairs")
     asked = pairs.select(F.col("b").alias("at"), F.col("a").alias("asked")).unionByName(pairs.select(F.col("b").alias("at"), F.col("b").alias("asked")).distinct())
     if pairs.count() <= BROADCAST_IDS:
         asked = F.broadcast(asked)
@@ -293,34 +293,42 @@ def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, size: int =
     return got.mapInArrow(compare, "a bigint, b bigint")
 
 
-def _with_sketches(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    side = lambda x: marks.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b", "shared", "na", "nb", "sa", "sb")
+def _first_checks(stars: DataFrame, marks: DataFrame) -> DataFrame:
+    """(a, b): for each document the centre of fitting size with which it shares most words, if their sketches are near.
+
+    One pair per document is left before sketches are attached.
+    """
+    n = lambda x: marks.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
+    sketch = lambda x: marks.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
+    fit = stars.join(n("a"), "a").join(n("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    one = fit.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("minus"), "na", "nb")).alias("x")).select("a", (-F.col("x.minus")).alias("b"), "x.na", "x.nb")
+    return one.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a bigint, b bigint")
 
 
 def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """key, n_shingles, component_id per row of ``docs``; a component is what links of similarity 3/4 connect."""
     kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"))
-    signed = written(signatures(docs, "_id", "_text", size), "signatures")
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    signed = scratch.written(signatures(docs, "_id", "_text", size), "signatures")
     marks = signed.select("id", "n", "sketch").where("id is not null and n > 0")
     words = signed.where("id is not null").select(F.explode("words").alias("word"), "id").repartition("word").sortWithinPartitions("word", "id")
     groups = words.mapInArrow(_groups, "word bigint, id bigint, first bigint").where("id <> first")
-    stars = written(groups.groupBy(F.col("id").alias("a"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "stars")
+    stars = scratch.written(groups.groupBy(F.col("id").alias("a"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "stars")
 
     equal = signed.where("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest", "b")
     equal = signed.where("id is not null and n > 0").select("digest", F.col("id").alias("a")).join(equal, "digest").where("a <> b").select("a", "b")
 
-    near = _with_sketches(stars, marks).mapInArrow(_near, "a bigint, b bigint, shared bigint")
-    one = near.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    links = written(verified(docs, "_id", "_text", one, size).unionByName(equal), "linked")
-    known = components(links)
+    links = scratch.written(verified(docs, "_id", "_text", _first_checks(stars, marks), scratch, size).unionByName(equal), "linked")
+    known = components(links, scratch)
     for forest in (True, False):
         rest = _between(stars, marks, known, forest)
-        known = _merged(known, written(verified(docs, "_id", "_text", rest, size), "linked"))
+        known = _merged(known, scratch.written(verified(docs, "_id", "_text", rest, scratch, size), "linked"), scratch)
     out = signed.select("id", "n").join(known, F.col("id") == F.col("node"), "left")
-    return out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
+    out = out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
+    out = written(out, "ngram-components")
+    scratch.drop()
+    return out
 
 
 def _between(stars: DataFrame, marks: DataFrame, known: DataFrame, forest: bool) -> DataFrame:
@@ -337,14 +345,14 @@ def _between(stars: DataFrame, marks: DataFrame, known: DataFrame, forest: bool)
     return ready.select("centre", "i", "j", "side", "id", "component", "n", "sketch").mapInArrow(_across(forest), "a bigint, b bigint").distinct()
 
 
-def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(known: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) after further links."""
     side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     lifted = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    more = components(lifted)
+    more = components(lifted, scratch)
     # The nodes of these links are the components so far, none of which is a node of ``known``.
     moved = known.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-    return written(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(more), "components")
+    return scratch.written(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(more), "components")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -352,6 +360,8 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     found = ngram_join(docs, key=key, text=text)
     gone = free_name(docs, "_gone")
     copies = found.where(f"`{key}` <> component_id").select(F.col(key).alias(gone)).distinct()
+    if copies.count() <= BROADCAST_IDS:  # then the texts stay where they are; else both sides are shuffled
+        copies = F.broadcast(copies)
     return docs.join(copies, docs[key] == F.col(gone), "left_anti")
 
 
