@@ -37,6 +37,8 @@ KINDS = (
 BASE = ("assign", "access", "hex")
 #: A value that this many owners have at most looks live; one that more have is an example.
 LIVE_OWNERS = 2
+#: Spans (of about 80 bytes) that are broadcast to the texts at most.
+BROADCAST_SPANS = 500_000
 
 
 def _found(text: Column, kind: str, pattern: str, group: int) -> Column:
@@ -106,14 +108,15 @@ def digest(spans: Column) -> Column:
 def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", repository: str = "doc_id", live_owners: int = LIVE_OWNERS) -> DataFrame:
     """``docs`` with every span replaced by ``[kind]``; overlapping spans become one, named by the first.
 
-    A repository is one document here: spans meet their text by its key, which rows with different spans may not share.
-    Rows without a key keep their text.
+    Spans meet their text by a digest of key and text, so rows that share a key may differ, and repeated rows are alike.
     """
-    found = find_secrets(docs, text=text, owner=owner, repository=repository, live_owners=live_owners).where(F.size("spans") > 0)
-    found = found.groupBy("repository").agg(F.min_by("spans", F.size("spans")).alias("_spans"), F.count_distinct("spans").alias("_ways"))
-    if found.where("_ways > 1").limit(1).count():
-        raise ValueError(f"{repository} is not unique: its rows hold different texts")
-    t, other, spans = F.col(text), free_name(docs, "_repository"), free_name(docs, "_spans")
+    own, other, spans = free_name(docs, "_own"), free_name(docs, "_other"), free_name(docs, "_spans")
+    marked = docs.withColumn(own, F.md5(F.concat_ws(chr(0), F.col(repository).cast("string"), F.col(text))))
+    found = find_secrets(marked, text=text, owner=owner, repository=own, live_owners=live_owners).where(F.size("spans") > 0)
+    found = found.groupBy(F.col("repository").alias(other)).agg(F.first("spans").alias(spans))
+    if (found.agg(F.sum(F.size(spans))).first()[0] or 0) <= BROADCAST_SPANS:  # then the texts stay where they are; else both sides are shuffled
+        found = F.broadcast(found)
+    t = F.col(text)
     piece = lambda a, b: F.substring(t, a + 1, b - a)
     joined = F.aggregate(
         F.col(spans),
@@ -123,7 +126,7 @@ def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", reposi
         ),
         lambda a: F.concat(a["out"], piece(a["at"], F.char_length(t).cast("long"))),
     )
-    out = docs.join(found.select(F.col("repository").alias(other), F.col("_spans").alias(spans)), docs[repository] == F.col(other), "left")
+    out = marked.join(found, F.col(own) == F.col(other), "left")
     return out.withColumn(text, F.when(F.col(spans).isNotNull(), joined).otherwise(t)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
