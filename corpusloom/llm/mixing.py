@@ -119,7 +119,7 @@ def rates(scored: DataFrame, domains: list[str], targets: dict[str, float]) -> D
             slope = slope + x * F.lit(STEP * g)
         rate = F.greatest(F.lit(0.0), rate - slope)
         if k % CUT == CUT - 1:  # keeps the expression short
-            now = written(now.drop("_rate").withColumn("_rate", rate), "rates")
+            now = written(now.withColumn("_rate", rate), "rates")
             rate = F.col("_rate")
         total = [x or 0.0 for x in now.agg(*[F.sum(rate * t * x) for x in p]).first()]
     return now.withColumn("rate", rate).select(*scored.columns, "rate")
