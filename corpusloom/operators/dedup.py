@@ -36,8 +36,8 @@ def shingle_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", at_least: float = CONTAINED) -> DataFrame:
     """(a, b, containment) of distinct texts whose smaller set lies in the larger by ``at_least``.
 
-    Only the first n - ceil(at_least * n) + 1 hashes of the smaller set can be all that a pair shares, so these probe and
-    all hashes answer; a shingle that only one set has leaves before the join.
+    Shingles of a single set leave before the join; sets meet on all the others, so a shingle that many distinct texts
+    share costs pairs in their square.
     """
     rows = shingle_rows(docs, key, text)
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
