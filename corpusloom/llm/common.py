@@ -41,6 +41,15 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Narrow rows that one task handles at least; fewer are not worth a task each for every shuffle partition.
+ROWS_A_TASK = 100_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` narrow rows, in no more tasks than these fill: a no-op where they fill all partitions."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 class Scratch:
     """A folder for an operator's intermediate tables, which goes when the operator has written its result."""
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, few
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,18 +40,19 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     edges = links.select("a", "b").where("a <> b").mapInArrow(_forest, "a bigint, b bigint").distinct()
     edges = scratch.written(edges, "links")
+    rows = edges.count()
     before = None
     while True:
         # Large star: every larger neighbour of a node is tied to the least node around it.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = few(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), rows).distinct()
         # Small star: a node and its smaller neighbours are tied to the least of them.
-        low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        low = few(large, rows).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         mins = low.groupBy("a").agg(F.min("b").alias("m"))
-        small = low.join(mins, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = scratch.written(small.unionByName(mins.select("a", F.col("m").alias("b"))).distinct(), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
-        if now == before or now[0] == now[2] and not edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b").limit(1).count():
+        small = few(low.join(mins, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")), rows)
+        edges = scratch.written(few(small.unionByName(few(mins.select("a", F.col("m").alias("b")), rows)).distinct(), rows), "stars")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now

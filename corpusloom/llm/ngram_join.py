@@ -15,8 +15,8 @@ rows in proportion to its size, and a document meets a centre once, however many
 group have the same centre, so all candidates lie within the clusters of a centre. First every document is checked
 against the centre with which it shares most words, and components are formed. Then clusters that still hold several
 components are compared by their sketches, in blocks of bounded size, twice: the first time each block returns a
-spanning forest of its likely links, the second time, when these have been checked and components merged, all that are
-left between components. Copies are one component by then and are not compared. Checks recompute the sets of the
+spanning forest of its likely links, the second time, when these have been checked and components merged, clusters in
+which a link of the forest failed return all that are left between components. Copies are one component by then and are not compared. Checks recompute the sets of the
 candidates' whole texts and are exact.
 
 Defined results: null texts and texts without words have an empty set (n_shingles 0), link with nothing and are their
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, table, written
+from .common import Scratch, few, free_name, table, written
 from .components import components
 from .wordhash import SPACED, byte_slices, grams, hash_words, mix
 
@@ -189,19 +189,20 @@ def _across(forest: bool):
             for row in zip(*cols, strict=True):
                 if row[:3] != now:
                     if len(members) > 1:
-                        found.append(_likely(now[1] != now[2], members, forest))
+                        found.append((now[0], _likely(now[1] != now[2], members, forest)))
                     members, now = [], row[:3]
                 members.append(row[3:])
             yield _pairs(found)
         if len(members) > 1:
-            yield _pairs([_likely(now[1] != now[2], members, forest)])
+            yield _pairs([(now[0], _likely(now[1] != now[2], members, forest))])
 
     return run
 
 
-def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-    return _rows(pairs[:, 0].copy(), pairs[:, 1].copy(), names=("a", "b"))
+def _pairs(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    centre = np.repeat(np.array([c for c, _ in found], np.int64), [len(p) for _, p in found])
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *(p for _, p in found)])
+    return _rows(centre, pairs[:, 0].copy(), pairs[:, 1].copy(), names=("centre", "a", "b"))
 
 
 def _likely(two_sides: bool, members: list, forest: bool) -> np.ndarray:
@@ -300,9 +301,11 @@ def _first_checks(stars: DataFrame, marks: DataFrame) -> DataFrame:
     """
     n = lambda x: marks.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
     sketch = lambda x: marks.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
-    fit = stars.join(n("a"), "a").join(n("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    rows = stars.count()
+    fit = few(few(stars.join(n("a"), "a"), rows).join(n("b"), "b"), rows).where("4 * least(na, nb) >= 3 * greatest(na, nb)")
     one = fit.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("minus"), "na", "nb")).alias("x")).select("a", (-F.col("x.minus")).alias("b"), "x.na", "x.nb")
-    return one.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a bigint, b bigint")
+    sketched = few(few(few(one, rows).join(sketch("a"), "a"), 8 * rows).join(sketch("b"), "b"), 8 * rows)
+    return sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a bigint, b bigint")
 
 
 def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -321,9 +324,15 @@ def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
 
     links = scratch.written(verified(docs, "_id", "_text", _first_checks(stars, marks), scratch, size).unionByName(equal), "linked")
     known = components(links, scratch)
-    for forest in (True, False):
-        rest = _between(stars, marks, known, forest)
-        known = _merged(known, scratch.written(verified(docs, "_id", "_text", rest, scratch, size), "linked"), scratch)
+    likely = scratch.written(_between(stars, marks, known, forest=True), "likely")
+    known = _merged(known, scratch.written(verified(docs, "_id", "_text", likely, scratch, size), "linked"), scratch)
+    # Where a block's forest held, nothing likely is left between its components; elsewhere all of it is checked.
+    name = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    rows = likely.count()
+    broken = few(few(likely.join(name("a"), "a", "left"), rows).join(name("b"), "b", "left"), rows).where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    broken = stars.join(broken.select(F.col("centre").alias("b")).distinct(), "b", "left_semi")
+    rest = _between(broken, marks, known, forest=False)
+    known = _merged(known, scratch.written(verified(docs, "_id", "_text", rest, scratch, size), "linked"), scratch)
     out = signed.select("id", "n").join(known, F.col("id") == F.col("node"), "left")
     out = out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
     out = written(out, "ngram-components")
@@ -332,27 +341,31 @@ def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
 
 
 def _between(stars: DataFrame, marks: DataFrame, known: DataFrame, forest: bool) -> DataFrame:
-    """Likely links (a, b) between components within the clusters of one centre, in blocks of about BLOCK members."""
+    """Likely links (centre, a, b) between components within the clusters of one centre, in blocks of about BLOCK members."""
     members = stars.select(F.col("b").alias("centre"), F.col("a").alias("id"))
-    members = members.unionByName(stars.select(F.col("b").alias("centre"), F.col("b").alias("id")).distinct())
-    named = members.join(known.withColumnRenamed("node", "id"), "id", "left").select("centre", "id", F.coalesce("component", "id").alias("component"))
+    rows = 2 * stars.count()
+    members = members.unionByName(few(stars.select(F.col("b").alias("centre"), F.col("b").alias("id")).distinct(), rows))
+    named = few(members, rows).join(known.withColumnRenamed("node", "id"), "id", "left").select("centre", "id", F.coalesce("component", "id").alias("component"))
+    named = few(named, rows)
     sizes = named.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
     cut = named.join(sizes.select("centre", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "centre")
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = few(cut, rows).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.select("centre", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cut = cut.select("centre", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    ready = cut.join(marks, "id").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    return ready.select("centre", "i", "j", "side", "id", "component", "n", "sketch").mapInArrow(_across(forest), "a bigint, b bigint").distinct()
+    ready = few(cut.join(marks, "id"), 8 * rows).repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+    return ready.select("centre", "i", "j", "side", "id", "component", "n", "sketch").mapInArrow(_across(forest), "centre bigint, a bigint, b bigint").distinct()
 
 
 def _merged(known: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) after further links."""
     side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    lifted = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    rows = known.count() + links.count()
+    lifted = few(few(links.join(side("a"), "a", "left"), rows).join(side("b"), "b", "left"), rows).select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     more = components(lifted, scratch)
     # The nodes of these links are the components so far, none of which is a node of ``known``.
     moved = known.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-    return scratch.written(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(more), "components")
+    moved = few(moved.select("node", F.coalesce("to", "component").alias("component")), rows)
+    return scratch.written(moved.unionByName(few(more, rows)), "components")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
