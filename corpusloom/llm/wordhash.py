@@ -12,7 +12,7 @@ _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD1342543DE82EF95 | 1
 _M64 = (1 << 64) - 1
 #: Bytes of text that are hashed together; temporary arrays take about 40 times as much.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 750_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
