@@ -142,11 +142,11 @@ def clip_text(text: Column, head: int = 34_000, tail: int = 6_000) -> Column:
 def is_degenerate(text: Column, most: int = 4000) -> Column:
     """200 characters or more with at most 12 distinct ones, or one of them more than half of the first ``most``."""
 
-    def check(cs: Column) -> Column:
-        top = F.array_max(F.transform(F.array_distinct(cs), lambda c: F.size(cs) - F.size(F.array_remove(cs, c))))
-        return (F.size(F.array_distinct(cs)) <= 12) | (top > 0.5 * F.size(cs))
+    def check(head: Column, cs: Column) -> Column:
+        top = F.array_max(F.transform(cs, lambda c: F.length(head) - F.length(F.replace(head, c, F.lit("")))))
+        return (F.size(cs) <= 12) | (top > 0.5 * F.length(head))
 
-    return (F.length(text) >= 200) & let(F.split(F.substring(text, 1, most), ""), lambda cs: check(F.filter(cs, lambda c: c != "")))
+    return (F.length(text) >= 200) & let(F.substring(text, 1, most), lambda head: let(F.array_remove(F.array_distinct(F.split(head, "")), ""), lambda cs: check(head, cs)))
 
 
 def score_10(value: Column, default: int = 0) -> Column:
