@@ -1,10 +1,13 @@
 """Operator 3: main-text extraction by line-block distribution.
 
 Markup is stripped into blocks, one line each. Lines inside menus, forms, scripts, adverts, comments and other page
-furniture, as elements, roles and class names tell, are blank; where the page marks an article, so is all outside it.
-The lengths of the other lines, less their link text, are summed over sliding windows of lines. Text starts where the
-sum surges above a threshold and ends where it dives to nothing; the lines between are the main text. A heading just
-before a surge belongs to it.
+furniture, as elements, roles and class names tell, are blank. The lengths of the other lines, less their link text,
+are summed over sliding windows of lines. Text starts where the sum surges above a threshold and ends where it dives to
+nothing; the lines between are the main text. A heading just before a surge belongs to it.
+
+An outermost <article> or <main> is a hint of a boundary and of weight, on a page that surges and dives like any other:
+its link text counts, windows do not cross its edges, a first surge inside it starts the text at its opening, and that
+text ends with it at the latest. Without a surge it is no text, and what surges outside it is.
 
 White space (as Unicode has it) inside a block becomes one space; ``<br>`` is white space. Character references are
 decoded after markup is gone, so that escaped markup stays as text. Defined results: a null or empty page, and one
@@ -73,14 +76,14 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class _Page:
-    """Lines of a page: (text, link characters, is heading, in an article, is furniture)."""
+    """Lines of a page: (text, link characters, is heading, number of the outermost article or 0, is furniture)."""
 
     def __init__(self, source: str):
-        self.lines: list[tuple[str, int, bool, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, int, bool]] = []
         self.text: list[str] = []
         self.links = 0
         self.stack: list[tuple[str, bool]] = []  # open elements, and whether each is furniture
-        self.hidden = self.articles = self.anchors = 0
+        self.hidden = self.articles = self.anchors = self.marks = 0
         self.source, low = source, None
         at = 0
         while m := _TAG.search(source, at):
@@ -114,7 +117,7 @@ class _Page:
         self.text.clear()
         if text:
             heading = any(t in _HEADING for t, _ in self.stack[-3:])
-            self.lines.append((text, min(self.links, len(text)), heading, self.articles > 0, self.hidden > 0))
+            self.lines.append((text, min(self.links, len(text)), heading, self.marks if self.articles else 0, self.hidden > 0))
         self.links = 0
 
     def _pop(self) -> None:
@@ -148,6 +151,7 @@ class _Page:
             hides = False  # it never closes: what follows is not its own
         self.stack.append((tag, hides))
         self.hidden += hides
+        self.marks += not self.articles and tag in ("article", "main")
         self.articles += tag in ("article", "main")
         self.anchors += tag == "a"
 
@@ -157,30 +161,30 @@ def extract(source: str | None, *, lines: int = LINES, surge: int = SURGE) -> st
     if not source:
         return ""
     found = _Page(source).lines
-    marked = any(article and not hidden for _, _, _, article, hidden in found)
-    shown = [not hidden and (article or not marked) for _, _, _, article, hidden in found]
-    weight = [len(text) - links if show else 0 for (text, links, _, _, _), show in zip(found, shown, strict=True)]
-    if marked:
-        # The page says where its text is: every line counts in full there, and any text is a surge.
-        weight = [len(text) if show else 0 for (text, *_), show in zip(found, shown, strict=True)]
-    sums = [sum(weight[i : i + lines]) for i in range(len(weight))]
+    shown = [not hidden for *_, hidden in found]
+    mark = [article for _, _, _, article, _ in found]
+    weight = [len(text) - (0 if article else links) if show else 0 for (text, links, _, article, _), show in zip(found, shown, strict=True)]
+    sums = [sum(w for w, m in zip(weight[i : i + lines], mark[i : i + lines], strict=True) if m == mark[i]) for i in range(len(weight))]
     best = max(sums, default=0)
     if not best:
         return ""
-    threshold = 0 if marked else min(surge, best / 2)
+    threshold = min(surge, best / 2)
     kept: set[int] = set()
     i = 0
     while i < len(sums):
         if sums[i] <= threshold or not weight[i]:
             i += 1
             continue
-        start = i
+        start, inside = i, mark[i]
+        while inside and start and mark[start - 1] == inside and start - 1 not in kept:
+            start -= 1
         while start and found[start - 1][2] and shown[start - 1] and start - 1 not in kept:
             start -= 1
         # The window reaches ahead of the surge: short lines before the first long one are not yet text.
-        while not marked and start < i + lines - 1 and not found[start][2] and weight[start] < threshold / lines:
+        while not inside and start < i + lines - 1 and not found[start][2] and weight[start] < threshold / lines:
             start += 1
-        while i < len(sums) and sums[i]:
+        # A short element within text that surged outside it belongs to that text.
+        while i < len(sums) and (mark[i] == inside and sums[i] if inside else any(weight[i : i + lines])):
             i += 1
         kept.update(range(start, i))
     return "\n".join(found[k][0] for k in sorted(kept) if shown[k])

@@ -130,6 +130,21 @@ def test_html_without_article_finds_the_surge():
     assert got[0] == "Head" and len(got) == 5 and "Buy" not in got and "Menu" not in got
 
 
+def test_html_surge_and_dive_choose_the_lines_of_marked_pages():
+    long = "\n".join(["Some real text of the article. " * 5] * 3).replace(". \n", ".\n").strip()
+    for teaser in ("<article><p>Read on</p></article>", "<main><h2>New</h2></main>"):
+        assert html_extraction.extract(f"{teaser}<div>{PARA * 3}</div>").split("\n")[-3:] == long.split("\n")
+    assert html_extraction.extract(f"<article><p>Read on</p></article><div>{PARA * 3}</div>") == long
+    # A short element inside the text stays, short lines around an article do not, and the article's own first lines do.
+    assert html_extraction.extract(f"<div>{PARA}<article><p>Quote</p></article>{PARA}</div>").split("\n")[1] == "Quote"
+    assert html_extraction.extract(f"<div>Menu</div><article><p>a</p><p>b</p><p>c</p><p>d</p>{PARA * 3}</article><div>End</div>") == "a\nb\nc\nd\n" + long
+    # Text ends where a window holds nothing, and what follows must surge again.
+    page = f"<article>{PARA * 3}<aside><p>1<p>2<p>3<p>4</aside><p>tail</p></article>"
+    assert html_extraction.extract(page) == long
+    assert html_extraction.extract(page, surge=3) == long + "\ntail"
+    assert html_extraction.extract(page, lines=6) == long + "\ntail"
+
+
 def test_html_long_repeats_and_clashes(spark):
     page = "<article>" + PARA * 3000 + "</article>"
     df = spark.createDataFrame([(1, page, "old"), (1, page, "old"), (2, None, None)], "page_id long, html string, text string")
