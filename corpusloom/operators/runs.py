@@ -105,8 +105,18 @@ def _links(spark, d):
     return a.where("src < 200 and src <> dst")
 
 
+def _all_links(spark, d):
+    """Links of every vector: dst is dealt over the whole id range."""
+    e = views.table(spark, d, "embeddings").select("vec_id", "label")
+    e = e.join(F.broadcast(e.agg((F.max("vec_id") + 1).alias("n"))))
+    a = e.select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 3) % F.col("n")).alias("dst"), F.when(F.col("label") % 3 == 0, "followup").otherwise("related").alias("kind"), (F.col("vec_id") % 100 / 100).alias("score"))
+    return a.where("src <> dst")
+
+
 _LINKS_SQL = "links as (select vec_id as src, (vec_id * 7 + 3) % 200 as dst, case when label % 3 = 0 then 'followup' else 'related' end as kind, (vec_id % 100) / 100 as score from embeddings where vec_id < 200 and vec_id <> (vec_id * 7 + 3) % 200)"
 
+_ALL_LINKS_SQL = "links as (select vec_id as src, (vec_id * 7 + 3) % n as dst, case when label % 3 = 0 then 'followup' else 'related' end as kind, (vec_id % 100) / 100 as score from embeddings, (select max(vec_id) + 1 as n from embeddings) where vec_id <> (vec_id * 7 + 3) % n)"
+
 
 def _titled(spark, d):
     return views.runs(spark, d).select("id", F.concat(F.lit("run "), F.col("id")).alias("title"))
@@ -137,6 +147,15 @@ QUERIES = {
         f"""with {_LINKS_SQL}, x as (select case when src = 10 then dst else src end as other, case when kind <> 'followup' then 'related' when src = 10 then 'followed up' else 'follows up' end as label, score
         from links where src = 10 or dst = 10) select other, label, score from x where other <> 10 qualify row_number() over (partition by other order by label = 'related', score desc, label) = 1""",
     ),
+    "links_for_run_all": (
+        lambda s, d: links_for_run(_all_links(s, d), _titled(s, d), 205),
+        f"with {_ALL_LINKS_SQL}, t as (select o_orderkey as id, 'run ' || o_orderkey as title from orders) select src, dst, kind, score, a.title as src_title, b.title as dst_title from links join t a on a.id = src join t b on b.id = dst where src = 205 or dst = 205",
+    ),
+    "related_link_labels_all": (
+        lambda s, d: related_labels(_all_links(s, d), 205),
+        f"""with {_ALL_LINKS_SQL}, x as (select case when src = 205 then dst else src end as other, case when kind <> 'followup' then 'related' when src = 205 then 'followed up' else 'follows up' end as label, score
+        from links where src = 205 or dst = 205) select other, label, score from x where other <> 205 qualify row_number() over (partition by other order by label = 'related', score desc, label) = 1""",
+    ),
     "evergreen_due": (
         _r(lambda r: evergreen_due(r, "1998-06-01", 180).selectExpr("id", _DAY)),
         f"with {RUNS_SQL} select id, cast(created_at as varchar) as created_at from runs r where status = 'completed' and created_at <= date '1998-06-01' - 180 and not exists (select 1 from runs c where c.parent_id = r.id and (c.status in ('queued', 'running') or c.created_at > date '1998-06-01' - 180))",
