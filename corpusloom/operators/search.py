@@ -1,11 +1,16 @@
 """Retrieval: keyword search with BM25, exact vector search, rank fusion, and what is built on them.
 
 Vectors are compared by whole-stage arithmetic on arrays; a query's vectors are a stated set that is broadcast, so each
-corpus vector is read once and only each task's best rows travel.
+corpus vector is read once and only each task's best rows travel. Query sets that grow with the table are taken in
+blocks of bounded size, compared by matrix products on Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +20,8 @@ from ..sources import views
 
 K1, B = 1.2, 0.75
 RRF_K, SEARCH_LIMIT = 60, 30
+#: Query rows that are broadcast at once, and corpus rows of one matrix product with them.
+QUERY_BLOCK, ROW_BLOCK = 4096, 512
 QUERY = "the of and"
 
 
@@ -56,6 +63,71 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, *, floor: float
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _matrix(column, dim: int | None = None) -> np.ndarray:
+    """Unit vectors, one per row; a null, a zero vector, one that holds a null or one of another length is NaN throughout."""
+    rows = column.to_pylist()
+    dim = dim or max((len(x) for x in rows if x), default=1)
+    m = np.full((len(rows), dim), np.nan)
+    for i, x in enumerate(rows):
+        if x is not None and len(x) == dim:
+            m[i] = x
+    with np.errstate(invalid="ignore"):
+        size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return m / np.where(size > 0, size, np.nan)
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns of each row by score of four decimals, then id, in any order; NaN comes last."""
+    if score.shape[1] <= k:
+        return score, np.broadcast_to(ids, score.shape)
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    key = np.nan_to_num(np.rint(score * -10_000), nan=20_000).astype(np.int64) * len(ids) + place
+    at = np.argpartition(key, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(score, at, 1), ids[at]
+
+
+def vector_topk_of_many(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = QUERY_BLOCK) -> DataFrame:
+    """(q, id, score, rank) as of ``vector_topk``, for any number of queries, with integer ids.
+
+    Each block of about ``block`` queries is broadcast and passes the vectors once; a task keeps k rows per query of the
+    block, and the lists of all tasks are merged.
+    """
+    spark = vectors.sparkSession
+    queries = queries.select("q", "vector").where("q is not null")
+    n = -(-queries.count() // block) or 1
+    found = None
+    for j in range(n):
+        part = (queries if n == 1 else queries.where(F.pmod(F.xxhash64("q"), F.lit(n)) == j)).toArrow()
+        unit = _matrix(part.column("vector"))
+        sent = spark.sparkContext.broadcast((part.column("q").to_numpy(), unit))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            q, unit = sent.value
+            score, ids = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+            for b in batches:
+                for at in range(0, b.num_rows if len(q) else 0, ROW_BLOCK):
+                    rows = b.slice(at, ROW_BLOCK)
+                    new = np.round(unit @ _matrix(rows.column(1), unit.shape[1]).T, 4)
+                    own = rows.column(0).to_numpy()
+                    score, ids = _joined(score, ids, *_best(new, own, k), k)
+            kept = score.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(q, kept)), pa.array(ids.ravel()), pa.array(score.ravel(), pa.float64(), from_pandas=True)], names=["q", "id", "score"]
+            )
+
+        made = vectors.select(F.col("id").cast("bigint"), "embedding").mapInArrow(run, "q bigint, id bigint, score double")
+        found = made if found is None else found.unionByName(made)
+    order = W.partitionBy("q").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _joined(score: np.ndarray, ids: np.ndarray, more: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    score, ids = np.concatenate([score, more], axis=1), np.concatenate([ids, own], axis=1)
+    order = np.lexsort((ids, np.where(np.isnan(score), np.inf, -score)), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
     """Mean vector of each group, by position: partial sums combine before the shuffle."""
     made = vectors.select(group, F.posexplode("embedding").alias("pos", "x")).groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -93,6 +165,10 @@ def _asked(spark, d, ids):
     return views.table(spark, d, "embeddings").where(F.col("vec_id").isin(ids)).select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
 
 
+def _every_20th(spark, d):
+    return views.table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
+
+
 def _runs_of_docs(spark, d):
     return views.table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 10).cast("int").alias("run_id"))
 
@@ -128,6 +204,7 @@ _CENTROID = "cen as (select label as run_id, i, avg(x::double) as x from (select
 QUERIES = {
     "keyword_and_search": (lambda s, d: keyword_search(views.table(s, d, "documents").select("doc_id", "text"), QUERY), f"with {_BM25} select * from top"),
     "vector_topk": (lambda s, d: vector_topk(_vectors(s, d).select("id", "embedding"), _asked(s, d, [3, 77, 150]), 20), f"with {_near('3, 77, 150', 20)} select q, id, score, rank from near"),
+    "vector_topk_all": (lambda s, d: vector_topk_of_many(_vectors(s, d).select("id", "embedding"), _every_20th(s, d), 20), f"with {_near('select vec_id from embeddings where vec_id % 20 = 0', 20)} select q, id, score, rank from near"),
     "centroid_by_label": (lambda s, d: centroids(_vectors(s, d), "run_id").select("run_id", F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("centroid").alias("n")), f"with {_CENTROID} select run_id, round(list_sum(centroid), 4) as total, cast(len(centroid) as int) as n from cv"),
     "rrf_library_search": (
         lambda s, d: library_search(_runs_of_docs(s, d), _vectors(s, d), QUERY, _asked(s, d, [3])),
