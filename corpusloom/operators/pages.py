@@ -143,10 +143,10 @@ def _links(spark, d):
     return found.withColumn("anchor", F.regexp_extract("link", "[^/]*$", 0))
 
 
-def _feeds(spark, d):
+def _feeds(spark, d, feed: str = "page_id % 9"):
     p = views.table(spark, d, "pages")
     item = F.concat(F.lit("<item><title>t"), F.col("page_id"), F.lit("</title><link>"), "url", F.lit("</link><pubDate>Mon, 0"), F.col("page_id") % 9 + 1, F.lit(" Jan 2024 10:00:00 GMT</pubDate></item>"))
-    return p.groupBy((F.col("page_id") % 9).alias("feed")).agg(F.concat(F.lit("<rss>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("i")))), lambda x: x["i"]), ""), F.lit("</rss>")).alias("body"))
+    return p.groupBy(F.expr(feed).alias("feed")).agg(F.concat(F.lit("<rss>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("i")))), lambda x: x["i"]), ""), F.lit("</rss>")).alias("body"))
 
 
 def _claims(spark, d):
@@ -165,6 +165,11 @@ QUERIES = {
         """with k as (select page_id, url, page_id % 9 as feed, row_number() over (partition by page_id % 9 order by page_id) as n from pages)
         select url as link, feed, '2024-01-0' || (page_id % 9 + 1) as published from k where n <= 25 and page_id % 9 + 1 >= 3 qualify row_number() over (partition by url order by page_id % 9 desc, feed, n) = 1""",
     ),
+    "feed_union_all": (
+        lambda s, d: merged_feeds(feed_entries(_feeds(s, d, "page_id div 20")), F.lit("2024-01-03").cast("date")).select("link", "feed", F.col("published").cast("string").alias("published")),
+        """select url as link, page_id // 20 as feed, '2024-01-0' || (page_id % 9 + 1) as published from pages
+        where page_id % 9 + 1 >= 3 qualify row_number() over (partition by url order by page_id % 9 desc, page_id) = 1""",
+    ),
     "vocabulary_filter": (
         lambda s, d: filter_by_vocabulary(_docs(s, d).select("doc_id", "text"), ["schein", "keit", "zzz"], 5).select("doc_id", "shares"),
         None,

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from corpusloom.operators import runs, search
+from corpusloom.operators import pages, runs, search
 from corpusloom.plans import catalogue
 from corpusloom.sources import views
 
@@ -35,3 +35,11 @@ def test_search_in_blocks_equals_the_search_of_a_stated_set(spark, block, monkey
         assert key(search.vector_topk_of_many(vectors, queries, k, block=block)) == key(search.vector_topk(vectors, queries, k))
     assert search.vector_topk_of_many(vectors, queries.where("false"), 5).count() == 0
     assert search.vector_topk_of_many(vectors.where("false"), queries, 5).count() == 0
+
+
+def test_every_page_reaches_the_merge_of_feeds(spark, sf):
+    n = views.table(spark, sf, "pages").count()
+    feeds = pages._feeds(spark, sf, "page_id div 20")
+    assert feeds.count() == -(-n // 20) and pages.feed_entries(feeds).count() == n
+    wanted = {r.url for r in views.table(spark, sf, "pages").where("page_id % 9 >= 2").select("url").collect()}
+    assert {r.link for r in catalogue.queries()["feed_union_all"](spark, sf).collect()} == wanted
