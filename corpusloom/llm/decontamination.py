@@ -10,8 +10,9 @@ The benchmark is taken in blocks of at most BLOCK_BYTES of text. A block is broa
 with several blocks, the few rows with hits are merged by document. Fingerprints of documents never leave their task.
 
 Defined results: null and empty texts, and texts without words, have no words and no hits. Items without words are in
-no window; several items may share a window and each counts. Repeated rows give repeated results. An empty benchmark
-marks nothing.
+no window; several items may share a window and each counts; an item_id of several rows counts once. Benchmark rows
+with a null item_id or a null text mark nothing, here and in ``drop_contaminated``: documents that hold such a passage
+count as clean. Repeated rows give repeated results. An empty benchmark marks nothing.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def _marks(windows: Windows, texts: list[bytes]) -> list[tuple[int, list, list]]
     for d, n, k in pairs:
         _, cut, owners = windows.sizes[n]
         items.setdefault(d, set()).update(owners[cut[k] : cut[k + 1]].tolist())
-    return [(int(sizes[d]), hits.get(d, []), sorted(windows.names[i] for i in items.get(d, ()))) for d in range(len(texts))]
+    return [(int(sizes[d]), hits.get(d, []), sorted({windows.names[i] for i in items.get(d, ())})) for d in range(len(texts))]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[Windows]:

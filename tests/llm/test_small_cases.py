@@ -214,6 +214,14 @@ def test_decontamination_small_cases(spark):
     assert decontamination.find_contamination(df.where("false"), items).count() == 0
 
 
+def test_items_of_several_rows_count_once_whatever_the_blocks(spark):
+    one, two = (" ".join(f"{x}{k}" for k in range(12)) for x in "ab")
+    items = bench(spark, (7, one), (7, two), (8, two))
+    for block in (decontamination.BLOCK_BYTES, 20):
+        found = decontamination.find_contamination(docs(spark, one + " " + two), items, block_bytes=block).collect()
+        assert [list(r.items) for r in found] == [["7", "8"]]
+
+
 # 7 --------------------------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 400_000
