@@ -2,8 +2,9 @@
 
 The scan finds base candidates (assign, access, hex) and further ones (extra: bearer and vendor tokens, web tokens,
 credentials in URLs, private-key headers). Every candidate value is hashed, and the hashes are counted over the corpus
-by distinct owners and repositories. Values of few owners look live; widely copied ones are examples. Base spans stay
-whatever their count, and live-looking extra spans are added to them.
+by distinct owners and repositories. Values of few owners look live; those of more are examples. Only owners decide, as
+in the SQL: a value in thousands of repositories of one or two owners looks live. Base spans stay whatever their count,
+and live-looking extra spans are added to them.
 
 Each text is scanned once: the matches, not the texts, are written to the shared folder, and everything after reads
 that table. Positions come from the lengths between matches, as a running sum within one text.
