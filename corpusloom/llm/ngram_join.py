@@ -116,14 +116,18 @@ def signatures(docs: DataFrame, key: str, text: str, size: int = SHINGLE) -> Dat
         seen = set()
         for b in batches:
             n, digests, sketches, words = [], [], [], []
+            named = b.column(0).is_valid().to_pylist()
             for _, texts in byte_slices(b.column(1)):
                 for s in shingle_sets(texts, size):
+                    known = named[len(n)]
                     n.append(len(s))
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     digests.append(digest)
                     sketches.append(bit_sketch(s) if len(s) else b"")
-                    words.append(np.zeros(0, np.int64) if digest in seen else emitted(s).view(np.int64))
-                    seen.add(digest)
+                    # Rows without an id are in no link, and must not stand for equal texts that have one.
+                    words.append(emitted(s).view(np.int64) if known and digest not in seen else np.zeros(0, np.int64))
+                    if known:
+                        seen.add(digest)
             offsets = np.cumsum(np.r_[0, [len(w) for w in words]]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(words) if words else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(

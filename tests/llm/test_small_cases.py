@@ -58,6 +58,13 @@ def test_join_chains_reach_the_smallest(spark):
     assert {r.component_id for r in ngram_join.ngram_join(docs(spark, *texts[::-1])).collect()} == {0}
 
 
+def test_join_links_an_equal_text_after_a_row_without_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join([*words, "more"])
+    df = spark.createDataFrame([(None, text), (4, text), (2, near)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(df).collect()} == {None: None, 4: 2, 2: 2}
+
+
 def test_join_empty_table_and_columns(spark):
     assert ngram_join.ngram_join(docs(spark).where("false")).count() == 0
     clash = docs(spark, PLAIN, PLAIN).withColumn("_gone", F.lit(1)).withColumn("n", F.lit(2)).withColumn("words", F.lit("x"))
