@@ -6,7 +6,7 @@ confirms a match, and the longest rule decides (then the longer host, then block
 
 Defined results: a null url or one without ``://`` has empty host and path; no rule fits an empty host. Hosts keep
 ports and user names as they stand. Repeated rows give repeated results. Without a fitting rule the verdict is
-``default_verdict`` and the rule is null.
+``default_verdict`` and the rule is null. Rules may be of any length. All other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ RULES = (
 )
 #: Rules up to this many bytes of digests and strings are broadcast; larger lists are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: No URL has a longer host or path worth a rule; also bounds the driver's list of lengths.
-MAX_RULE_PATH = 4096
+#: Distinct lengths of rules' paths that are listed; with more of them, every prefix of a path is looked up.
+LENGTHS = 1024
 
 
 def host_of(url: Column) -> Column:
@@ -48,10 +48,10 @@ def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.createDataFrame([(v, h, p) for v, h, p in rules], "verdict string, host string, path string")
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default_verdict: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default_verdict: str = "allow", max_lengths: int = LENGTHS) -> DataFrame:
     """``pages`` plus url_host, url_path, url_rule, url_verdict, n_rules (rules that fit); columns of these names are replaced."""
-    pages = without(pages, "url_host", "url_path", "url_rule", "url_verdict", "n_rules", "_u_host", "_u_path")
-    row = free_name(pages, "_row")
+    pages = without(pages, "url_host", "url_path", "url_rule", "url_verdict", "n_rules")
+    row, u_host, u_path = free_name(pages, "_row"), free_name(pages, "_u_host"), free_name(pages, "_u_path")
     made = rules.select("verdict", "host", "path").where("host is not null and path is not null and verdict is not null")
     made = made.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # 'block' > 'allow': a contradiction blocks
     made = made.select(
@@ -65,20 +65,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default
         F.size(F.split("host", r"\.")).alias("labels"),
         F.length("path").alias("path_n"),
     ).withColumn("rule_short", F.substring("rule_digest", 1, 8))
-    # Bounded: at most MAX_RULE_PATH distinct lengths and the one largest label count, whatever the number of rules.
     facts = made.agg(F.max("labels"), F.count(F.lit(1)), F.sum(F.length("found.rule") + 200), F.max("path_n")).first()
-    longest = facts[3] or 0
-    if longest > MAX_RULE_PATH:
-        raise ValueError(f"a rule's path has {longest} characters, over {MAX_RULE_PATH}")
-    lengths = sorted(r[0] for r in made.select("path_n").distinct().collect())
+    lengths = sorted(r[0] for r in made.select("path_n").distinct().limit(max_lengths + 1).collect())
     labels = facts[0] or 0
 
-    host, path = F.col("_u_host"), F.col("_u_path")
-    base = pages.withColumns({row: F.monotonically_increasing_id(), "_u_host": host_of(F.col(url)), "_u_path": path_of(F.col(url))})
-    keep = F.struct(*[F.col(f"`{c}`") for c in pages.columns], host.alias("_u_host"), path.alias("_u_path"))
+    host, path = F.col(u_host), F.col(u_path)
+    base = pages.withColumns({row: F.monotonically_increasing_id(), u_host: host_of(F.col(url)), u_path: path_of(F.col(url))})
+    keep = F.struct(*[F.col(f"`{c}`") for c in pages.columns], host.alias(u_host), path.alias(u_path))
     tail = F.split(F.substring_index(host, ".", -max(labels, 1)), r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(tail)), lambda i: F.array_join(F.slice(tail, i, F.size(tail)), "."))
-    fits = F.filter(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length(path))
+    if len(lengths) > max_lengths:
+        fits = F.sequence(F.lit(0), F.least(F.length(path), F.lit(facts[3])))
+    elif lengths:
+        fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
+    else:
+        fits = F.array().cast("array<int>")
     exprs = F.flatten(F.transform(hosts, lambda h: F.transform(fits, lambda n: F.sha2(F.concat_ws("\x00", h, F.substring(path, F.lit(1), n)), 256))))
     asked = base.select(
         F.col(row).alias("row"), keep.alias("page"), F.explode_outer(F.when((host != "") & F.lit(bool(labels)), F.array_distinct(exprs))).alias("digest")
@@ -93,7 +94,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default
         F.col("best.rule").alias("url_rule"),
         F.coalesce("best.verdict", F.lit(default_verdict)).alias("url_verdict"),
         "n_rules",
-    ).withColumnsRenamed({"_u_host": "url_host", "_u_path": "url_path"})
+    ).withColumnsRenamed({u_host: "url_host", u_path: "url_path"})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

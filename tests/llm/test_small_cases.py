@@ -109,6 +109,16 @@ def test_url_clashes_repeats_and_no_rules(spark):
     assert url_filters.filter_urls(pages.where("false"), both).count() == 0
 
 
+def test_url_rules_of_any_length_and_number_of_lengths(spark):
+    long = "/" + "p" * 6000
+    rules = url_filters.rules_frame(spark, [("block", "a.org", long), *[("allow", "b.org", "/" + "q" * k) for k in range(40)]])
+    pages = urls(spark, "http://x.a.org" + long + "tail", "http://a.org/p", "http://b.org/" + "q" * 90).withColumn("_u_host", F.lit(1)).withColumn("_u_path", F.lit(2))
+    for bound in (1024, 3):
+        got = url_filters.filter_urls(pages, rules, max_lengths=bound, default_verdict="none").orderBy("page_id").collect()
+        assert [r.url_verdict for r in got] == ["block", "none", "allow"] and [r.n_rules for r in got] == [1, 0, 40]
+        assert got[2].url_rule == "b.org/" + "q" * 39 and {(r._u_host, r._u_path) for r in got} == {(1, 2)}
+
+
 # 3 --------------------------------------------------------------------------------------------------------------------
 PARA = "<p>" + "Some real text of the article. " * 5 + "</p>"
 
@@ -300,6 +310,27 @@ def test_cascade_order_changes_no_verdict(spark):
     assert sorted(one) == sorted(two)
 
 
+def test_repeats_are_exact_in_very_long_texts(spark):
+    rows = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(600_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("t"))
+    texts = rows.select(F.explode(F.array("t", F.concat("t", F.lit(" w5 w6 w7 w8 w5 w6 w7")))).alias("text"))
+    assert sorted(r.n_repeat_words for r in quality_rules.measure(texts).collect()) == [0, 11]
+
+
+def test_rules_keep_columns_and_nulls(spark):
+    df = odd(spark).withColumn("_w", F.lit(1)).withColumn("_l", F.lit(2))
+    out = quality_rules.quality_rules(df)
+    assert [c for c in out.columns if c in df.columns] == df.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[0].text is None and got[1].text == "" and (got[5]._w, got[5]._l) == (1, 2)
+    other = quality_rules.quality_rules(df.withColumn("body", F.lit("a b c " * 30)), text="body").collect()
+    assert {r.n_repeat_words for r in other} == {90} and {r.text for r in other} == {r.text for r in df.collect()}
+
+
+def test_cascade_order_is_by_rejections_per_character(spark):
+    df = quality_rules.measure(docs(spark, *["!! " * 200 + PLAIN] * 3, *["# $ " * 60 + PLAIN] * 2, PLAIN.upper()))
+    assert [r.name for r in quality_rules.cascade_order(df)] == ["symbols", "exclamations", "shouting", "duplicate_lines", "word_length"]
+
+
 # pipeline -------------------------------------------------------------------------------------------------------------
 def test_pipeline_stages_keep_columns_and_survive_empty_tables(spark, tmp_path, sf):
     for t in ("labels", "benchmark"):
