@@ -12,7 +12,8 @@ sum((S - T)^2 / C) in sqrt(tokens) * rate; C bounds G's eigenvalues, so steps of
 The labelled sample is at most SAMPLE rows of each domain (a documented bound); counts, posteriors and rates cover all
 rows. Defined results: null and empty texts have no tokens and the prior as posterior. A null domain is no label.
 Domains without a target have the target 0, targets without labelled rows are left out and the others rescaled. With
-no labels at all every rate is 1. Repeated rows get equal rates. Other columns are kept.
+no labels at all every rate is 1. Repeated rows get equal rates. Of tied posteriors the first domain by name is named;
+rates use all of them. Other columns are kept; n_tokens, domain, posterior and rate are replaced, whatever their case.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import table, words_of, written
+from .common import free_name, table, without, words_of, written
 
 #: Labelled rows of one domain that are used at most, words of the model, and buckets of its weight tables.
 SAMPLE, VOCABULARY, BUCKETS = 1024, 256, 4096
-MAX_DOMAINS = 64
 #: Target shares of the query's domains, which are the languages of the labelled documents.
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 STEP, TOLERANCE, ROUNDS, CUT = 1.5, 1e-6, 100, 10
@@ -37,31 +38,44 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS))
 
 
-def _votes(at: Column, weights: Column) -> Column:
-    return F.aggregate(at, F.lit(0.0), lambda s, i: s + F.get(weights, i))
+def _votes(at: Column, base: float, weights: Column) -> Column:
+    return F.aggregate(at, F.lit(base), lambda s, i: s + F.get(weights, i))
+
+
+def _first_of_each(rows: DataFrame, sizes: dict[str, int], sample: int) -> DataFrame:
+    """At most ``sample`` rows (_id, domain) of each domain, those of least hash.
+
+    Rows of large domains are thinned by their hash to about twice the sample before any window sees them.
+    """
+    spark = rows.sparkSession
+    span = 1 << 30
+    bounds = spark.createDataFrame([(d, min(span, -(-2 * sample * span // n) + span // 1000)) for d, n in sizes.items()], "_of string, _bound long")
+    place = F.pmod(F.xxhash64("_id"), F.lit(span))
+    thin = rows.join(F.broadcast(bounds), F.col("domain") == F.col("_of")).where(place < F.col("_bound"))
+    order = W.partitionBy("domain").orderBy(place, "_id")
+    return thin.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample).select("_id", "domain")
 
 
 def fit(docs: DataFrame, labelled: DataFrame, *, key: str, text: str, domain: str, sample: int = SAMPLE) -> dict:
-    """Domains, their logarithmic priors, and per domain the weight of each vocabulary word; of bounded size."""
+    """Domains, their logarithmic priors, and per domain the weight of each vocabulary word.
+
+    The model's size is the number of domains times VOCABULARY, whatever the number of rows.
+    """
     rows = labelled.select(F.col(key).alias("_id"), F.col(domain).cast("string").alias("domain")).where("_id is not null and domain is not null").distinct()
-    sizes = {r[0]: r[1] for r in rows.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MAX_DOMAINS + 1).collect()}
-    if len(sizes) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    sizes = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
     domains = sorted(sizes)
     if not domains:
         return {"domains": [], "prior": [], "base": [], "words": {}}
-    chosen = None
-    for d in domains:
-        part = rows.where(F.col("domain") == d).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = _first_of_each(rows, sizes, sample)
     held = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_key") == F.col("_id"))
     held = held.select("domain", F.array_distinct(words_of(F.col("_text"))).alias("words"))
     held = written(held, "labelled-words")
     n = {r[0]: r[1] for r in held.groupBy("domain").count().collect()}
     seen = held.select("domain", F.explode("words").alias("word")).groupBy("word", "domain").count()
-    share = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("count"))), F.lit(0)) / F.lit(float(max(1, n.get(d, 0)))) for d in domains]
-    shares = seen.groupBy("word").agg(F.array(*share).alias("share"))
-    top = shares.orderBy(F.desc(F.array_max("share") - F.array_min("share")), "word").limit(VOCABULARY).withColumn("bucket", _bucket(F.col("word"))).collect()
+    seen = seen.withColumn("share", F.col("count") / F.get(_literal({d: float(max(1, n.get(d, 0))) for d in domains}.values()), F.array_position(_literal(domains, "string"), F.col("domain")).cast("int") - 1))
+    spread = seen.groupBy("word").agg(F.max("share").alias("most"), F.min("share").alias("least"), F.count(F.lit(1)).alias("in_domains"), F.map_from_entries(F.collect_list(F.struct("domain", "count"))).alias("counts"))
+    spread = spread.withColumn("gap", F.col("most") - F.when(F.col("in_domains") < len(domains), F.lit(0.0)).otherwise(F.col("least")))
+    top = spread.orderBy(F.desc("gap"), "word").limit(VOCABULARY).withColumn("bucket", _bucket(F.col("word"))).collect()
     words: dict[str, list[float]] = {}
     buckets: dict[int, str] = {}
     base = [0.0] * len(domains)
@@ -69,7 +83,7 @@ def fit(docs: DataFrame, labelled: DataFrame, *, key: str, text: str, domain: st
         if r.bucket in buckets:  # the more telling word has the bucket
             continue
         buckets[r.bucket] = r.word
-        p = [(s * n.get(d, 0) + 1) / (n.get(d, 0) + 2) for s, d in zip(r.share, domains, strict=True)]
+        p = [(r.counts.get(d, 0) + 1) / (n.get(d, 0) + 2) for d in domains]
         words[r.word] = [math.log(x / (1 - x)) for x in p] + [r.bucket]
         base = [b + math.log(1 - x) for b, x in zip(base, p, strict=True)]
     total = sum(sizes.values())
@@ -77,25 +91,35 @@ def fit(docs: DataFrame, labelled: DataFrame, *, key: str, text: str, domain: st
     return {"domains": domains, "prior": prior, "base": base, "words": words}
 
 
+def _literal(values, kind: str = "double") -> Column:
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
+
+
 def posteriors(docs: DataFrame, model: dict, *, text: str) -> DataFrame:
-    """``docs`` plus n_tokens (words) and posterior (array of a share per domain)."""
-    vocabulary = F.from_json(F.lit(json.dumps(list(model["words"]))), "array<string>")
-    measured = F.transform(
-        F.array(words_of(F.col(text))),
-        lambda w: F.struct(F.size(w).cast("long").alias("n"), F.transform(F.array_intersect(w, vocabulary), lambda x: _bucket(x).cast("int")).alias("at")),
-    )[0]
-    out = docs.withColumn("_m", measured)
-    scores = []
-    for k in range(len(model["domains"])):
-        weights = [0.0] * BUCKETS
-        for w in model["words"].values():
-            weights[w[-1]] = w[k]
-        votes = _votes(F.col("_m.at"), F.from_json(F.lit(json.dumps(weights)), "array<double>"))
-        scores.append(F.lit(model["prior"][k]) + F.when(F.col("_m.n") > 0, votes + F.lit(model["base"][k])).otherwise(F.lit(0.0)))
-    out = out.withColumn("_s", F.array(*scores)).withColumn("_e", F.transform("_s", lambda x: F.exp(x - F.array_max("_s"))))
-    out = out.withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-    out = out.withColumn("posterior", F.transform("_e", lambda x: x / F.col("_t"))).withColumn("n_tokens", F.col("_m.n"))
-    return out.select(*docs.columns, "n_tokens", "posterior")
+    """``docs`` plus n_tokens (words) and posterior (array of a share per domain); columns of these names are replaced."""
+    docs = without(docs, *({"n_tokens", "posterior"} - {text.lower()}))
+    found = free_name(docs, "_found")
+    vocabulary = _literal(model["words"], "string")
+    number = [-1] * BUCKETS
+    for k, w in enumerate(model["words"].values()):
+        number[w[-1]] = k
+    at = lambda w: F.transform(F.array_intersect(w, vocabulary), lambda x: F.get(_literal(number, "int"), _bucket(x).cast("int")))
+    weights = [_literal(w[k] for w in model["words"].values()) for k in range(len(model["domains"]))]
+
+    def scores(m):
+        return F.array(
+            *[
+                F.lit(prior) + F.when(m["n"] > 0, _votes(m["at"], base, w)).otherwise(F.lit(0.0))
+                for prior, base, w in zip(model["prior"], model["base"], weights, strict=True)
+            ]
+        )
+
+    # Each step binds its value to a lambda's variable, so that it is computed once and no column needs a name.
+    whole = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    shares = lambda s: F.transform(F.array(F.transform(s, lambda x: F.exp(x - F.array_max(s)))), whole)[0]
+    measured = F.transform(F.array(words_of(F.col(text))), lambda w: F.struct(F.size(w).cast("long").alias("n"), at(w).alias("at")))[0]
+    made = F.transform(F.array(measured), lambda m: F.struct(m["n"].alias("n"), F.transform(F.array(scores(m)), shares)[0].alias("p")))[0]
+    return docs.withColumn(found, made).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{found}.n").alias("n_tokens"), F.col(f"{found}.p").alias("posterior"))
 
 
 def rates(scored: DataFrame, domains: list[str], targets: dict[str, float]) -> DataFrame:
@@ -106,9 +130,9 @@ def rates(scored: DataFrame, domains: list[str], targets: dict[str, float]) -> D
     known = {d: targets.get(d, 0.0) for d in domains}
     whole = sum(known.values())
     if whole <= 0 or not sum(mass):
-        return scored.withColumn("rate", F.lit(1.0))
+        return scored.select("*", F.lit(1.0).alias("rate"))
     wanted = [sum(mass) * known[d] / whole for d in domains]
-    rate, now = F.lit(1.0), scored
+    rate, now, held = F.lit(1.0), scored, free_name(scored, "_rate")
     total = mass
     for k in range(ROUNDS):
         gap = [(s - w) / c if c > 0 else 0.0 for s, w, c in zip(total, wanted, mass, strict=True)]
@@ -119,25 +143,25 @@ def rates(scored: DataFrame, domains: list[str], targets: dict[str, float]) -> D
             slope = slope + x * F.lit(STEP * g)
         rate = F.greatest(F.lit(0.0), rate - slope)
         if k % CUT == CUT - 1:  # keeps the expression short
-            now = written(now.withColumn("_rate", rate), "rates")
-            rate = F.col("_rate")
+            now = written(now.withColumn(held, rate), "rates")
+            rate = F.col(held)
         total = [x or 0.0 for x in now.agg(*[F.sum(rate * t * x) for x in p]).first()]
-    return now.withColumn("rate", rate).select(*scored.columns, "rate")
+    return now.select(*[F.col(f"`{c}`") for c in scored.columns], rate.alias("rate"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, key: str = "doc_id", text: str = "text", domain: str = "lang") -> DataFrame:
     """Every column of ``docs`` but the text, plus n_tokens, domain (the likeliest), posterior of it, rate."""
     model = fit(docs, labelled, key=key, text=text, domain=domain)
-    kept = [c for c in docs.columns if c not in (text, "n_tokens", "posterior", "rate", "domain")]
+    kept = [F.col(f"`{c}`") for c in without(docs, text, "n_tokens", "posterior", "rate", "domain").columns]
     if not model["domains"]:
         n = F.size(words_of(F.col(text))).cast("long")
         none = F.lit(None)
         return docs.select(*kept, n.alias("n_tokens"), none.cast("string").alias("domain"), none.cast("double").alias("posterior"), F.lit(1.0).alias("rate"))
     scored = written(posteriors(docs.select(*kept, text), model, text=text).drop(text), "posteriors")
     out = rates(scored, model["domains"], targets)
-    names = F.from_json(F.lit(json.dumps(model["domains"])), "array<string>")
     best = F.array_max("posterior")
-    return out.withColumn("domain", F.get(names, F.array_position("posterior", best).cast("int") - 1)).withColumn("posterior", best).select(*kept, "n_tokens", "domain", "posterior", "rate")
+    likeliest = F.get(_literal(model["domains"], "string"), F.array_position("posterior", best).cast("int") - 1)
+    return out.select(*kept, "n_tokens", likeliest.alias("domain"), best.alias("posterior"), "rate")
 
 
 def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 The scan finds base candidates (assign, access, hex) and further ones (extra: bearer and vendor tokens, web tokens,
 credentials in URLs, private-key headers). Every candidate value is hashed, and the hashes are counted over the corpus
-by distinct owners and repositories. Values of few owners look live; those of more are examples. Only owners decide, as
-in the SQL: a value in thousands of repositories of one or two owners looks live. Base spans stay whatever their count,
-and live-looking extra spans are added to them.
+by distinct owners and repositories. Values of few owners and few repositories look live: these are an owner's own.
+Those of more owners, or copied into more repositories, are examples. Base spans stay whatever their count, and
+live-looking extra spans are added to them.
 
-Each text is scanned once: the matches, not the texts, are written to the shared folder, and everything after reads
-that table. Positions come from the lengths between matches, as a running sum within one text.
+The table of texts is read once (each kind's pattern is matched on its own, for hits, values and the text between): the
+matches, not the texts, are written to the shared folder, and everything after reads that table. Positions come from the
+lengths between matches, as a running sum within one text.
 
 Defined results: null and empty texts have no spans and still give their row. Spans are code points, end exclusive. A
 null owner counts as one owner of its own. Repeated rows are scanned each on its own, and the same repository twice is
@@ -36,8 +37,10 @@ KINDS = (
     ),
 )
 BASE = ("assign", "access", "hex")
-#: A value that this many owners have at most looks live; one that more have is an example.
-LIVE_OWNERS = 2
+#: A value that this many owners and repositories have at most looks live; one that more have is an example.
+LIVE_OWNERS, LIVE_REPOSITORIES = 2, 20
+#: Code points in the pieces of a text from which redaction cuts.
+CHUNK = 4096
 #: Spans (of about 80 bytes) that are broadcast to the texts at most.
 BROADCAST_SPANS = 500_000
 
@@ -84,51 +87,65 @@ def ownership(hits: DataFrame) -> DataFrame:
     return pairs.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def find_secrets(docs: DataFrame, *, text: str = "text", owner: str = "source", repository: str = "doc_id", live_owners: int = LIVE_OWNERS) -> DataFrame:
-    """Per document: repository, owner, spans array<struct<start, kind_no, kind, end, live, added>> in order of start, then kind."""
+_SPANS = "array<struct<start:bigint,kind_no:bigint,kind:string,end:bigint,live:boolean,added:boolean,before:bigint>>"
+
+
+def find_secrets(
+    docs: DataFrame, *, text: str = "text", owner: str = "source", repository: str = "doc_id", live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES
+) -> DataFrame:
+    """Per document: repository, owner, spans array<struct<start, kind_no, kind, end, live, added, before>> in order of
+    start, then kind; ``before`` is the furthest end of the spans before it."""
     hits = scan(docs, text=text, owner=owner, repository=repository)
-    # Few values have more than live_owners owners; only those travel to the hits.
-    wide = ownership(hits).where(F.col("n_owners") > live_owners).select("value", F.lit(False).alias("_narrow"))
+    # Few values are examples; only those travel to the hits.
+    wide = ownership(hits).where((F.col("n_owners") > live_owners) | (F.col("n_repositories") > live_repositories)).select("value", F.lit(False).alias("_narrow"))
     judged = hits.where("value is not null").join(wide, "value", "left").withColumn("live", F.coalesce("_narrow", F.lit(True)))
     order = F.array_position(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("kind"))
     added = ~F.col("kind").isin(*BASE)
-    spans = (
-        judged.where(~added | F.col("live"))
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("start", order.alias("kind_no"), "kind", "end", "live", added.alias("added")))).alias("spans"))
-    )
+    shown = judged.where(~added | F.col("live")).select("row", "start", order.alias("kind_no"), "kind", "end", "live", added.alias("added"))
+    earlier = W.partitionBy("row").orderBy("start", "kind_no").rowsBetween(W.unboundedPreceding, -1)
+    shown = shown.withColumn("before", F.coalesce(F.max("end").over(earlier), F.lit(0).cast("long")))
+    spans = shown.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "kind", "end", "live", "added", "before"))).alias("spans"))
     rows = hits.groupBy("row").agg(F.first("repository").alias("repository"), F.first("owner").alias("owner"))
-    empty = F.array().cast("array<struct<start:bigint,kind_no:bigint,kind:string,end:bigint,live:boolean,added:boolean>>")
-    return rows.join(spans, "row", "left").select("repository", "owner", F.coalesce("spans", empty).alias("spans"))
+    return rows.join(spans, "row", "left").select("repository", "owner", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", repository: str = "doc_id", live_owners: int = LIVE_OWNERS) -> DataFrame:
+def redact(
+    docs: DataFrame, *, text: str = "text", owner: str = "source", repository: str = "doc_id", live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES
+) -> DataFrame:
     """``docs`` with every span replaced by ``[kind]``; overlapping spans become one, named by the first.
 
     Spans meet their text by a digest of key and text, so rows that share a key may differ, and repeated rows are alike.
+    Values are counted by ``repository`` as in ``find_secrets``. The text is cut into chunks once, so that a piece costs
+    its own length and not its distance from the text's start.
     """
     own, other, spans = free_name(docs, "_own"), free_name(docs, "_other"), free_name(docs, "_spans")
-    marked = docs.withColumn(own, F.md5(F.concat_ws(chr(0), F.col(repository).cast("string"), F.col(text))))
-    found = find_secrets(marked, text=text, owner=owner, repository=own, live_owners=live_owners).where(F.size("spans") > 0)
-    found = found.groupBy(F.col("repository").alias(other)).agg(F.first("spans").alias(spans))
+    marked = docs.withColumn(own, F.md5(F.concat_ws(chr(0), F.coalesce(F.col(repository).cast("string"), F.lit("")), F.col(text))))
+    pair = F.struct(F.col(repository).alias("key"), F.col(own).alias("own"))
+    named = marked.select(F.col(text).alias("text"), F.col(owner).alias("owner"), pair.alias("repository"))
+    found = find_secrets(named, owner="owner", repository="repository", live_owners=live_owners, live_repositories=live_repositories).where(F.size("spans") > 0)
+    found = found.groupBy(F.col("repository.own").alias(other)).agg(F.first("spans").alias(spans))
     if (found.agg(F.sum(F.size(spans))).first()[0] or 0) <= BROADCAST_SPANS:  # then the texts stay where they are; else both sides are shuffled
         found = F.broadcast(found)
-    t = F.col(text)
-    piece = lambda a, b: F.substring(t, a + 1, b - a)
-    joined = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], piece(a["at"], s["start"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))
-        ),
-        lambda a: F.concat(a["out"], piece(a["at"], F.char_length(t).cast("long"))),
-    )
+    t, chunk = F.col(text), F.lit(CHUNK).cast("long")
+
+    def piece(chunks, a, b):
+        first = F.floor(a / chunk)
+        part = F.slice(chunks, (first + 1).cast("int"), (F.floor(b / chunk) - first + 1).cast("int"))
+        return F.when(b > a, F.substring(F.array_join(part, ""), (a - first * chunk + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
+
+    def joined(chunks):
+        kept = F.filter(F.col(spans), lambda s: s["start"] >= s["before"])
+        cut = F.transform(kept, lambda s: F.concat(piece(chunks, s["before"], s["start"]), F.lit("["), s["kind"], F.lit("]")))
+        last = F.array_max(F.transform(F.col(spans), lambda s: s["end"]))
+        return F.concat(F.array_join(cut, ""), piece(chunks, last, F.char_length(t).cast("long")))
+
+    whole = F.transform(F.array(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))), joined)[0]
     out = marked.join(found, F.col(own) == F.col(other), "left")
-    return out.withColumn(text, F.when(F.col(spans).isNotNull(), joined).otherwise(t)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn(text, F.when(F.col(spans).isNotNull(), whole).otherwise(t)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,9 +182,9 @@ with d as (
   select doc_id, source, kind_no, kind, v, length(v) >= least as ok,
     (sum(length(b) + length(h)) over (partition by doc_id, kind_no order by i))::bigint as e_, length(h) as n from e
 ), o as (
-  select v, count(distinct coalesce(source, chr(1))) as owners from s where ok group by v
+  select v, count(distinct coalesce(source, chr(1))) as owners, count(distinct (source, doc_id)) as places from s where ok group by v
 ), k as (
-  select s.*, e_ - n as s_, owners <= 2 as live from s join o using (v) where ok and (kind_no < 4 or owners <= 2)
+  select s.*, e_ - n as s_, owners <= 2 and places <= 20 as live from s join o using (v) where ok and (kind_no < 4 or (owners <= 2 and places <= 20))
 ), g as (
   select doc_id,
     count(*) filter (kind_no = 1)::bigint as n_assign, count(*) filter (kind_no = 2)::bigint as n_access, count(*) filter (kind_no = 3)::bigint as n_hex,

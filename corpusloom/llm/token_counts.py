@@ -5,6 +5,9 @@ numpy array of symbols; in every round each sequence finds its pair of lowest ra
 at once, for all sequences simultaneously, until no pair has a rank. What survives is the count. A pair made by a merge
 ranks after that merge, so taking all occurrences of the lowest pair at once gives what one merge at a time gives.
 
+A pre-token over LONG_BYTES may need as many rounds as it has symbols, so it is merged on its own, by a heap that holds
+its ranked pairs; no length makes a round dear for the others.
+
 Counts of short pre-tokens are kept per worker in a table of bounded size, so frequent ones are merged once.
 
 Defined results: null and empty texts have no tokens and no bytes. Special strings inside a text count as the library's
@@ -13,6 +16,7 @@ default has it: one token each. Nothing is truncated.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 from collections.abc import Iterator
@@ -31,6 +35,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 KEPT, KEPT_CHARS = 400_000, 64
 #: Characters of text that are taken together, and bytes of symbols that are merged together.
 SLICE_CHARS, MERGE_BYTES = 4_000_000, 2_000_000
+#: Bytes of a pre-token beyond which it is merged on its own: rounds grow with a sequence's length.
+LONG_BYTES = 512
 _NONE = np.iinfo(np.int64).max
 
 
@@ -59,15 +65,54 @@ class Merger:
         pair = left << 32 | right
         order = np.argsort(pair, kind="stable")
         self.pairs, self.ranks, self.made = pair[order], order.astype(np.int64), made[order]
+        self.table = None
         self.special = [t["content"] for t in spec.get("added_tokens", []) if t.get("special")]
 
     def count(self, tokens: list[bytes]) -> np.ndarray:
         """Surviving symbols of each pre-token."""
         out = np.zeros(len(tokens), np.int64)
-        for a, b in slices([len(t) for t in tokens], MERGE_BYTES):
-            out[a:b] = self._count(tokens[a:b])
+        short = [k for k, t in enumerate(tokens) if len(t) <= LONG_BYTES]
+        for a, b in slices([len(tokens[k]) for k in short], MERGE_BYTES):
+            out[short[a:b]] = self._count([tokens[k] for k in short[a:b]])
+        for k, t in enumerate(tokens):
+            if len(t) > LONG_BYTES:
+                out[k] = self.count_long(t)
         return out
 
+    def count_long(self, token: bytes) -> int:
+        """One long pre-token: a heap of ranked pairs, and links to the next living symbol, so that a merge touches its
+        neighbours alone. The same merges in the same order, without walking the whole array in every round."""
+        table = self._table()
+        ids = self.first[np.frombuffer(token, np.uint8)].tolist()
+        n = len(ids)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(table[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in table]
+        heapq.heapify(heap)
+        count = n
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = right[i] if ids[i] >= 0 else -1
+            found = table.get((ids[i], ids[j])) if j >= 0 else None
+            if found is None or found[0] != rank:  # one of the two has been merged meanwhile
+                continue
+            ids[i], ids[j] = found[1], -1
+            count -= 1
+            k = right[i] = right[j]
+            if k >= 0:
+                left[k] = i
+                if after := table.get((ids[i], ids[k])):
+                    heapq.heappush(heap, (after[0], i))
+            h = left[i]
+            if h >= 0 and (before := table.get((ids[h], ids[i]))):
+                heapq.heappush(heap, (before[0], h))
+        return count
+
+    def _table(self) -> dict[tuple[int, int], tuple[int, int]]:
+        if self.table is None:
+            pairs = zip((self.pairs >> 32).tolist(), (self.pairs & 0xFFFFFFFF).tolist(), strict=True)
+            self.table = dict(zip(pairs, zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        return self.table
+
     def _count(self, tokens: list[bytes]) -> np.ndarray:
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         out = sizes.copy()

@@ -1,8 +1,8 @@
 """Operator 7: WARC archives, index first.
 
 Writing: payloads are digested; of records with equal payloads of at least ``MIN_DEDUP_BYTES`` the one with the
-smallest page_id is the response and the others are revisits of it. Each task writes one gzip member per record into a
-file of its own in the shared folder and returns an index row (file, offset, length, url, digest, ...) for each. A
+smallest page_id is the response and the others are revisits of it. Each task writes one gzip member per record into
+files of its own of about ``ARCHIVE`` bytes in the shared folder and returns an index row (file, offset, length, url, digest, ...) for each. A
 repeated task writes another file under another name, and only the rows of the attempt that Spark keeps name a file, so
 lost executors leave unreferenced files at worst.
 
@@ -28,8 +28,10 @@ from .common import scratch_path, table, written
 MIN_DEDUP_BYTES = 100
 #: Neighbouring ranges are read together across gaps of up to GAP bytes, in reads of up to READ bytes.
 GAP, READ = 64 << 10, 8 << 20
-#: Bytes of a file that one reading task takes at least; larger files are dealt to several.
-REGION = 64 << 20
+#: Bytes of a file that a reading task takes at a time, and at which a writing task begins another file.
+REGION, ARCHIVE = 8 << 20, 256 << 20
+#: Bytes of repeated digests that are broadcast to the payloads at most.
+BROADCAST_BYTES = 32 << 20
 
 INDEX = "file string, offset bigint, length bigint, page_id bigint, url string, digest string, record_type string, refers_to bigint, payload_bytes bigint"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, digest string, payload_bytes bigint, payload binary"
@@ -99,72 +101,91 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def _referred(pages: DataFrame, ready: DataFrame, html, broadcast_bytes: int) -> DataFrame:
+    """``ready`` (page_id, url, payload, digest) plus first_id, the response of its payload if several rows have it.
+
+    Few repeated digests are broadcast, and payloads stay where they are. Else narrow rows find their response first, and
+    payloads are moved once by page_id and digest, which deals a payload that a third of all rows hold to all tasks.
+    """
+    digests = pages.select("page_id", F.when(F.octet_length(html) >= MIN_DEDUP_BYTES, F.sha2(html, 256)).alias("digest")).where("digest is not null")
+    # A partial minimum combines such a payload's rows before the shuffle.
+    same = digests.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
+    same = written(same.select("digest", "first_id"), "warc-repeated")
+    if 100 * same.count() <= broadcast_bytes:
+        return ready.join(F.broadcast(same), "digest", "left")
+    named = digests.distinct().join(same, "digest").select("page_id", "digest", "first_id")
+    met = (ready["digest"] == named["digest"]) & ready["page_id"].eqNullSafe(named["page_id"])
+    return ready.join(named, met, "left").select(ready["*"], named["first_id"])
+
+
+def write_archives(pages: DataFrame, folder: str, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) under ``folder``, a URI that all executors share; returns the index."""
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     ready = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    # Narrow rows and a partial minimum: a payload that a third of all rows hold is combined before the shuffle.
-    same = (
-        pages.select("page_id", html.alias("p"))
-        .where(F.octet_length("p") >= MIN_DEDUP_BYTES)
-        .groupBy(F.sha2("p", 256).alias("digest"))
-        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 and first_id is not null")
-        .select("digest", "first_id")
-    )
-    ready = ready.join(same, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")), F.col("first_id")).alias("refers_to")
-    )
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")), F.col("first_id")).alias("refers_to")
+    ready = _referred(pages, ready, html, broadcast_bytes).select("page_id", "url", "payload", "digest", refers)
+    archive = ARCHIVE
     schema = _arrow(INDEX)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, out, path, at = None, None, "", 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                store, root = _open(folder)
-                store.create_dir(root, recursive=True)
-                path = f"{root}/part-{uuid.uuid4().hex}.warc.gz"
-                out = store.open_output_stream(path, compression=None)
-            rows = []
-            for page_id, url, payload, digest, refers_to in zip(*(c for c in b.columns), strict=True):
-                page_id, url, payload, digest, refers_to = (x.as_py() for x in (page_id, url, payload, digest, refers_to))
-                member = gzip.compress(record(page_id, url, payload, digest, refers_to), 6, mtime=0)
-                out.write(member)
-                kind = "response" if refers_to is None else "revisit"
-                rows.append((path.rsplit("/", 1)[1], at, len(member), page_id, url, digest, kind, refers_to, len(payload)))
-                at += len(member)
-            yield _batch(rows, schema)
-        if out is not None:
-            out.close()
+        try:
+            for b in batches:
+                rows = []
+                for row in zip(*(c for c in b.columns), strict=True):
+                    page_id, url, payload, digest, refers_to = (x.as_py() for x in row)
+                    if out is not None and at >= archive:
+                        out.close()
+                        out = None
+                    if out is None:
+                        store, root = _open(folder)
+                        store.create_dir(root, recursive=True)
+                        path, at = f"{root}/part-{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(path, compression=None)
+                    member = gzip.compress(record(page_id, url, payload, digest, refers_to), 6, mtime=0)
+                    out.write(member)
+                    kind = "response" if refers_to is None else "revisit"
+                    rows.append((path.rsplit("/", 1)[1], at, len(member), page_id, url, digest, kind, refers_to, len(payload)))
+                    at += len(member)
+                yield _batch(rows, schema)
+        finally:
+            if out is not None:
+                out.close()
 
     return written(ready.mapInArrow(write, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """The records of the (selected) index rows, by coalesced ranged reads."""
-    dealt = index.select("file", "offset", "length").repartition(F.col("file"), F.floor(F.col("offset") / REGION))
+    """The records of the (selected) index rows, by coalesced ranged reads.
+
+    Index rows are narrow, so their own size says nothing of the reads: the number of tasks follows from the bytes that
+    they name, and a numbered repartition keeps it.
+    """
+    region = REGION
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // region))
+    dealt = index.select("file", "offset", "length").repartition(tasks, F.col("file"), F.floor(F.col("offset") / region))
     dealt = dealt.sortWithinPartitions("file", "offset")
     schema = _arrow(RECORD)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = None, ""
         opened, name = None, None
-        for b in batches:
-            if store is None:
-                store, root = _open(folder)
-            for file, ranges in _coalesced(zip(*(c.to_pylist() for c in b.columns), strict=True)):
-                if file != name:
-                    if opened:
-                        opened.close()
-                    opened, name = store.open_input_file(f"{root}/{file}"), file
-                start = ranges[0][0]
-                data = opened.read_at(ranges[-1][0] + ranges[-1][1] - start, start)
-                rows = [tuple(parse(gzip.decompress(data[o - start : o - start + n])).values()) for o, n in ranges]
-                yield _batch(rows, schema)
-        if opened:
-            opened.close()
+        try:
+            for b in batches:
+                if store is None:
+                    store, root = _open(folder)
+                for file, ranges in _coalesced(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                    if file != name:
+                        if opened:
+                            opened.close()
+                        opened, name = store.open_input_file(f"{root}/{file}"), file
+                    start = ranges[0][0]
+                    data = opened.read_at(ranges[-1][0] + ranges[-1][1] - start, start)
+                    rows = [tuple(parse(gzip.decompress(data[o - start : o - start + n])).values()) for o, n in ranges]
+                    yield _batch(rows, schema)
+        finally:
+            if opened:
+                opened.close()
 
     return dealt.mapInArrow(read, RECORD)
 

@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns for every operator."""
 
 import hashlib
+import time
+import zlib
 
 import corpus_pipeline
 import pytest
@@ -182,6 +184,23 @@ def test_token_small_cases(spark):
     assert token_counts.count_tokens(df.where("false")).count() == 0
 
 
+def test_very_long_words_take_their_own_pass(spark):
+    import random
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_counts.vocabulary_path(token_counts.VOCABULARY))
+    merger = token_counts.Merger(token_counts.vocabulary_path(token_counts.VOCABULARY))
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (1, 2, 300, 900, 5000)] + ["a" * 999, "ab" * 700, "日本" * 500]
+    for w in words:
+        n = len(tok.encode(w, add_special_tokens=False).ids)
+        assert merger.count([w.encode()]).tolist() == [n] and merger.count_long(w.encode()) == n
+    began = time.perf_counter()
+    merger.count(["".join(rng.choices("etaoinshrdlu", k=200_000)).encode()])
+    assert time.perf_counter() - began < 10
+
+
 # 5 --------------------------------------------------------------------------------------------------------------------
 def spans(spark, *texts):
     found = secret_scans.find_secrets(docs(spark, *texts))
@@ -205,6 +224,22 @@ def test_widely_copied_extras_are_examples(spark):
     assert all([(s.kind, s.live) for s in r.spans] == [("assign", False)] for r in got)
 
 
+def test_a_value_in_many_repositories_is_an_example(spark):
+    token = "ghp_" + "a1B2" * 8
+    n = secret_scans.LIVE_REPOSITORIES
+    for k in (n, n + 1):
+        found = secret_scans.find_secrets(docs(spark, *[f"see {token}"] * k).withColumn("source", F.lit("one"))).collect()
+        assert [len(r.spans) for r in found] == [int(k == n)] * k
+
+
+def test_redaction_of_long_texts_and_overlaps(spark):
+    many = " ".join(f"ü{k} token=abcdefgh{k}" for k in range(3000))
+    texts = [many, "x" * 5000 + "é token=" + "0a" * 20 + "y" * 9000 + " AKIA" + "Z" * 16, "secret=AKIA" + "Q" * 16 + "f" * 40 + " end"]
+    got = {r.doc_id: r.text for r in secret_scans.redact(docs(spark, *texts)).collect()}
+    assert got[0] == " ".join(f"ü{k} [assign]" for k in range(3000))
+    assert got[1] == "x" * 5000 + "é [assign]" + " [access]" and got[2] == "[assign] end"
+
+
 def test_redaction(spark):
     df = docs(spark, "a password=hunter2222 b", "a password=hunter2222 b", None, "ü token=" + "0a" * 20 + " z", ids=[1, 1, 2, None]).withColumn("_spans", F.lit(0)).withColumn("_own", F.lit(0))
     got = secret_scans.redact(df)
@@ -258,6 +293,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_records(warc.write_archives(pages.where("false"), folder), folder).count() == 0
 
 
+def test_warc_without_broadcast_and_with_rolled_archives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE", 200)
+    monkeypatch.setattr(warc, "REGION", 300)
+    rows = [(k, f"u{k}", "same payload of every row " * 10 if k % 3 else f"own {k} " * 30) for k in range(40)] + [(None, "n", "same payload of every row " * 10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = []
+    for k, bound in enumerate((warc.BROADCAST_BYTES, 0)):
+        index = warc.write_archives(pages, f"file://{tmp_path}/{k}", broadcast_bytes=bound)
+        assert index.select("file").distinct().count() > 4
+        back = warc.read_records(index, f"file://{tmp_path}/{k}")
+        got.append(sorted((r.page_id or -1, r.record_type, r.refers_to or -1, r.payload_bytes) for r in back.collect()))
+    assert got[0] == got[1] and len(got[0]) == 41 and sum(x[1] == "response" for x in got[0]) == 15
+
+
 def test_reads_are_coalesced():
     rows = [("a", 0, 10), ("a", 10, 10), ("a", 5_000_000, 10), ("b", 0, 5), ("b", 0, 5)]
     assert [(f, len(r)) for f, r in warc._coalesced(iter(rows))] == [("a", 2), ("a", 1), ("b", 2)]
@@ -271,9 +320,10 @@ def test_classifier_small_cases(spark):
     model = quality_classifier.fit(df, marks)
     tried = odd(spark).withColumn("score", F.lit("old"))
     got = quality_classifier.score(tried, model).collect()
-    assert len(got) == 7 and all(0 <= r.score <= 1 for r in got) and next(r.score for r in got if r.doc_id == 0) == pytest.approx(model.mean)
-    kept = quality_classifier.keep_good(df, marks)
-    assert kept.columns == df.columns and {r.doc_id % 2 for r in kept.collect()} == {1}
+    assert len(got) == 7 and all(0 <= r.score <= 1 for r in got) and next(r.score for r in got if r.doc_id == 0) == pytest.approx(model.alike)
+    clash = df.withColumn("_quality_score", F.lit("mine"))
+    kept = quality_classifier.keep_good(clash, marks)
+    assert kept.columns == clash.columns and {(r.doc_id % 2, r._quality_score) for r in kept.collect()} == {(1, "mine")}
     none = quality_classifier.fit(df, marks.where("false"))
     assert {r.score for r in quality_classifier.score(df, none).collect()} == {0.5}
     one = quality_classifier.fit(df, marks.where("quality = 1"))
@@ -281,6 +331,19 @@ def test_classifier_small_cases(spark):
     assert quality_classifier.score(df.where("false"), model).count() == 0
 
 
+def test_classifier_ties_and_texts_without_words(spark):
+    same = "one text that many rows share and label apart "
+    df = docs(spark, *[same] * 60, *["!!"] * 30, "", None)
+    marks = labels(spark, *[(k, int(k % 3 == 0), 0) for k in range(60)], *[(k, 0, 0) for k in range(60, 90)])
+    model = quality_classifier.fit(df, marks)
+    got = {r.doc_id: r.score for r in quality_classifier.score(df, model).collect()}
+    learnt = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    assert got[0] == pytest.approx(sum(k % 3 == 0 for k in learnt) / len(learnt), abs=1e-6) and len({got[k] for k in range(60)}) == 1
+    assert got[90] == got[91] == 0.0  # the shortest labelled texts are junk
+    twice = docs(spark, "b", "a", "b", ids=[1, 1, 1])
+    assert quality_classifier.fit(twice, labels(spark, (1, 1, 0))).labels.tolist() == [1.0]
+
+
 # 9 --------------------------------------------------------------------------------------------------------------------
 def test_mixing_small_cases(spark):
     df = docs(spark, None, "", *["the cat and the dog"] * 4, *["der hund und die katze"] * 2, ids=[0, 1, 2, 3, 4, 4, 5, 6])
@@ -294,6 +357,22 @@ def test_mixing_small_cases(spark):
     assert mixing.mix(df.where("false"), df.select("doc_id", "lang"), {"en": 1.0}).count() == 0
 
 
+def test_mixing_many_domains_clashes_long_texts_and_ties(spark):
+    words = [" ".join(f"d{k}w{j}" for j in range(6)) for k in range(90)]
+    df = docs(spark, *[w for w in words for _ in range(2)]).withColumn("lang", F.concat(F.lit("l"), F.lpad((F.col("doc_id") / 2).cast("int").cast("string"), 2, "0")))
+    got = mixing.mix(df, df.select("doc_id", "lang"), {f"l{k:02d}": 1.0 for k in range(90)}).collect()
+    assert len({r.domain for r in got}) > 30 and all(r.rate >= 0 for r in got)
+    df = docs(spark, "the cat", "der hund", "the cat", LONG, "nothing known").withColumn("lang", F.when(F.col("doc_id") == 1, "de").when(F.col("doc_id") == 3, "xx").otherwise("en"))
+    clash = df
+    for c in ("_m", "_s", "_e", "_t", "_rate", "_found", "Rate", "Domain"):
+        clash = clash.withColumn(c, F.lit("mine"))
+    out = mixing.mix(clash, df.select("doc_id", "lang").where("doc_id < 2"), {"en": 0.5, "de": 0.5})
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "_m", "_s", "_e", "_t", "_rate", "_found", "n_tokens", "domain", "posterior", "rate"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert {(r._m, r._s, r._e, r._t, r._rate, r._found) for r in got.values()} == {("mine",) * 6}
+    assert got[3].n_tokens == 60_000 and got[3].domain == got[4].domain == "de" and got[4].posterior == pytest.approx(0.5)
+
+
 # 10 -------------------------------------------------------------------------------------------------------------------
 def test_rules_small_cases(spark):
     df = odd(spark).unionByName(docs(spark, "a b c " * 30, PLAIN + "\nsame\nsame\n \n", ids=[8, 9])).withColumn("n_words", F.lit("x")).withColumn("kept", F.lit("y"))
