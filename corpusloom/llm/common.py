@@ -26,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a session without one (tests) gets its own."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A local session without one gets its own, as in tests;
+    on a cluster a folder of one machine would lose rows, so one must be named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     import tempfile
 
     made = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
@@ -50,6 +53,11 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Scratch:
     """A folder for an operator's intermediate tables, which goes when the operator has written its result."""
 
@@ -62,9 +70,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -6,8 +6,9 @@ shared span. Fingerprints of the documents are joined to those of the benchmark,
 WINDOW words around it is held against the benchmark's windows, and the words of equal ones are marked. Items of fewer
 than WINDOW words are one window each, looked up at every position.
 
-The benchmark is taken in blocks of at most BLOCK_BYTES of text. A block is broadcast, so that documents never move;
-with several blocks, the few rows with hits are merged by document. Fingerprints of documents never leave their task.
+A benchmark of at most BLOCK_BYTES of text is broadcast, and documents never move. A larger one is joined: documents emit
+their fingerprints, which meet the benchmark's in an equi-join; documents with a fingerprint in common are read again,
+emit the windows around those places, and these meet the benchmark's windows. Nothing of it passes through the driver.
 
 Defined results: null and empty texts, and texts without words, have no words and no hits. Items without words are in
 no window; several items may share a window and each counts; an item_id of several rows counts once. Benchmark rows
@@ -24,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, free_name, table, written
 from .wordhash import ALNUM, byte_slices, grams, grams_at, hash_words
 
 WINDOW = 10
 #: Words of a k-gram; WINDOW - K + 1 consecutive k-grams make a winnowing window.
 K = 5
-#: UTF-8 bytes of benchmark text in one block: its arrays take about twice that, on the driver and in each worker.
+#: UTF-8 bytes of a benchmark that is broadcast: its arrays take about twice that, on the driver and in each worker.
 BLOCK_BYTES = 16 << 20
 
-_FOUND = "row bigint, n_words bigint, hits array<struct<a:bigint,b:bigint>>, items array<string>"
+_FOUND = "n_words bigint, hits array<struct<a:bigint,b:bigint>>, items array<string>"
 _TYPES = (pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string()))
 
 
@@ -133,60 +134,145 @@ def _marks(windows: Windows, texts: list[bytes]) -> list[tuple[int, list, list]]
     return [(int(sizes[d]), hits.get(d, []), sorted({windows.names[i] for i in items.get(d, ())})) for d in range(len(texts))]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[Windows]:
-    """Bounded parts of the benchmark, each collected by itself. Always at least one."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield Windows([(r.item, r.text.encode()) for r in part.toLocalIterator()])
+def _small(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Windows | None:
+    """The windows of a benchmark of at most ``block_bytes``; None for a larger one."""
+    rows = _items(benchmark, item, text)
+    if (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > block_bytes:
+        return None
+    return Windows([(r.item, r.text.encode()) for r in rows.toLocalIterator()])
+
+
+def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    return benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
 
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Per row of ``docs``: key, row, n_words, hits (disjoint intervals of words, b exclusive), items (sorted strings).
+    """Per row of ``docs``: key, n_words, hits (disjoint intervals of words, b exclusive), items (sorted strings)."""
+    windows = _small(benchmark, item, item_text, block_bytes)
+    if windows is None:
+        return _joined(docs, _items(benchmark, item, item_text), key, text)
+    kind = docs.schema[key].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(windows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [m for _, texts in byte_slices(b.column(1)) for m in _marks(sent.value, texts)]
+            arrays = [b.column(0), *(pa.array([m[i] for m in made], t) for i, t in enumerate(_TYPES))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "n_words", "hits", "items"])
+
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, {_FOUND}")
+    return found.withColumnRenamed("key", key)
 
-    ``row`` is the row's number in the scan of ``docs``.
-    """
+
+def _hashes(texts: list[bytes], short: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(text, first word, hash, words) of every fingerprint (words 0) and of every gram of a short size."""
+    h, doc = hash_words(texts, ALNUM)
+    first = np.searchsorted(doc, np.arange(len(texts)))
+    at, prints = winnow(h, doc)
+    yield doc[at], at - first[doc[at]], prints, 0
+    for n in short:
+        g = grams(h, n)
+        at = np.flatnonzero(doc[: len(g)] == doc[n - 1 :]) if len(g) else np.zeros(0, np.int64)
+        yield doc[at], at - first[doc[at]], g[at], n
+
+
+def _columns(parts, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=list(names))
+
+
+def _item_rows(windows_of_items: bool):
+    """(item, words, hash) of each item's windows, or of its fingerprints (words 0) and short windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0).to_pylist()
+            for start, texts in byte_slices(b.column(1)):
+                for k, t in enumerate(texts):
+                    h, _ = hash_words([t], ALNUM)
+                    n = min(WINDOW, len(h))
+                    if not n:
+                        continue
+                    full = n == WINDOW and not windows_of_items
+                    found = winnow(h, np.zeros(len(h), np.int64))[1] if full else np.unique(grams(h, n))
+                    size = np.full(len(found), 0 if full else n)
+                    yield _columns((pa.array([names[start + k]] * len(found), pa.string()), size, found.view(np.int64)), ("item", "words", "hash"))
+
+    return run
+
+
+def _joined(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
+    """``find_contamination`` by equi-joins. Rows are known by a digest of their key and text: equal ones have equal
+    results, and a repeated task gives the same digests."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "decontamination")
+    own = F.xxhash64(F.lit(7), F.col(key).cast("string"), F.col(text)).alias("own")
     kind = docs.schema[key].dataType.simpleString()
-    base = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    found, several = None, False
-    for windows in _blocks(benchmark, item, item_text, block_bytes):
-        sent = spark.sparkContext.broadcast(windows)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                made = [m for _, texts in byte_slices(b.column(2)) for m in _marks(sent.value, texts)]
-                arrays = [b.column(0), b.column(1), *(pa.array([m[i] for m in made], t) for i, t in enumerate(_TYPES))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "row", "n_words", "hits", "items"])
-
-        part = base.mapInArrow(run, f"key {kind}, {_FOUND}")
-        found = part if found is None else found.unionByName(part)
-        several = found is not part
-    if several:
-        found = found.groupBy("row").agg(
-            F.first("key").alias("key"),
-            F.max("n_words").alias("n_words"),
-            F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        found = found.withColumn("hits", _disjoint(F.col("hits")))
-    return found.withColumnRenamed("key", key)
+    rows = docs.select(own, F.xxhash64(F.lit(8), F.col(key).cast("string"), F.col(text)).alias("also"), F.col(key).alias("key"), F.col(text).alias("text"))
+
+    windows = scratch.written(items.mapInArrow(_item_rows(True), "item string, words bigint, hash bigint").distinct(), "windows")
+    wanted = items.mapInArrow(_item_rows(False), "item string, words bigint, hash bigint").select("words", "hash").distinct()
+    wanted = scratch.written(wanted, "prints")
+    # At most WINDOW - 1 sizes of short items, whatever the benchmark.
+    short = tuple(sorted(r[0] for r in wanted.where("words > 0").select("words").distinct().collect()))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            o, a = (b.column(k).to_numpy() for k in range(2))
+            for start, texts in byte_slices(b.column(2)):
+                for doc, at, h, n in _hashes(texts, short):
+                    yield _columns((o[start + doc], a[start + doc], at, np.full(len(at), n), h.view(np.int64)), ("own", "also", "at", "words", "hash"))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                t = b.column(2)[k].as_py() or ""
+                h, _ = hash_words([t.encode()], ALNUM)
+                at = np.array(b.column(3)[k].as_py(), np.int64)
+                at = np.unique((at[:, None] - np.arange(WINDOW - K + 1)).ravel())
+                at = at[(at >= 0) & (at <= len(h) - WINDOW)]
+                same = [np.full(len(at), b.column(i)[k].as_py(), np.int64) for i in range(2)]
+                yield _columns((*same, at, np.full(len(at), WINDOW), grams_at(h, at, WINDOW).view(np.int64)), ("own", "also", "at", "words", "hash"))
+
+    hashes = "own bigint, also bigint, at bigint, words bigint, hash bigint"
+    met = rows.select("own", "also", "text").mapInArrow(emit, hashes).distinct().join(wanted, ["words", "hash"], "left_semi")
+    met = scratch.written(met, "met")
+    places = met.where("words = 0").groupBy("own", "also").agg(F.collect_set("at").alias("places"))
+    full = rows.join(places, ["own", "also"]).select("own", "also", "text", "places").mapInArrow(around, hashes).distinct()
+    hits = full.unionByName(met.where("words > 0").select("own", "also", "at", "words", "hash")).join(windows, ["words", "hash"])
+    hits = scratch.written(hits.select("own", "also", "at", "words", "item"), "hits")
+    spans = hits.select("own", "also", F.struct(F.col("at").alias("a"), (F.col("at") + F.col("words")).alias("b")).alias("x")).distinct()
+    spans = spans.groupBy("own", "also").agg(F.sort_array(F.collect_list("x")).alias("hits"))
+    names = hits.select("own", "also", "item").distinct().groupBy("own", "also").agg(F.sort_array(F.collect_list("item")).alias("items"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [x for _, texts in byte_slices(b.column(3)) for x in np.bincount(hash_words(texts, ALNUM)[1], minlength=len(texts)).tolist()]
+            yield _columns((b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())), ("own", "also", "key", "n_words"))
+
+    out = rows.mapInArrow(
+        lambda batches: counted(b.select(["own", "also", "key", "text"]) for b in batches), f"own bigint, also bigint, key {kind}, n_words bigint"
+    )
+    out = out.join(spans, ["own", "also"], "left").join(names, ["own", "also"], "left")
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    out = out.select(F.col("key").alias(key), "n_words", F.coalesce(_disjoint(F.col("hits")), none).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = written(out, "contamination")
+    scratch.drop()
+    return out
 
 
 def _disjoint(hits: Column) -> Column:
     """Sorted intervals without their overlaps: each starts where the ones before it have ended, and empty ones go."""
-    cut = F.aggregate(
-        hits,
-        F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out")),
-        lambda s, x: F.when(x["b"] <= s["upto"], s).otherwise(
-            F.struct(x["b"].alias("upto"), F.concat(s["out"], F.array(F.struct(F.greatest(x["a"], s["upto"]).alias("a"), x["b"].alias("b")))).alias("out"))
-        ),
-    )
-    return cut["out"]
+    back = WINDOW * WINDOW
+
+    def upto(i):
+        before = F.slice(hits, F.greatest(F.lit(1), i - back + 1), F.least(i, F.lit(back)))
+        return F.coalesce(F.array_max(F.transform(before, lambda x: x["b"])), F.lit(0).cast("long"))
+
+    # Intervals have at most WINDOW words and WINDOW sizes, so those that reach past a start are among the last WINDOW^2.
+    cut = F.transform(hits, lambda x, i: F.struct(F.greatest(x["a"], upto(i)).alias("a"), x["b"].alias("b")))
+    return F.filter(cut, lambda x: x["a"] < x["b"])
 
 
 def hit_words(hits: Column) -> Column:
@@ -194,10 +280,15 @@ def hit_words(hits: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the rows that hold a window of the benchmark: one pass for each block, no join."""
-    for windows in _blocks(benchmark, item, item_text, block_bytes):
-        docs = _clean(docs, text, docs.sparkSession.sparkContext.broadcast(windows))
-    return docs
+    """``docs`` without the rows that hold a window of the benchmark: one pass, or an anti-join if the benchmark is large."""
+    windows = _small(benchmark, item, item_text, block_bytes)
+    if windows is not None:
+        return _clean(docs, text, docs.sparkSession.sparkContext.broadcast(windows))
+    own = free_name(docs, "_own")
+    marked = docs.withColumn(own, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    found = _joined(marked.select(own, text), _items(benchmark, item, item_text), own, text)
+    hit = found.where(F.size("hits") > 0).select(own).distinct()
+    return marked.join(hit, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _clean(docs: DataFrame, text: str, sent) -> DataFrame:
