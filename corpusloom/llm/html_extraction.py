@@ -1,9 +1,10 @@
 """Operator 3: main-text extraction by line-block distribution.
 
 Markup is stripped into blocks, one line each. Lines inside menus, forms, scripts, adverts, comments and other page
-furniture, as elements, roles and class names tell, are blank. The lengths of the other lines, less their link text,
+furniture, as elements, roles and the last telling part of class names say, are blank. The lengths of the other lines, less their link text,
 are summed over sliding windows of lines. Text starts where the sum surges above a threshold and ends where it dives to
-nothing; the lines between are the main text. A heading just before a surge belongs to it.
+nothing; the lines between are the main text. A heading just before a surge belongs to it, and lines before a heading
+do not that are short for their page.
 
 An outermost <article> or <main> is a hint of a boundary and of weight, on a page that surges and dives like any other:
 its link text counts, windows do not cross its edges, a first surge inside it starts the text at its opening, and that
@@ -12,7 +13,8 @@ text ends with it at the latest. Without a surge it is no text, and what surges
 White space (as Unicode has it) inside a block becomes one space; ``<br>`` is white space. Character references are
 decoded after markup is gone, so that escaped markup stays as text. Defined results: a null or empty page, and one
 without main text, gives the empty string. Unclosed elements end with their parent; a lone ``<`` is text. Furniture
-that never closes hides nothing after its own tag. Repeated rows give repeated results.
+that never closes hides nothing after its own tag; after a quote that never closes, quotes are plain characters. The
+time is in proportion to the page's length. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ from .common import table, without
 #: Lines of a window, and the window's characters at which text starts (or half of the page's best window, if less).
 LINES, SURGE = 3, 86
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S
-)
-_ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+#: Attributes up to the tag's end; a ``>`` within quotes does not end it.
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_CLOSE = re.compile(r"</([a-zA-Z][^\s/>]*+)")
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "noframes", "xmp", "svg", "math", "select", "object", "canvas", "audio", "video"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set(
@@ -49,63 +52,109 @@ _NAMES = set(
     "modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies disqus sidebar sidenav menu nav navbar "
     "navigation breadcrumb breadcrumbs footer header masthead topbar related recommended share sharing social widget pagination pager toolbar search skip".split()
 )
+#: Parts of a class name that say how an element is built, not what it is.
+_BUILD = set(
+    "area bar block body box btn button buttons card cell col column container content frame group holder icons inner item items layout link links list module outer "
+    "panel posts articles stories row section slot strip text unit wrap wrapper zone".split()
+)
 #: Elements that an opening tag of the same group, or any block, ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 _WHOLE = {"html", "body", "main", "article"}
 
 
+def _names_furniture(word: str, in_article: bool) -> bool:
+    """Whether a class or id names page furniture: its last part does that is no number and no part of the build."""
+    parts = [x.lower() for x in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", word) if x]
+    if not parts or parts[0] in ("has", "with", "no", "is") or (in_article and parts[-1] == "header"):
+        return False
+    while len(parts) > 1 and (parts[-1] in _BUILD or parts[-1][0].isdigit()):
+        parts.pop()
+    return parts[-1].rstrip("0123456789") in _NAMES
+
+
 def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in _FURNITURE and not (tag == "header" and in_article):
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    for name, a, b, c, hidden in _ATTR.findall(attrs):
-        if hidden:
+    for name, a, b, c in _ATTR.findall(attrs):
+        name, value = name.lower(), a or b or c
+        if name == "hidden":
+            return True
+        if name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"(?i)display\s*+:\s*+none", value):
             return True
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "role" and value in _ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+        if name in ("class", "id") and any(_names_furniture(word, in_article) for word in value.split()):
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                parts = re.split(r"[-_]+", word)
-                if parts[0] in ("has", "with", "no", "is") or (in_article and parts[-1] == "header"):
-                    continue
-                if not _NAMES.isdisjoint(parts):
-                    return True
     return False
 
 
 class _Page:
-    """Lines of a page: (text, link characters, is heading, number of the outermost article or 0, is furniture)."""
+    """Lines of a page: (text, link characters, is heading, number of the outermost article or 0, is furniture).
+
+    Every step looks at its own tag: open elements are counted by name, the open blocks have a stack of their own and the
+    last closing tag of each name is found once, so the time is in proportion to the page whatever it holds.
+    """
 
     def __init__(self, source: str):
         self.lines: list[tuple[str, int, bool, int, bool]] = []
         self.text: list[str] = []
         self.links = 0
         self.stack: list[tuple[str, bool]] = []  # open elements, and whether each is furniture
+        self.open: dict[str, int] = {}
+        self.blocks: list[int] = []  # places of blocks in the stack
         self.hidden = self.articles = self.anchors = self.marks = 0
-        self.source, low = source, None
-        at = 0
-        while m := _TAG.search(source, at):
-            if m.start() > at:
-                self._add(source[at : m.start()])
-            at = m.end()
-            close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if not tag:
+        self.source, self.low, self.last = source, None, None
+        self._read(source)
+        self._break()
+
+    def _read(self, source: str) -> None:
+        at, n, quotes = 0, len(source), True
+        while at < n:
+            start = source.find("<", at)
+            if start < 0:
+                break
+            self._add(source[at:start])
+            at = start
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                at = n if end < 0 else end + 3
+                continue
+            if source.startswith("<![CDATA[", start):
+                end = source.find("]]>", start)
+                at = n if end < 0 else end + 3
                 continue
-            tag = tag.lower()
-            if close:
-                self._close(tag)
-            elif tag in _RAW and not attrs.endswith("/"):
-                low = low or source.lower()
-                end = low.find(f"</{tag}", at)
-                at = len(source) if end < 0 else end
-                if tag not in ("title", "noscript", "template") and tag in _BLOCK:
-                    self._break()
-            else:
-                self._open(tag, attrs, at)
+            name = _NAME.match(source, start + 1)
+            if not name and not source.startswith(("<!", "<?"), start):
+                self._add("<")
+                at = start + 1
+                continue
+            m = _QUOTED.match(source, name.end()) if name and quotes else None
+            end = m.end() if m else source.find(">", start) + 1
+            if not end:  # no tag ends from here on
+                break
+            if name and quotes and not m:  # a quote never closes: from here on quotes are plain characters
+                quotes = False
+            at = end
+            if name:
+                at = self._tag(name[1], name[2].lower(), source[name.end() : end - 1], end)
         self._add(source[at:])
-        self._break()
+
+    def _tag(self, close: str, tag: str, attrs: str, at: int) -> int:
+        """Takes a tag that ends at ``at``; returns where reading goes on."""
+        if close:
+            self._close(tag)
+        elif tag in _RAW and not attrs.endswith("/"):
+            self.low = self.low or self.source.lower()
+            end = self.low.find(f"</{tag}", at)
+            return len(self.source) if end < 0 else end
+        else:
+            self._open(tag, attrs, at)
+        return at
+
+    def _closes(self, tag: str, at: int) -> bool:
+        if self.last is None:
+            self.last = {m[1].lower(): m.start() for m in _CLOSE.finditer(self.source)}
+        return self.last.get(tag, -1) >= at
 
     def _add(self, text: str) -> None:
         self.text.append(text)
@@ -122,6 +171,9 @@ class _Page:
 
     def _pop(self) -> None:
         tag, hides = self.stack.pop()
+        self.open[tag] -= 1
+        if self.blocks and self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
         self.hidden -= hides
         self.articles -= tag in ("article", "main")
         self.anchors -= tag == "a"
@@ -129,7 +181,7 @@ class _Page:
     def _close(self, tag: str) -> None:
         if tag in _BLOCK:
             self._break()
-        if any(t == tag for t, _ in self.stack):
+        if self.open.get(tag):
             while self.stack[-1][0] != tag:
                 self._pop()
             self._pop()
@@ -140,16 +192,19 @@ class _Page:
             return
         if tag in _BLOCK:
             self._break()
-            inner = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] in _BLOCK), None)
+            inner = self.blocks[-1] if self.blocks else None
             if inner is not None and (self.stack[inner][0] == "p" or tag in _ENDS.get(self.stack[inner][0], ())):
                 while len(self.stack) > inner:
                     self._pop()
         if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
             return
         hides = _furniture(tag, attrs, self.articles > 0)
-        if hides and tag not in ("p", "li", "td", "tr", "th", "dd", "dt") and not re.compile(rf"</{re.escape(tag)}\b", re.I).search(self.source, at):
+        if hides and tag not in ("p", "li", "td", "tr", "th", "dd", "dt") and not self._closes(tag, at):
             hides = False  # it never closes: what follows is not its own
+        if tag in _BLOCK:
+            self.blocks.append(len(self.stack))
         self.stack.append((tag, hides))
+        self.open[tag] = self.open.get(tag, 0) + 1
         self.hidden += hides
         self.marks += not self.articles and tag in ("article", "main")
         self.articles += tag in ("article", "main")
@@ -169,6 +224,7 @@ def extract(source: str | None, *, lines: int = LINES, surge: int = SURGE) -> st
     if not best:
         return ""
     threshold = min(surge, best / 2)
+    usual = sum(w * w for w in weight) / sum(weight)  # the length of the block that a character of the page lies in
     kept: set[int] = set()
     i = 0
     while i < len(sums):
@@ -180,7 +236,11 @@ def extract(source: str | None, *, lines: int = LINES, surge: int = SURGE) -> st
             start -= 1
         while start and found[start - 1][2] and shown[start - 1] and start - 1 not in kept:
             start -= 1
-        # The window reaches ahead of the surge: short lines before the first long one are not yet text.
+        # The window reaches ahead of the surge. Text starts at a heading in it if what comes before is short for this page,
+        # and short lines before the first long one are not yet text.
+        head = next((k for k in range(i, min(i + lines, len(found))) if found[k][2] and shown[k]), None)
+        if not inside and head is not None and start == i and all(w < usual / 2 for w in weight[i:head]):
+            start = head
         while not inside and start < i + lines - 1 and not found[start][2] and weight[start] < threshold / lines:
             start += 1
         # A short element within text that surged outside it belongs to that text.
