@@ -5,8 +5,10 @@ sizes a, b differ in at most D = (a + b) // 7 members. Each set is XOR-hashed tw
 
 * into sketch words: every member is XORed into one of m words, m fixed per band of sizes (factor 4). The number of
   differing words is at most the symmetric difference, so of any D + 1 words of either set one is equal in both. Words
-  have one global order (their hash), and each set emits its first D + 1: the least common word is then emitted by
-  both. Sets near a band's lower end also emit in the band below. Under 256 members a word is one member.
+  have one global order, and each set emits its first D + 1: the least common word is then emitted by both. Sets near a
+  band's lower end also emit in the band below. Under 256 members a word is one member. The order is by hash, with hot
+  words last: those that many documents of a sample hold. Any list of hot words gives the same links; a good one keeps
+  common passages from bringing together documents that have other words to offer.
 * into a bit sketch of 2n bits or more, whose Hamming distance is a lower bound of the symmetric difference, and which
   folds to any smaller power of two. It rejects most candidates before the exact check.
 
@@ -14,14 +16,19 @@ Candidates share an emitted word. Every word's group is represented by its first
 rows in proportion to its size, and a document meets a centre once, however many words they share. Documents of one
 group have the same centre, so all candidates lie within the clusters of a centre. First every document is checked
 against the centre with which it shares most words, and components are formed. Then clusters that still hold several
-components are compared by their sketches, in blocks of bounded size, twice: the first time each block returns a
-spanning forest of its likely links, the second time, when these have been checked and components merged, clusters in
-which a link of the forest failed return all that are left between components. Copies are one component by then and are not compared. Checks recompute the sets of the
-candidates' whole texts and are exact.
+components are compared by their sketches, in blocks of bounded size; each block returns a spanning forest of its likely
+links. When these have been checked and components merged, clusters in which a link of the forest failed are compared
+once more, now by the sets themselves: a block counts what its members share and returns a spanning forest of true
+links. So no step returns more than a forest of its block, however many pairs are just below the threshold. Copies are
+one component by then and are not compared. Checks recompute the sets of the candidates' whole texts and are exact.
+
+Hot groups: the first document of a hot word comes from a partial minimum; a centre's partners are dealt to parts of
+PARTNERS; clusters are cut into blocks of BLOCK members and BLOCK_BYTES of data.
 
 Defined results: null texts and texts without words have an empty set (n_shingles 0), link with nothing and are their
 own component. Copies within a task emit words once; equal sets are linked through their digest. Rows with one doc_id
-are one document that links where any of its rows does. A null doc_id links with nothing and has a null component.
+are one document that links where any of its rows does. A null doc_id links with nothing and has a null component. Keys
+may have any type that sorts; those that are no integers are numbered in their order first.
 """
 
 from __future__ import annotations
@@ -33,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, few, free_name, table, written
 from .components import components
@@ -41,8 +49,12 @@ from .wordhash import SPACED, byte_slices, grams, hash_words, mix
 SHINGLE = 5
 #: Sets under this size emit single members; from here on bands [4^j, 4^(j+1)) have m = 4^(j+1) / LOAD words.
 SMALL, LOAD = 256, 1.8
-#: Members of a cluster that are compared in one block, and ids of candidates that are broadcast at most.
-BLOCK, BROADCAST_IDS = 4000, 1_000_000
+#: Members of a cluster and bytes of their data on each side of a block, partners of a centre that are checked in one
+#: part, and ids of candidates that are broadcast at most.
+BLOCK, BLOCK_BYTES, PARTNERS, BROADCAST_IDS = 1500, 8 << 20, 500, 1_000_000
+#: Hot words are sought in every HOT_SHARE-th document, or in about HOT_DOCS of them if that is less; words in HOT_ROWS
+#: of these are hot, at most HOT_WORDS. The sample decides the order of words alone, and no link depends on it.
+HOT_SHARE, HOT_DOCS, HOT_ROWS, HOT_WORDS = 20, 1_000_000, 20, 1_000_000
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -80,20 +92,27 @@ def _words(s: np.ndarray, band: int) -> np.ndarray:
     return mix(word ^ mix(place[starts].astype(np.uint64) * np.uint64(128) + np.uint64(band + 1)))
 
 
-def emitted(s: np.ndarray) -> np.ndarray:
-    """The words by which a set can be found; see the module's text for the numbers."""
+def _parts(s: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """The words of a set and how many of them it emits, for each way to find it; see the module's text for the numbers."""
     n = len(s)
-    if not n:
-        return s
-    parts = []
-    if 3 * n < 4 * SMALL:  # it, or a smaller partner of it, is small
-        parts.append(s[: n // 4 + 1])
+    if n and 3 * n < 4 * SMALL:  # it, or a smaller partner of it, is small
+        yield s, n // 4 + 1
     if n >= SMALL:
         band = _band(n)
-        parts.append(np.sort(_words(s, band))[: n // 3 + 1])
+        yield np.sort(_words(s, band)), n // 3 + 1
         if 3 * n < 4 * 4**band and 4**band > SMALL:
-            parts.append(np.sort(_words(s, band - 1))[: 2 * n // 7 + 1])
-    return np.concatenate(parts)
+            yield np.sort(_words(s, band - 1)), 2 * n // 7 + 1
+
+
+def emitted(s: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (other, hot) words by which a set can be found; ``hot`` is sorted and stands last in the order."""
+    cold, often = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for words, n in _parts(s):
+        known = hot[np.minimum(np.searchsorted(hot, words), len(hot) - 1)] == words if len(hot) else np.zeros(len(words), bool)
+        rare = words[~known][:n]
+        cold.append(rare)
+        often.append(words[known][: n - len(rare)])
+    return np.concatenate(cold), np.concatenate(often)
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
@@ -106,14 +125,40 @@ def folded(sketch: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
 
 
-_SIGNED = "n bigint, digest binary, sketch binary, words array<bigint>"
+_SIGNED = "n bigint, digest binary, sketch binary, words array<bigint>, hot array<bigint>"
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum(np.r_[0, [len(r) for r in rows]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)))
+
+
+def hot_words(docs: DataFrame, key: str, text: str, scratch: Scratch, size: int = SHINGLE, share: int = HOT_SHARE, rows: int = HOT_ROWS) -> np.ndarray:
+    """Sorted words that many documents hold, by a sample of documents; at most HOT_WORDS of them."""
+    every = max(share, docs.count() // HOT_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, texts in byte_slices(b.column(0)):
+                words = [w for s in shingle_sets(texts, size) for w, _ in _parts(s)]
+                if words:
+                    yield _rows(np.concatenate(words).view(np.int64), names=("word",))
 
+    some = docs.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0)).select(text)
+    counts = some.mapInArrow(run, "word bigint").groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= rows)
+    counts = scratch.written(counts, "hot")
+    while counts.where(F.col("k") >= rows).count() > HOT_WORDS:
+        rows *= 2
+    found = counts.where(F.col("k") >= rows).select("word").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
 
-def signatures(docs: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
+
+def signatures(docs: DataFrame, key: str, text: str, hot: np.ndarray, size: int = SHINGLE) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen, none = set(), (np.zeros(0, np.uint64),) * 2
         for b in batches:
             n, digests, sketches, words = [], [], [], []
             named = b.column(0).is_valid().to_pylist()
@@ -125,14 +170,12 @@ def signatures(docs: DataFrame, key: str, text: str, size: int = SHINGLE) -> Dat
                     digests.append(digest)
                     sketches.append(bit_sketch(s) if len(s) else b"")
                     # Rows without an id are in no link, and must not stand for equal texts that have one.
-                    words.append(emitted(s).view(np.int64) if known and digest not in seen else np.zeros(0, np.int64))
+                    words.append(emitted(s, sent.value) if known and digest not in seen else none)
                     if known:
                         seen.add(digest)
-            offsets = np.cumsum(np.r_[0, [len(w) for w in words]]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(words) if words else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), lists],
-                names=["id", "n", "digest", "sketch", "words"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), *(_lists([w[k] for w in words]) for k in range(2))],
+                names=["id", "n", "digest", "sketch", "words", "hot"],
             )
 
     return docs.select(key, text).mapInArrow(run, f"id {kind}, {_SIGNED}")
@@ -171,34 +214,36 @@ def _rows(*columns: np.ndarray, names=("word", "id", "first")) -> pa.RecordBatch
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose sketches allow a similarity of 3/4."""
+    """Keeps the pairs whose sketches allow a similarity of 3/4; sketches of like lengths are compared as matrices."""
     for b in batches:
         na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+        sa, sb = (b.column(k).to_pylist() for k in ("sa", "sb"))
         keep = np.zeros(b.num_rows, bool)
-        for i, (x, y) in enumerate(zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-            size = min(len(x), len(y))
-            keep[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum() <= (na[i] + nb[i]) // 7
+        sizes = np.array([(len(x), len(y)) for x, y in zip(sa, sb, strict=True)], np.int64).reshape(-1, 2)
+        for lx, ly in np.unique(sizes, axis=0).tolist():
+            rows, size = np.flatnonzero((sizes == (lx, ly)).all(axis=1)), min(lx, ly)
+            x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join(s[r] for r in rows), np.uint8).reshape(len(rows), -1, size), axis=1) for s in (sa, sb))
+            keep[rows] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (na[rows] + nb[rows]) // 7
         yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep)) for k in ("a", "b")], names=["a", "b"])
 
 
-def _across(forest: bool):
-    """Likely links between components within each run of (centre, i, j); of a forest only those that join components."""
+def _by_block(compare):
+    """Runs ``compare`` on the members (side, id, component, n, data) of each run of (centre, i, j); pairs are its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, now = [], None
         for b in batches:
             found = []
-            cols = [b.column(k).to_pylist() for k in ("centre", "i", "j", "side", "id", "component", "n", "sketch")]
+            cols = [b.column(k).to_pylist() for k in ("centre", "i", "j", "side", "id", "component", "n", "data")]
             for row in zip(*cols, strict=True):
                 if row[:3] != now:
                     if len(members) > 1:
-                        found.append((now[0], _likely(now[1] != now[2], members, forest)))
+                        found.append((now[0], compare(now[1] != now[2], members)))
                     members, now = [], row[:3]
                 members.append(row[3:])
             yield _pairs(found)
         if len(members) > 1:
-            yield _pairs([(now[0], _likely(now[1] != now[2], members, forest))])
+            yield _pairs([(now[0], compare(now[1] != now[2], members))])
 
     return run
 
@@ -209,8 +254,8 @@ def _pairs(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     return _rows(centre, pairs[:, 0].copy(), pairs[:, 1].copy(), names=("centre", "a", "b"))
 
 
-def _likely(two_sides: bool, members: list, forest: bool) -> np.ndarray:
-    """Pairs (larger id, smaller id) of different components whose sizes and sketches allow a similarity of 3/4."""
+def _likely(two_sides: bool, members: list) -> np.ndarray:
+    """A forest of pairs (larger id, smaller id) of different components whose sizes and sketches allow a similarity of 3/4."""
     members.sort(key=lambda m: m[3])
     side, ids, comp, n = (np.array([m[k] for m in members], np.int64) for k in range(4))
     sizes = np.array([len(m[4]) for m in members])
@@ -234,13 +279,11 @@ def _likely(two_sides: bool, members: list, forest: bool) -> np.ndarray:
                 left.append(np.full(len(q), p))
                 right.append(q)
                 far.append(d[near] / (n[p] + n[q]))
-        if forest and left and sum(map(len, left)) > BLOCK:  # keeps what is held in proportion to the block
+        if left and sum(map(len, left)) > BLOCK:  # keeps what is held in proportion to the block
             left, right, far = ([x] for x in _spanning(comp, *map(np.concatenate, (left, right, far))))
     if not left:
         return np.zeros((0, 2), np.int64)
-    left, right, far = map(np.concatenate, (left, right, far))
-    if forest:
-        left, right, far = _spanning(comp, left, right, far)
+    left, right, far = _spanning(comp, *map(np.concatenate, (left, right, far)))
     return np.stack([np.maximum(ids[left], ids[right]), np.minimum(ids[left], ids[right])], axis=1)
 
 
@@ -263,38 +306,90 @@ def _spanning(comp: np.ndarray, left: np.ndarray, right: np.ndarray, far: np.nda
     return left[kept], right[kept], far[kept]
 
 
-def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, scratch: Scratch, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose sets have an intersection of at least 3/4 of their union.
+def _linked(two_sides: bool, members: list) -> np.ndarray:
+    """A forest of the links (larger id, smaller id) between different components, by the sets themselves.
 
-    Sets are recomputed from whole texts and gathered by b: b's set is held while those of its partners pass by.
+    Of every member's shingles the lists of holders are laid end to end and counted: one pass gives what it shares with
+    all others.
     """
-    pairs = scratch.written(pairs.select("a", "b").distinct(), "pairs")
-    asked = pairs.select(F.col("b").alias("at"), F.col("a").alias("asked")).unionByName(pairs.select(F.col("b").alias("at"), F.col("b").alias("asked")).distinct())
-    if pairs.count() <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(asked, F.col("id") == F.col("asked")).select("at", "id", "text")
+    members.sort(key=lambda m: m[3])
+    side, ids, comp, n = (np.array([m[k] for m in members], np.int64) for k in range(4))
+    _, root = np.unique(comp, return_inverse=True)
+    s = np.frombuffer(b"".join(m[4] for m in members), np.uint64)
+    first, holder = np.r_[0, np.cumsum(n)], np.repeat(np.arange(len(n)), n)
+    order = np.argsort(s, kind="stable")
+    new = np.r_[True, s[order][1:] != s[order][:-1]]
+    start = np.flatnonzero(new)
+    held, number = np.diff(np.r_[start, len(s)]), np.empty(len(s), np.int64)
+    number[order], holder = np.cumsum(new) - 1, holder[order]
+    ends = np.searchsorted(n, 4 * n // 3, side="right")
+    found = []
+    for p in range(len(n)):
+        q = np.arange(p + 1, ends[p])
+        q = q[(root[q] != root[p]) & (side[q] != side[p])] if two_sides else q[root[q] != root[p]]
+        if not len(q):
+            continue
+        own = number[first[p] : first[p + 1]]
+        own = own[held[own] > 1]
+        k = held[own]
+        at = np.repeat(start[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        shared = np.bincount(holder[at], minlength=len(n))
+        for x in q[7 * shared[q] >= 3 * (n[p] + n[q])].tolist():
+            if root[x] != root[p]:
+                root[root == root[x]] = root[p]
+                found.append((max(ids[p], ids[x]), min(ids[p], ids[x])))
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame, size: int) -> DataFrame:
+    """(id, data) of the rows of ``docs`` whose key is in ``ids`` (wanted): each set once, before it is dealt to anything."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = [s.tobytes() for _, texts in byte_slices(b.column(2)) for s in shingle_sets(texts, size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], names=["at", "id", "data"])
+            data = [s.tobytes() for _, texts in byte_slices(b.column(1)) for s in shingle_sets(texts, size)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=["id", "data"])
+
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, F.col("id") == F.col("wanted"), "left_semi")
+    return rows.mapInArrow(sets, "id bigint, data binary")
+
+
+def verified(docs: DataFrame, key: str, text: str, pairs: DataFrame, scratch: Scratch, size: int = SHINGLE) -> DataFrame:
+    """The pairs (a, b) whose sets have an intersection of at least 3/4 of their union.
+
+    Sets are recomputed from whole texts and gathered by b: b's set is held while those of its partners pass by, in parts
+    of about PARTNERS.
+    """
+    pairs = scratch.written(pairs.select("a", "b").distinct(), "pairs")
+    hubs = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > PARTNERS).select(F.col("b").alias("hub"), F.ceil(F.col("k") / PARTNERS).cast("int").alias("parts"))
+    hubs = scratch.written(hubs, "hubs")
+    few_pairs = pairs.count() <= BROADCAST_IDS
+    if hubs.count() <= BROADCAST_IDS:
+        hubs = F.broadcast(hubs)
+    parts = F.coalesce("parts", F.lit(1))
+    partners = pairs.join(hubs, F.col("b") == F.col("hub"), "left").select(F.col("b").alias("at"), F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"), F.col("a").alias("asked"))
+    centres = pairs.select("b").distinct().join(hubs, F.col("b") == F.col("hub"), "left")
+    centres = centres.select(F.col("b").alias("at"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("b").alias("asked"))
+    asked = partners.unionByName(centres)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centres = None, []
         for b in batches:
             out = []
-            for here, i, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for here, part, i, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = np.frombuffer(data, np.uint64)
-                if here != at:
-                    at, centres = here, []
+                if (here, part) != at:
+                    at, centres = (here, part), []
                 if i == here:
                     centres.append(s)
                 elif any(7 * len(np.intersect1d(s, c, assume_unique=True)) >= 3 * (len(s) + len(c)) for c in centres):
                     out.append((i, here))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    got = rows.mapInArrow(sets, "at bigint, id bigint, data binary").repartition("at")
-    got = got.sortWithinPartitions("at", F.col("id") != F.col("at"))
+    got = _sets(docs, key, text, asked.select(F.col("asked").alias("wanted")).distinct(), size)
+    got = got.join(F.broadcast(asked) if few_pairs else asked, F.col("id") == F.col("asked")).select("at", "part", "id", "data")
+    got = got.repartition("at", "part").sortWithinPartitions("at", "part", F.col("id") != F.col("at"))
     return got.mapInArrow(compare, "a bigint, b bigint")
 
 
@@ -312,15 +407,36 @@ def _first_checks(stars: DataFrame, marks: DataFrame) -> DataFrame:
     return sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a bigint, b bigint")
 
 
-def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (_id, _text) with numbers in the order of their keys for the keys, and the table (number, known) of both.
+
+    The sorted keys are written before they are read again, so a number stays with its key.
+    """
+    keys = docs.select(F.col("_id").alias("known")).where("known is not null").distinct().orderBy("known").withColumn("number", F.monotonically_increasing_id())
+    keys = scratch.written(keys, "keys")
+    return docs.join(keys, F.col("_id") == F.col("known"), "left").select(F.col("number").alias("_id"), "_text"), keys
+
+
+def ngram_join(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, hot_share: int = HOT_SHARE, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """key, n_shingles, component_id per row of ``docs``; a component is what links of similarity 3/4 connect."""
-    kind = docs.schema[key].dataType.simpleString()
-    docs = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"))
-    scratch = Scratch(docs.sparkSession, "ngram-join")
-    signed = scratch.written(signatures(docs, "_id", "_text", size), "signatures")
+    kind = docs.schema[key].dataType
+    docs = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    scratch, keys = Scratch(docs.sparkSession, "ngram-join"), None
+    if isinstance(kind, T.IntegralType):
+        docs = docs.withColumn("_id", F.col("_id").cast("bigint"))
+    else:
+        docs, keys = _numbered(docs, scratch)
+    hot = hot_words(docs, "_id", "_text", scratch, size, hot_share, hot_rows)
+    signed = scratch.written(signatures(docs, "_id", "_text", hot, size), "signatures")
     marks = signed.select("id", "n", "sketch").where("id is not null and n > 0")
     words = signed.where("id is not null").select(F.explode("words").alias("word"), "id").repartition("word").sortWithinPartitions("word", "id")
-    groups = words.mapInArrow(_groups, "word bigint, id bigint, first bigint").where("id <> first")
+    groups = words.mapInArrow(_groups, "word bigint, id bigint, first bigint").where("id <> first").select("id", "first")
+    if len(hot):  # rows of hot words stay where they are: their first ids, at most HOT_WORDS, come to them
+        often = signed.where("id is not null").select(F.explode("hot").alias("word"), "id")
+        firsts = often.groupBy(F.col("word").alias("w")).agg(F.min("id").alias("first"))
+        groups = groups.unionByName(often.join(F.broadcast(firsts), F.col("word") == F.col("w")).where("id <> first").select("id", "first"))
     stars = scratch.written(groups.groupBy(F.col("id").alias("a"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "stars")
 
     equal = signed.where("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest", "b")
@@ -328,36 +444,44 @@ def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size
 
     links = scratch.written(verified(docs, "_id", "_text", _first_checks(stars, marks), scratch, size).unionByName(equal), "linked")
     known = components(links, scratch)
-    likely = scratch.written(_between(stars, marks, known, forest=True), "likely")
+    likely = scratch.written(_between(stars, marks, marks.withColumnRenamed("sketch", "data"), known, _likely), "likely")
     known = _merged(known, scratch.written(verified(docs, "_id", "_text", likely, scratch, size), "linked"), scratch)
-    # Where a block's forest held, nothing likely is left between its components; elsewhere all of it is checked.
+    # Where a block's forest held, nothing likely is left between its components; elsewhere sets are compared.
     name = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     rows = likely.count()
     broken = few(few(likely.join(name("a"), "a", "left"), rows).join(name("b"), "b", "left"), rows).where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    broken = stars.join(broken.select(F.col("centre").alias("b")).distinct(), "b", "left_semi")
-    rest = _between(broken, marks, known, forest=False)
-    known = _merged(known, scratch.written(verified(docs, "_id", "_text", rest, scratch, size), "linked"), scratch)
-    out = signed.select("id", "n").join(known, F.col("id") == F.col("node"), "left")
-    out = out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
+    broken = scratch.written(stars.join(broken.select(F.col("centre").alias("b")).distinct(), "b", "left_semi"), "broken")
+    if broken.count():
+        wanted = broken.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+        sets = scratch.written(_sets(docs, "_id", "_text", wanted, size), "sets").withColumn("n", (F.octet_length("data") / 8).cast("long"))
+        rest = _between(broken, marks, sets, known, _linked)
+        known = _merged(known, scratch.written(rest.select("a", "b"), "linked"), scratch)
+    out = signed.select("id", "n").join(known, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    if keys is not None:
+        own = lambda c: keys.select(F.col("number").alias(c), F.col("known").alias(f"k{c}"))
+        out = out.join(own("id"), "id", "left").join(own("component"), "component", "left").select(F.col("kid").alias("id"), "n", F.col("kcomponent").alias("component"))
+    out = out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"))
     out = written(out, "ngram-components")
     scratch.drop()
     return out
 
 
-def _between(stars: DataFrame, marks: DataFrame, known: DataFrame, forest: bool) -> DataFrame:
-    """Likely links (centre, a, b) between components within the clusters of one centre, in blocks of about BLOCK members."""
+def _between(stars: DataFrame, marks: DataFrame, data: DataFrame, known: DataFrame, compare) -> DataFrame:
+    """What ``compare`` finds (centre, a, b) between components within the clusters of one centre, by ``data`` (id, n, data),
+    in blocks of about BLOCK members and BLOCK_BYTES on each side."""
     members = stars.select(F.col("b").alias("centre"), F.col("a").alias("id"))
     rows = 2 * stars.count()
     members = members.unionByName(few(stars.select(F.col("b").alias("centre"), F.col("b").alias("id")).distinct(), rows))
     named = few(members, rows).join(known.withColumnRenamed("node", "id"), "id", "left").select("centre", "id", F.coalesce("component", "id").alias("component"))
-    named = few(named, rows)
-    sizes = named.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
-    cut = named.join(sizes.select("centre", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "centre")
+    named = few(few(named, rows).join(marks.groupBy("id").agg(F.max("n").alias("most")), "id"), rows)
+    # A set has 8 bytes a member, and its sketch less than that.
+    sizes = named.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("most") * 8 / BLOCK_BYTES).alias("k"))
+    cut = named.join(sizes.where("lo <> hi").select("centre", F.ceil("k").cast("int").alias("blocks")), "centre")
     cut = few(cut, rows).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.select("centre", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cut = cut.select("centre", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    ready = few(cut.join(marks, "id"), 8 * rows).repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    return ready.select("centre", "i", "j", "side", "id", "component", "n", "sketch").mapInArrow(_across(forest), "centre bigint, a bigint, b bigint").distinct()
+    ready = few(cut.join(data, "id"), 8 * rows).repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+    return ready.select("centre", "i", "j", "side", "id", "component", "n", "data").mapInArrow(_by_block(compare), "centre bigint, a bigint, b bigint").distinct()
 
 
 def _merged(known: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -376,7 +500,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     """``docs`` without the documents that are not the first of their component; rows without a key stay."""
     found = ngram_join(docs, key=key, text=text)
     gone = free_name(docs, "_gone")
-    copies = found.where(f"`{key}` <> component_id").select(F.col(key).alias(gone)).distinct()
+    copies = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(gone)).distinct()
     if copies.count() <= BROADCAST_IDS:  # then the texts stay where they are; else both sides are shuffled
         copies = F.broadcast(copies)
     return docs.join(copies, docs[key] == F.col(gone), "left_anti")

@@ -7,7 +7,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import pytest
-from corpusloom.llm import decontamination, mixing, ngram_join, quality_classifier, registry, secret_scans
+from corpusloom.llm import decontamination, html_extraction, mixing, ngram_join, quality_classifier, registry, secret_scans
 from corpusloom.llm import common as llm_common
 from oracle import same
 
@@ -30,14 +30,31 @@ def test_token_counts_are_the_librarys(spark, sf):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
 
 
+def _article(page):
+    article = re.search(r"<article>(.*?)(</article>|<footer>|\Z)", page, re.S)[1]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", article)]
+    return "\n".join(b for b in blocks if b)
+
+
 def test_html_equals_a_plain_reading_of_the_articles(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = registry.queries()["op3_html_extraction"](spark, sf).collect()
     assert len(got) == len(pages)
     for r in got:
-        article = re.search(r"<article>(.*?)(</article>|<footer>|\Z)", pages[r.page_id], re.S)[1]
-        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", article)]
-        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+        assert r.text == _article(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_html_density_finds_the_text_without_article_tags_and_class_names(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    right = wrong_chars = chars = 0
+    for page in pages:
+        plain = re.sub(r' class="[^"]*"', "", page.replace("<article>", "<div>").replace("</article>", "</div>"))
+        want, got = _article(page), html_extraction.extract(plain)
+        right += got == want
+        w, g = set(want.split("\n")), set(got.split("\n"))
+        chars += sum(map(len, w))
+        wrong_chars += sum(map(len, w ^ g))
+    assert right / len(pages) >= 0.9 and wrong_chars / chars < 0.01
 
 
 def test_held_out_accuracy_and_a_brute_force_vote(spark):

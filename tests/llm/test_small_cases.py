@@ -74,6 +74,71 @@ def test_join_empty_table_and_columns(spark):
     assert kept.columns == clash.columns and [r.doc_id for r in kept.collect()] == [0]
 
 
+def test_join_takes_keys_of_any_type(spark):
+    df = docs(spark, PLAIN, PLAIN + " more", "other", ids=[2, 10, 3]).withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(df).collect()} == {"k10": "k10", "k2": "k10", "k3": "k3"}
+    assert sorted(r.doc_id for r in ngram_join.keep_one(df).collect()) == ["k10", "k3"]
+
+
+def test_hot_words_change_no_link(spark):
+    base = [f"a{k}" for k in range(104)]
+    texts = [" ".join(base[k % 5 : 100 - k % 7] + [f"u{k}"] * (k % 9)) for k in range(30)] + [" ".join([f"v{k}x{j}" for j in range(40)] + base[:20]) for k in range(20)]
+    texts += [" ".join(f"b{k // 40 * 0 + j}" for j in range(k, 600 + k)) for k in range(0, 200, 40)]
+    df = docs(spark, *texts)
+    plain = {r.doc_id: r.component_id for r in ngram_join.ngram_join(df, hot_rows=10**9).collect()}
+    hot = {r.doc_id: r.component_id for r in ngram_join.ngram_join(df, hot_share=1, hot_rows=3).collect()}
+    assert plain == hot and len(set(plain.values())) > 20
+
+
+def test_pairs_below_the_threshold_grow_in_proportion(spark, monkeypatch):
+    """Documents of one template at a similarity of 0.73: what is verified grows with them, not with their square."""
+    checked = []
+    verified = ngram_join.verified
+
+    def counted(docs, key, text, pairs, scratch, size=5):
+        checked[-1] += pairs.count()
+        return verified(docs, key, text, pairs, scratch, size)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    template = [f"t{k}" for k in range(104)]
+    for n in (250, 500, 1000):
+        texts = []
+        for k in range(n):  # 16 of 100 shingles are a document's own
+            words = list(template)
+            for j in range(3):
+                words[10 + 30 * j] = f"own{k}x{j}"
+            texts.append(" ".join([*words, f"own{k}end"]))
+        sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts[:2]]
+        assert 0.72 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.75
+        checked.append(0)
+        assert {r.doc_id == r.component_id for r in ngram_join.ngram_join(docs(spark, *texts)).collect()} == {True}
+    assert checked[1] <= 2.2 * checked[0] and checked[2] <= 2.2 * checked[1] and checked[2] <= 3 * 1000
+
+
+def test_blocks_return_a_forest_of_true_links():
+    rng = __import__("numpy").random.default_rng(3)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 2**62, 60).astype("uint64")
+        sets += [sorted({*base[int(rng.integers(0, 12)) :].tolist(), *rng.integers(0, 2**62, int(rng.integers(0, 9))).tolist()}) for _ in range(5)]
+    np = __import__("numpy")
+    members = [(k % 2, k, k, len(s), np.array(s, np.uint64).tobytes()) for k, s in enumerate(sets)]
+    for two in (False, True):
+        near = lambda a, b: 4 * len(set(sets[a]) & set(sets[b])) >= 3 * len(set(sets[a]) | set(sets[b])) and (not two or a % 2 != b % 2)
+        got = ngram_join._linked(two, list(members)).tolist()
+        parent = {k: k for k in range(len(sets))}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in got:
+            assert near(a, b) and root(a) != root(b)
+            parent[root(a)] = root(b)
+        assert all(root(a) == root(b) for a in range(len(sets)) for b in range(a) if near(a, b))
+
+
 # 2 --------------------------------------------------------------------------------------------------------------------
 def urls(spark, *values):
     return spark.createDataFrame(list(enumerate(values)), "page_id long, url string")
@@ -172,6 +237,23 @@ def test_html_long_repeats_and_clashes(spark):
     assert html_extraction.extract_text(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "unit",
+    ["<div>", "</span>", '<a b="c', "<a \">\"'>'", "<span>x", "<p>y", "<!", "<nav><i>", "<x class=ad>", "<b " + "a" * 50, "<li><ul>", "&amp", "<table><tr><td>", "<!-- a", "<a href='"],
+)
+def test_html_takes_time_in_proportion(unit):
+    page = "<div>" * 1000 + "<span>" * 20_000 + unit * (2_000_000 // len(unit)) + "</span>" * 20_000
+    began = time.perf_counter()
+    html_extraction.extract(page)
+    assert time.perf_counter() - began < 30
+
+
+def test_html_class_names_tell_by_their_last_part():
+    kept = "<div id='notice-of-meeting'>Meeting on Monday</div><p class='share-price'>12 euros</p>"
+    gone = "".join(f"<div class='{c}'>Gone</div>" for c in ("user-comments", "cookie-banner", "ad-300x250", "adSlot", "share-buttons", "sidebar2", "related-posts", "comment-list"))
+    assert html_extraction.extract(f"<article>{PARA}{kept}{gone}{PARA}</article>").split("\n")[1:-1] == ["Meeting on Monday", "12 euros"]
+
+
 # 4 --------------------------------------------------------------------------------------------------------------------
 def test_token_small_cases(spark):
     from tokenizers import Tokenizer
