@@ -18,8 +18,8 @@ group have the same centre, so all candidates lie within the clusters of a centr
 against the centre with which it shares most words, and components are formed. Then clusters that still hold several
 components are compared by their sketches, in blocks of bounded size; each block returns a spanning forest of its likely
 links. When these have been checked and components merged, clusters in which a link of the forest failed are compared
-once more, now by the sets themselves: a block counts what its members share and returns a spanning forest of true
-links. So no step returns more than a forest of its block, however many pairs are just below the threshold. Copies are
+once more: blocks return the members that still have a likely partner in another component, and among these the sets
+themselves decide: a block counts what its members share and returns a spanning forest of true links. So no step returns more than a forest of its block, however many pairs are just below the threshold. Copies are
 one component by then and are not compared. Checks recompute the sets of the candidates' whole texts and are exact.
 
 Hot groups: the first document of a hot word comes from a partial minimum; a centre's partners are dealt to parts of
@@ -254,13 +254,14 @@ def _pairs(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     return _rows(centre, pairs[:, 0].copy(), pairs[:, 1].copy(), names=("centre", "a", "b"))
 
 
-def _likely(two_sides: bool, members: list) -> np.ndarray:
-    """A forest of pairs (larger id, smaller id) of different components whose sizes and sketches allow a similarity of 3/4."""
+def _likely(two_sides: bool, members: list, forest: bool = True) -> np.ndarray:
+    """A forest of pairs (larger id, smaller id) of different components whose sizes and sketches allow a similarity of
+    3/4; or, without ``forest``, (id, id) of every member that is in such a pair."""
     members.sort(key=lambda m: m[3])
     side, ids, comp, n = (np.array([m[k] for m in members], np.int64) for k in range(4))
     sizes = np.array([len(m[4]) for m in members])
     ends = np.searchsorted(n, 4 * n // 3, side="right")
-    left, right, far = [], [], []
+    left, right, far, paired = [], [], [], np.zeros(len(n), bool)
     for size in np.unique(sizes):  # sketches grow with n: those of this size are neighbours, and partners have it or twice it
         own = np.flatnonzero(sizes == size)
         top = ends[own[-1]]
@@ -274,13 +275,19 @@ def _likely(two_sides: bool, members: list) -> np.ndarray:
                 continue
             d = np.bitwise_count(rows[q - own[0]] ^ rows[p - own[0]]).sum(axis=1, dtype=np.int64)
             near = d <= (n[p] + n[q]) // 7
-            if near.any():
-                q = q[near]
+            if not near.any():
+                continue
+            q = q[near]
+            if forest:
                 left.append(np.full(len(q), p))
                 right.append(q)
                 far.append(d[near] / (n[p] + n[q]))
+            else:
+                paired[p] = paired[q] = True
         if left and sum(map(len, left)) > BLOCK:  # keeps what is held in proportion to the block
             left, right, far = ([x] for x in _spanning(comp, *map(np.concatenate, (left, right, far))))
+    if not forest:
+        return np.stack([ids[paired], ids[paired]], axis=1)
     if not left:
         return np.zeros((0, 2), np.int64)
     left, right, far = _spanning(comp, *map(np.concatenate, (left, right, far)))
@@ -444,7 +451,8 @@ def ngram_join(
 
     links = scratch.written(verified(docs, "_id", "_text", _first_checks(stars, marks), scratch, size).unionByName(equal), "linked")
     known = components(links, scratch)
-    likely = scratch.written(_between(stars, marks, marks.withColumnRenamed("sketch", "data"), known, _likely), "likely")
+    sketches = marks.withColumnRenamed("sketch", "data")
+    likely = scratch.written(_between(_members(stars), marks, sketches, known, _likely), "likely")
     known = _merged(known, scratch.written(verified(docs, "_id", "_text", likely, scratch, size), "linked"), scratch)
     # Where a block's forest held, nothing likely is left between its components; elsewhere sets are compared.
     name = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
@@ -452,9 +460,10 @@ def ngram_join(
     broken = few(few(likely.join(name("a"), "a", "left"), rows).join(name("b"), "b", "left"), rows).where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     broken = scratch.written(stars.join(broken.select(F.col("centre").alias("b")).distinct(), "b", "left_semi"), "broken")
     if broken.count():
-        wanted = broken.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-        sets = scratch.written(_sets(docs, "_id", "_text", wanted, size), "sets").withColumn("n", (F.octet_length("data") / 8).cast("long"))
-        rest = _between(broken, marks, sets, known, _linked)
+        paired = _between(_members(broken), marks, sketches, known, lambda two_sides, members: _likely(two_sides, members, forest=False))
+        paired = scratch.written(paired.select("centre", F.col("a").alias("id")).distinct(), "paired")
+        sets = scratch.written(_sets(docs, "_id", "_text", paired.select(F.col("id").alias("wanted")).distinct(), size), "sets")
+        rest = _between(paired, marks, sets.withColumn("n", (F.octet_length("data") / 8).cast("long")), known, _linked)
         known = _merged(known, scratch.written(rest.select("a", "b"), "linked"), scratch)
     out = signed.select("id", "n").join(known, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     if keys is not None:
@@ -466,12 +475,15 @@ def ngram_join(
     return out
 
 
-def _between(stars: DataFrame, marks: DataFrame, data: DataFrame, known: DataFrame, compare) -> DataFrame:
+def _members(stars: DataFrame) -> DataFrame:
+    """(centre, id) of the members of every cluster, centres among them."""
+    return stars.select(F.col("b").alias("centre"), F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("centre"), F.col("b").alias("id")).distinct())
+
+
+def _between(members: DataFrame, marks: DataFrame, data: DataFrame, known: DataFrame, compare) -> DataFrame:
     """What ``compare`` finds (centre, a, b) between components within the clusters of one centre, by ``data`` (id, n, data),
     in blocks of about BLOCK members and BLOCK_BYTES on each side."""
-    members = stars.select(F.col("b").alias("centre"), F.col("a").alias("id"))
-    rows = 2 * stars.count()
-    members = members.unionByName(few(stars.select(F.col("b").alias("centre"), F.col("b").alias("id")).distinct(), rows))
+    rows = members.count()
     named = few(members, rows).join(known.withColumnRenamed("node", "id"), "id", "left").select("centre", "id", F.coalesce("component", "id").alias("component"))
     named = few(few(named, rows).join(marks.groupBy("id").agg(F.max("n").alias("most")), "id"), rows)
     # A set has 8 bytes a member, and its sketch less than that.
