@@ -51,7 +51,7 @@ SHINGLE = 5
 SMALL, LOAD = 256, 1.8
 #: Members of a cluster and bytes of their data on each side of a block, partners of a centre that are checked in one
 #: part, and ids of candidates that are broadcast at most.
-BLOCK, BLOCK_BYTES, PARTNERS, BROADCAST_IDS = 1500, 8 << 20, 500, 1_000_000
+BLOCK, BLOCK_BYTES, PARTNERS, BROADCAST_IDS = 1500, 8 << 20, 100, 1_000_000
 #: Hot words are sought in every HOT_SHARE-th document, or in about HOT_DOCS of them if that is less; words in HOT_ROWS
 #: of these are hot, at most HOT_WORDS. The sample decides the order of words alone, and no link depends on it.
 HOT_SHARE, HOT_DOCS, HOT_ROWS, HOT_WORDS = 20, 1_000_000, 20, 1_000_000
