@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import views
 
+# Fixed value: what a citation group looks like.
 GROUP = r"\[(\d{1,3}(?:\s*[,;]\s*\d{1,3})*)\]"
 
 

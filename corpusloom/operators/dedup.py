@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import words
 from ..sources import views
@@ -22,35 +23,51 @@ def shingles(text: Column, k: int = SHINGLE) -> Column:
     return F.transform(F.array(words(text)), of)[0]
 
 
-def shingle_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(id, n, h) per shingle of every distinct set; ``id`` is the first document that has it.
+def shingle_sets(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """A written table (id, s): the sorted shingles of every document; none where it has no words."""
+    return written(docs.select(F.col(key).alias("id"), F.sort_array(shingles(F.col(text))).alias("s")), "shingle-sets")
 
-    Copies are combined before anything is joined. ``explode_outer`` with a filter keeps the optimizer from deriving a
-    size filter that would evaluate the shingles again.
-    """
-    sets = docs.select(F.col(key).alias("id"), F.sort_array(shingles(F.col(text))).alias("s"))
-    firsts = written(sets.groupBy(F.xxhash64("s").alias("_d"), "s").agg(F.min("id").alias("id")), "shingles")
-    return firsts.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("h")).where("h is not null")
+
+def classes(sets: DataFrame) -> DataFrame:
+    """(id, first): every document with words and the least document of the same set, itself included."""
+    firsts = sets.where(F.size("s") > 0).groupBy("s").agg(F.min("id").alias("first"))
+    return sets.join(firsts, "s").select("id", "first")
 
 
 def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", at_least: float = CONTAINED) -> DataFrame:
-    """(a, b, containment) of distinct texts whose smaller set lies in the larger by ``at_least``.
+    """(a, b, containment): links between the first documents of distinct sets, and from each of these to its copies (1.0).
 
-    Shingles of a single set leave before the join; sets meet on all the others, so a shingle that many distinct texts
-    share costs pairs in their square.
+    Copies are combined before anything is joined, and follow their first document: no link between texts is lost, and
+    none is repeated for every copy. Of a set, the shingles of least document frequency are joined: a smaller set of n
+    that lies in another by ``at_least`` shares one of its n - ceil(at_least * n) + 1 rarest, so a passage that many
+    documents share brings only those together that have nothing rarer. Pairs are then counted on whole sets.
     """
-    rows = shingle_rows(docs, key, text)
-    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
-    rows = written(rows.join(common, "h", "left_semi"), "common-shingles")
-    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")))
-    counted = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(F.least("x.n", "y.n")).alias("m"))
-    return counted.select("a", "b", F.round(F.col("k") / F.col("m"), 4).alias("containment")).where(F.col("k") / F.col("m") >= at_least)
+    sets = shingle_sets(docs, key, text)
+    named = written(classes(sets), "shingle-classes")
+    firsts = written(sets.join(named.where("id = first").select("id"), "id", "left_semi"), "distinct-sets")
+    rows = firsts.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("h")).where("h is not null")
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rows = written(rows.join(common, "h"), "common-shingles")
+    place = F.row_number().over(W.partitionBy("id").orderBy("df", "h"))
+    alone = rows.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    # Shingles of one document alone are its rarest and meet nothing: they take the first places of its prefix.
+    ranked = rows.withColumn("place", place).join(alone, "id").withColumn("place", F.col("place") + F.col("n") - F.col("shared"))
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.lit(at_least) * F.col("n") - 1e-9) + 1).select("id", "n", "h")
+    met = prefix.alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.n") <= F.col("y.n")))
+    asked = written(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "asked-pairs")
+    side = lambda i, c: firsts.select(F.col("id").alias(i), F.col("s").alias(c))
+    least = F.least(F.size("sa"), F.size("sb"))
+    share = F.size(F.array_intersect("sa", "sb")) / least
+    near = asked.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", share.alias("share")).where(F.col("share") >= at_least)
+    copies = named.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("containment"))
+    return near.select("a", "b", F.round("share", 4).alias("containment")).unionByName(copies)
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, kept): in order of id a document goes if an earlier kept one contains or is contained in it.
+    """(id, kept) of every document: in order of id one goes if an earlier kept one contains or is contained in it.
 
-    Decided in rounds: whoever has no earlier undecided or kept partner stays, whoever has a kept one goes.
+    Decided in rounds: whoever has no earlier undecided or kept partner stays, whoever has a kept one goes. A copy goes
+    with or because of its first document; what has no partner, or no words, stays.
     """
     pairs = written(near_pairs(docs, key, text).select("a", "b"), "near-pairs")
     open_ = pairs.select(F.col("b").alias("id")).union(pairs.select("a")).distinct()
@@ -63,7 +80,8 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         decided = step if decided is None else decided.unionByName(step)
         open_ = written(open_.join(step.select("id"), "id", "left_anti"), "open")
         if open_.isEmpty():
-            return decided
+            break
+    return docs.select(F.col(key).alias("id")).distinct().join(decided, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -80,18 +98,25 @@ def _d(spark, d):
 
 _W = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 _S = f"list_distinct(list_transform(range(1, greatest(len(w) - 6, 2)), lambda i: array_to_string(w[i:i + 7], ' ')))"
+_PAIRS = f"""with s as (select doc_id, list_sort({_S}) as s from (select doc_id, {_W} as w from documents) where len(w) > 0), u as (select min(doc_id) as id, s from s group by s),
+        r as (select id, len(s) as n, unnest(s) as h from u), p as (select x.id as a, y.id as b, count(*) as k, any_value(least(x.n, y.n)) as m from r x join r y on x.h = y.h and x.id < y.id group by all),
+        links as (select a, b, round(k / m, 4) as containment from p where k / m >= 0.7 union all select u.id, s.doc_id, 1.0 from s join u on s.s = u.s where s.doc_id <> u.id)"""
 QUERIES = {
-    "shingle_near_dups": (
-        lambda s, d: near_pairs(_d(s, d)),
-        f"""with s as (select doc_id, list_sort({_S}) as s from (select doc_id, {_W} as w from documents) where len(w) > 0), u as (select min(doc_id) as id, s from s group by s),
-        r as (select id, len(s) as n, unnest(s) as h from u), p as (select x.id as a, y.id as b, count(*) as k, any_value(least(x.n, y.n)) as m from r x join r y on x.h = y.h and x.id < y.id group by all)
-        select a, b, round(k / m, 4) as containment from p where k / m >= 0.7""",
-    ),
+    "shingle_near_dups": (lambda s, d: near_pairs(_d(s, d)), _PAIRS + " select a, b, containment from links"),
     "benchmark_contamination": (
         lambda s, d: contamination(_d(s, d), views.table(s, d, "benchmark")),
         f"""with i as (select item_id, {_S} as s from (select item_id, {_W} as w from benchmark) where len(w) > 0), ir as (select item_id, len(s) as n, unnest(s) as h from i),
         d as (select doc_id, unnest({_S}) as h from (select doc_id, {_W} as w from documents) where len(w) > 0), m as (select doc_id, item_id, count(*) as k, any_value(n) as n from d join ir using (h) group by all)
         select doc_id, item_id, round(k / n, 4) as containment from m where k / n >= 0.7""",
     ),
-    "near_dup_keep_first": (lambda s, d: keep_first(_d(s, d)), None),
+    "near_dup_keep_first": (
+        lambda s, d: keep_first(_d(s, d)),
+        _PAIRS.replace("with s as", "with recursive s as")
+        + """, o as (select b as id, list(a) as earlier, row_number() over (order by b) as k from links group by b),
+        heads as (select list(distinct a) as l from links where a not in (select b from links)),
+        g(k, kept) as (select cast(0 as bigint), l from heads union all
+          select o.k, case when list_has_any(kept, earlier) then kept else list_append(kept, id) end from g join o on o.k = g.k + 1),
+        last as (select kept from g order by k desc limit 1)
+        select doc_id as id, coalesce(doc_id not in (select b from links) or list_contains((select kept from last), doc_id), true) as kept from (select distinct doc_id from documents)""",
+    ),
 }

@@ -11,7 +11,7 @@ from ..functions import urls
 from ..sources import views
 
 # Fixed values.
-BOT_MARKERS = ("captcha", "verify you are human", "access denied", "unusual traffic", "enable javascript")
+BOT_MARKERS = ("pow_challenge_data", "cf-browser-verification", "challenge-platform", "just a moment...", "checking your browser", "enable javascript and cookies to continue")
 TABLE_RULE = r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,7 +21,7 @@ def windows(text: Column, size: int = EVIDENCE) -> Column:
 def best_passage(pages: DataFrame, claim: str, key: str, text: str = "text", size: int = EVIDENCE) -> DataFrame:
     """(key, start) of each page's window that holds the claim's rarest terms; the middle one of the best.
 
-    A term weighs ln(1 + windows / windows with it). Everything happens within one row, so no page is shuffled.
+    A term weighs ln(1 + windows / windows with it). Texts stay where they are; (key, start, term) rows are what is shuffled.
     """
     t = F.col(text)
     found = F.transform(windows(t, size), lambda s: F.struct(s.alias("s"), F.array_intersect(claim_terms(F.substring(t, s + 1, F.lit(size))), claim_terms(F.lit(claim))).alias("hit")))
@@ -39,54 +36,42 @@ def best_passage(pages: DataFrame, claim: str, key: str, text: str = "text", siz
     return top.select(key, start.cast("int").alias("start"), F.col("best").alias("score"))
 
 
-def chunk_markdown(text: str | None, target: int = TARGET, maximum: int = MAXIMUM, overlap: int = OVERLAP) -> list[str]:
-    """Chunks of about ``target`` characters within one heading, each repeating the last short paragraph before it."""
-    out: list[str] = []
-    heading, body = "", []
-    parts: list[tuple[str, list[str]]] = []
-    for line in (text or "").splitlines():
-        if re.match(r"#{1,6}\s", line):
-            parts.append((heading, body))
-            heading, body = line.strip(), []
-        else:
-            body.append(line)
-    parts.append((heading, body))
-    for head, lines in parts:
-        paragraphs = [p.strip() for p in re.split(r"\n\s*\n", "\n".join(lines).strip()) if p.strip()] or ([""] if head else [])
-        pieces = [q for p in paragraphs for q in ([p[i : i + target] for i in range(0, len(p), target)] if len(p) > maximum else [p])]
-        held: list[str] = []
-        new = False
-
-        def flush(held: list[str], head: str = head) -> None:
-            joined = "\n\n".join(p for p in held if p)
-            out.append(f"{head}\n\n{joined}".strip() if head else joined)
-
-        for piece in pieces:
-            if held and sum(map(len, held)) + len(piece) > target:
-                flush(held)
-                held, new = held[-1:] if len(held[-1]) <= overlap else [], False
-            held.append(piece)
-            new = True
-        if new:
-            flush(held)
-    return [c for c in out if c.strip()]
-
-
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, chunk_idx, chunk): one pass over Arrow batches without a shuffle."""
-    import pyarrow as pa
+def chunk_array(text: Column, target: int = TARGET, most: int = MAXIMUM, overlap: int = OVERLAP) -> Column:
+    """Chunks of a text with Markdown headings, as an array, by one fold over its blocks.
 
-    kind = docs.schema[key].dataType.simpleString()
+    A heading line is a block of its own, marked so; other blocks are paragraphs between blank lines, and one of more
+    than ``most`` characters is cut every ``target``. A chunk takes paragraphs while their lengths stay within ``target``
+    and carries the heading above it; the next one begins with the last paragraph if that has ``overlap`` characters or
+    less. A heading closes the chunk before it, and one without text is a chunk alone.
+    """
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?md)^(#{1,6}\s.*)$", "\n\n\u0001$1\n\n")
+    blocks = F.filter(F.transform(F.split(marked, r"\n\s*\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / target).cast("int")), lambda k: F.substring(x, k * target + 1, F.lit(target)))
+    blocks = F.flatten(F.transform(blocks, lambda x: F.when(x.startswith("\u0001") | (F.length(x) <= most), F.array(x)).otherwise(cut(x))))
+
+    none = F.array().cast("array<string>")
+    state = lambda head, held, out: F.struct(head.alias("head"), held.alias("held"), out.alias("out"))
+    closed = lambda a: F.when((F.size(a["held"]) == 0) & (a["head"] == ""), a["out"]).otherwise(
+        F.concat(a["out"], F.array(F.array_join(F.concat(F.when(a["head"] == "", none).otherwise(F.array(a["head"])), a["held"]), "\n\n")))
+    )
+
+    def take(a, x):
+        size = F.aggregate(a["held"], F.lit(0), lambda n, p: n + F.length(p))
+        last = F.element_at(a["held"], -1)
+        full = (F.size(a["held"]) > 0) & (size + F.length(x) > target)
+        carried = F.when(F.length(last) <= overlap, F.array(last)).otherwise(none)
+        return (
+            F.when(x.startswith("\u0001"), state(F.substring(x, F.lit(2), F.length(x)), none, closed(a)))
+            .when(full, state(a["head"], F.concat(carried, F.array(x)), closed(a)))
+            .otherwise(state(a["head"], F.concat(a["held"], F.array(x)), a["out"]))
+        )
+
+    return F.aggregate(blocks, state(F.lit(""), none, none), take, closed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [chunk_markdown(t) for t in b.column(1).to_pylist()]
-            at = [i for i, c in enumerate(made) for _ in c]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at, pa.int64())), pa.array([k for c in made for k in range(len(c))], pa.int32()), pa.array([x for c in made for x in c], pa.string())], names=[key, "chunk_idx", "chunk"]
-            )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, chunk_idx int, chunk string")
+def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, chunk_idx, chunk): within each row, without a shuffle."""
+    return docs.select(key, F.posexplode(chunk_array(F.col(text))).alias("chunk_idx", "chunk"))
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2000) -> DataFrame:
@@ -135,9 +120,28 @@ def _verbatim(q: str, t: str) -> str:
     return f"case when length({q}) < 12 then true when contains({t}, {q}) then true when len(string_split({q}, ' ')) < 8 then false else len(list_filter({g}, lambda x: contains({t}, x))) / len({g}) >= 0.6 end"
 
 
+def _sectioned(spark, d):
+    """Every document with a heading above its first and a bare one above its last thousand characters, and paragraphs."""
+    t = F.regexp_replace("text", r"([.!?]) ([A-Z])", "$1\n\n$2")
+    return _docs(spark, d).select("doc_id", F.concat(F.lit("# Title\n"), F.substring(t, 1, 1000), F.lit("\n## Empty\n### Rest\n"), F.substring(t, F.lit(1001), F.length(t))).alias("text"))
+
+
+_CHUNKS = r"""with recursive t as (select doc_id, regexp_replace(text, '([.!?]) ([A-Z])', '\1' || chr(10) || chr(10) || '\2', 'g') as t from documents),
+  m as (select doc_id, regexp_replace('# Title' || chr(10) || substr(t, 1, 1000) || chr(10) || '## Empty' || chr(10) || '### Rest' || chr(10) || substr(t, 1001), '(?m)^(#{1,6}\s.*)$', chr(10) || chr(10) || chr(1) || '\1' || chr(10) || chr(10), 'g') as t from t),
+  b as (select doc_id, list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as b from m),
+  c as (select doc_id, flatten(list_transform(b, lambda x: case when starts_with(x, chr(1)) or length(x) <= 1800 then [x]
+    else list_transform(range(0, cast(floor((length(x) - 1) / 1300) as bigint) + 1), lambda k: substr(x, k * 1300 + 1, 1300)) end)) as b from b),
+  f(doc_id, b, k, head, held, done) as (
+    select doc_id, b, 0, '', cast([] as varchar[]), cast(null as varchar) from c
+    union all
+    select doc_id, b, k + 1, case when starts_with(b[k + 1], chr(1)) then substr(b[k + 1], 2) else head end,
+      case when k = len(b) or starts_with(b[k + 1], chr(1)) then [] when full_ then (case when length(held[-1]) <= 400 then [held[-1]] else [] end) || [b[k + 1]] else held || [b[k + 1]] end,
+      case when (k = len(b) or starts_with(b[k + 1], chr(1)) or full_) and (len(held) > 0 or head <> '') then array_to_string(case when head = '' then held else [head] || held end, chr(10) || chr(10)) end
+    from (select *, len(held) > 0 and list_sum(list_transform(held, lambda p: length(p))) + length(b[k + 1]) > 1300 as full_ from f) where k <= len(b))
+  select doc_id, cast(row_number() over (partition by doc_id order by k) - 1 as int) as chunk_idx, length(done) as n, md5(done) as digest from f where done is not null"""
 QUERIES = {
     "best_passage": (lambda s, d: best_passage(_docs(s, d), CLAIM, "doc_id"), None),
-    "chunk_documents": (lambda s, d: chunks(_docs(s, d)), None),
+    "chunk_documents": (lambda s, d: chunks(_sectioned(s, d)).select("doc_id", "chunk_idx", F.length("chunk").alias("n"), F.md5("chunk").alias("digest")), _CHUNKS),
     "fixed_pieces": (
         lambda s, d: pieces(_docs(s, d)).select("doc_id", "piece", F.length("text").alias("n"), F.md5("text").alias("digest")),
         "select doc_id, cast(k as int) as piece, cast(length(substr(text, k * 2000 + 1, 2000)) as int) as n, md5(substr(text, k * 2000 + 1, 2000)) as digest from (select doc_id, text, unnest(range(0, cast(ceil(length(text) / 2000) as bigint))) as k from documents)",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,23 +69,34 @@ def kinds_by_head(candidates: DataFrame) -> DataFrame:
     return groups.withColumn("_m", any_).where((F.col("n") > 1) | (F.col("_m") == 1)).drop("_m")
 
 
-_LISTED = re.compile(r"(?m)^[ \t]*(?:[-*•–]|\d{1,2}[.)])[ \t]+(.{3,300}?)[ \t]*$")
+#: Items of a list have this many characters, and a colon begins a list of this many lines at least.
+ITEM_CHARS, COLON_LINES = (3, 300), 3
 
 
 def listed_asks(questions: DataFrame, key: str, text: str) -> DataFrame:
-    """Items of bulleted or numbered lines where a question has two or more: key, pos, item."""
-    import pyarrow as pa
+    """What a question lists: key, pos, item. Lines that begin with a bullet or a number count where there are two or more
+    of them, and plain lines below one that ends in a colon where there are three or more up to the next blank one."""
+    low, high = ITEM_CHARS
+    mark = r"^[ \t]*([-*\u2022\u2013]|[0-9]{1,2}[.)])[ \t]+"
 
-    kind = questions.schema[key].dataType.simpleString()
+    def kinds(lines):
+        return F.transform(lines, lambda x: F.when(x.rlike(mark), "mark").when(F.trim(x) == "", "blank").when(F.rtrim(x).endswith(":"), "colon").otherwise("plain"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [_LISTED.findall(t or "") for t in b.column(1).to_pylist()]
-            found = [f if len(f) > 1 else [] for f in found]
-            at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([k for f in found for k in range(len(f))], pa.int32()), pa.array([x for f in found for x in f], pa.string())], names=[key, "pos", "item"])
+    def body(lines, kind):
+        items = F.filter(F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, mark, ""), r"[ \t]+$", "")), lambda x, i: (F.get(kind, i) == "mark") & F.length(x).between(low, high))
+        runs = F.filter(F.transform(kind, lambda k, i: F.struct(k.alias("k"), i.alias("i"))), lambda x: x["k"] == "colon")
 
-    return questions.select(key, text).mapInArrow(run, f"`{key}` {kind}, pos int, item string")
+        def below(x):
+            rest = F.slice(kind, x["i"] + 2, F.size(kind))
+            stop = F.coalesce(F.array_min(F.filter(F.transform(rest, lambda k, j: F.when(k != "plain", j)), lambda j: j.isNotNull())), F.size(rest))
+            return F.when(stop >= COLON_LINES, F.transform(F.slice(lines, x["i"] + 2, stop), lambda y: F.trim(y)))
+
+        blocks = F.filter(F.transform(runs, below), lambda b: b.isNotNull())
+        return F.concat(F.when(F.size(items) > 1, items).otherwise(F.array().cast("array<string>")), F.flatten(blocks))
+
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    found = F.transform(F.array(lines), lambda x: F.transform(F.array(kinds(x)), lambda k: body(x, k))[0])[0]
+    return questions.select(key, F.posexplode(found).alias("pos", "item"))
 
 
 def tolerant_json(reply: str | None) -> str | None:
@@ -157,6 +167,13 @@ def _names(spark, d):
     return c.select((F.col("p_partkey") % 40).alias("report"), F.col("p_name").alias("name"), (F.col("p_partkey") % 7).alias("sources"))
 
 
+def _asked(spark, d):
+    """Documents as questions with bulleted and numbered lines, a list below a colon, and one that is too short."""
+    head = F.lit("Which of these:\n- alpha\n2) beta \nAlso:\n")
+    body = F.replace(F.substring("text", 1, 400), F.lit(". "), F.lit(".\n"))
+    return views.table(spark, d, "documents").select("doc_id", F.concat(head, body, F.lit("\n\nEnd:\nx")).alias("q"))
+
+
 QUERIES = {
     "reranked_hits": (
         lambda s, d: reranked(_hits(s, d)).select("q", "id", "place"),
@@ -181,6 +198,17 @@ QUERIES = {
     "evidence_lines": (lambda s, d: evidence_lines(_sentences(s, d).select((F.col("report") % 5).alias("topic"), F.col("report").alias("source"), "pos", F.col("text").alias("line"))).select("topic", "source", "pos", "place"), None),
     "report_repeats": (lambda s, d: repeats(_sentences(s, d)), None),
     "candidate_kinds": (lambda s, d: kinds_by_head(_names(s, d)), None),
-    "listed_asks": (lambda s, d: listed_asks(views.table(s, d, "documents").select("doc_id", F.concat(F.lit("1. first ask\n2) second ask\n"), "text").alias("q")), "doc_id", "q"), None),
+    "listed_asks": (
+        lambda s, d: listed_asks(_asked(s, d), "doc_id", "q"),
+        r"""with q as (select doc_id, string_split('Which of these:' || chr(10) || '- alpha' || chr(10) || '2) beta ' || chr(10) || 'Also:' || chr(10) || replace(substr(text, 1, 400), '. ', '.' || chr(10)) || chr(10) || chr(10) || 'End:' || chr(10) || 'x', chr(10)) as l from documents),
+        l as (select doc_id, unnest(l) as x, generate_subscripts(l, 1) as i from q),
+        k as (select *, case when regexp_matches(x, '^[ \t]*([-*•–]|[0-9]{1,2}[.)])[ \t]+') then 'mark' when trim(x) = '' then 'blank' when ends_with(rtrim(x), ':') then 'colon' else 'plain' end as k from l),
+        m as (select doc_id, i, regexp_replace(regexp_replace(x, '^[ \t]*([-*•–]|[0-9]{1,2}[.)])[ \t]+', ''), '[ \t]+$', '') as item from k where k = 'mark'),
+        m2 as (select *, count(*) over (partition by doc_id) as n from m where length(item) between 3 and 300),
+        e as (select c.doc_id, c.i, coalesce(min(o.i), max(a.i) + 1) as stop from k c join k a on a.doc_id = c.doc_id left join k o on o.doc_id = c.doc_id and o.i > c.i and o.k <> 'plain' and o.i = a.i where c.k = 'colon' group by all),
+        b as (select e.doc_id, e.i as block, k.i, trim(k.x) as item from e join k on k.doc_id = e.doc_id and k.i > e.i and k.i < e.stop where e.stop - e.i > 3),
+        u as (select doc_id, 0 as block, i, item from m2 where n > 1 union all select * from b)
+        select doc_id, cast(row_number() over (partition by doc_id order by block, i) - 1 as int) as pos, item from u""",
+    ),
     "tolerant_json": (lambda s, d: parsed_replies(views.table(s, d, "events").select("event_id", F.concat(F.lit("<think>x</think>```json\n"), "props", F.lit("\n```")).alias("reply")), "reply").select("event_id", "parsed"), "select event_id, props as parsed from events"),
 }

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from ..functions import citations, coerce, text, urls
-from ..operators import dedup, outcomes, pages, passages, reports, runs, search, select
+from ..operators import dedup, figures, outcomes, pages, passages, reports, runs, search, select
 from ..streaming import bench
 from . import depth
 
-_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth, coerce, pages, reports)
+_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth, coerce, pages, reports, figures)
 
 
 def flagship(spark, sf_dir):
