@@ -58,12 +58,15 @@ def merged_feeds(entries: DataFrame, cutoff: Column | None = None) -> DataFrame:
     return best.select("link", *[F.col(f"s.{c}") for c in rest])
 
 
-def filter_by_vocabulary(pool: DataFrame, vocabulary: list[str], limit: int) -> DataFrame:
-    """Candidates that share a stemmed word with the vocabulary; all of them, those first, if fewer than ``limit`` do."""
+def filter_by_vocabulary(pool: DataFrame, vocabulary: list[str], limit: int, exempt: list[str] | None = None) -> DataFrame:
+    """Candidates that share a stemmed word with the vocabulary or are on an exempt domain; if fewer than ``limit`` do,
+    all of them, those first (``tier`` 0). Whether there are enough is a scalar of the same plan; no action runs here."""
     shares = F.arrays_overlap(tx.vocabulary(F.col("text")), F.array(*[F.lit(v) for v in vocabulary]))
-    made = pool.withColumn("shares", shares)
-    enough = made.where("shares").limit(limit).count() >= limit
-    return made.where("shares") if enough else made
+    if exempt and "domain" in pool.columns:
+        shares = shares | urls.under(F.col("domain"), exempt)
+    made = pool.withColumn("shares", F.coalesce(shares, F.lit(False)))
+    enough = made.where("shares").agg((F.count(F.lit(1)) >= limit).alias("enough")).scalar()
+    return made.where(F.col("shares") | ~enough).withColumn("tier", F.when(F.col("shares"), 0).otherwise(1))
 
 
 def select_references(links: DataFrame, query: str, per_source: int = 3) -> DataFrame:
@@ -154,11 +157,22 @@ def _claims(spark, d):
     return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("pos"), F.col("l_quantity").cast("int").alias("importance"), (F.col("l_returnflag") != "R").alias("checkable"), "l_partkey", "l_suppkey")
 
 
+def _sniffed(spark, d):
+    """Documents as pages, some of them walls, Markdown, degenerate or with a table."""
+    return _docs(spark, d).select("doc_id", F.expr(_SNIFF).alias("text"))
+
+
+_SNIFF = """case doc_id % 6 when 0 then 'Just a MOMENT... ' || text when 1 then '# T' || chr(10) || text when 2 then text || chr(10) || '| a | b |' || chr(10) || '| --- | :-: |' || chr(10)
+  when 3 then '## H' || chr(10) || repeat('abab ', 60) when 4 then text || chr(10) || 'a | b' || chr(10) || '|---|---|' else '<script>POW_challenge_data</script>' || text end"""
 _URL = "lower(regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1))"
 QUERIES = {
     "page_sniffs": (
-        lambda s, d: _docs(s, d).select("doc_id", looks_bot_walled(F.col("text")).alias("walled"), is_markdown_document(F.concat(F.lit("# T\n"), "text")).alias("markdown"), has_table(F.concat("text", F.lit("\n| a | b |\n| --- | :-: |\n"))).alias("table")),
-        None,
+        lambda s, d: _sniffed(s, d).select("doc_id", looks_bot_walled(F.col("text")).alias("walled"), is_markdown_document(F.col("text")).alias("markdown"), has_table(F.col("text")).alias("table")),
+        f"""with t as (select doc_id, {_SNIFF} as t from documents), h as (select doc_id, t, substr(t, 1, 4000) as f, string_split(t, chr(10)) as l, string_split(trim(t), chr(10))[1:3] as top from t),
+        c as (select *, list_distinct(string_split(f, '')) as cs from h)
+        select doc_id, contains(lower(substr(t, 1, 8000)), 'just a moment...') or contains(lower(substr(t, 1, 8000)), 'pow_challenge_data') as walled,
+          len(list_filter(top, lambda x: regexp_matches(x, '^#{{1,6}}\\s'))) > 0 and not (length(t) >= 200 and (len(cs) <= 12 or list_max(list_transform(cs, lambda c: length(f) - length(replace(f, c, '')))) > 0.5 * length(f))) as markdown,
+          len(list_filter(range(2, len(l) + 1), lambda i: regexp_matches(l[i], '{TABLE_RULE}') and length(l[i - 1]) - length(replace(l[i - 1], '|', '')) >= 2)) > 0 as table from c""",
     ),
     "feed_union": (
         lambda s, d: merged_feeds(feed_entries(_feeds(s, d)), F.lit("2024-01-03").cast("date")).select("link", "feed", F.col("published").cast("string").alias("published")),
@@ -171,8 +185,13 @@ QUERIES = {
         where page_id % 9 + 1 >= 3 qualify row_number() over (partition by url order by page_id % 9 desc, page_id) = 1""",
     ),
     "vocabulary_filter": (
-        lambda s, d: filter_by_vocabulary(_docs(s, d).select("doc_id", "text"), ["schein", "keit", "zzz"], 5).select("doc_id", "shares"),
-        None,
+        lambda s, d: filter_by_vocabulary(_docs(s, d).select("doc_id", "text"), ["schein", "keit", "zzz"], 5).select("doc_id", "shares", "tier"),
+        f"""with v as (select doc_id, list_has_any({tx._VOC}, ['schein', 'keit', 'zzz']) as shares from documents)
+        select doc_id, shares, case when shares then 0 else 1 end as tier from v where shares or (select count(*) from v where shares) < 5""",
+    ),
+    "vocabulary_filter_short": (
+        lambda s, d: filter_by_vocabulary(_docs(s, d).select("doc_id", "text", F.concat(F.lit("d"), F.col("doc_id") % 3, F.lit(".org")).alias("domain")), ["zzz"], 10**6, ["d1.org"]).select("doc_id", "shares", "tier"),
+        "select doc_id, doc_id % 3 = 1 as shares, case when doc_id % 3 = 1 then 0 else 1 end as tier from documents",
     ),
     "reference_links": (lambda s, d: select_references(_links(s, d), "the and für Nicht site").select("page_id", "link", "score", "place"), None),
     "fresh_queries": (lambda s, d: fresh_queries(_docs(s, d).select(F.col("source").alias("group"), F.col("doc_id").alias("pos"), F.substring("text", 1, 60).alias("query")), ["the quick brown fox"], 5), None),

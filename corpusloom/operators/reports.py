@@ -167,6 +167,10 @@ def _names(spark, d):
     return c.select((F.col("p_partkey") % 40).alias("report"), F.col("p_name").alias("name"), (F.col("p_partkey") % 7).alias("sources"))
 
 
+_FACETS = (("there then the thing", 0), ("ation ing ent erer", 1), ("heren thand onth", 2), ("the that there then", 3))
+_LINES = "l as (select report, i - 1 as pos, x from (select doc_id as report, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from documents))"
+
+
 def _asked(spark, d):
     """Documents as questions with bulleted and numbered lines, a list below a colon, and one that is too short."""
     head = F.lit("Which of these:\n- alpha\n2) beta \nAlso:\n")
@@ -192,12 +196,29 @@ QUERIES = {
         f"with {views.OUTCOMES_SQL} select run_id, domain, count(*) filter (outcome = 'kept') as kept, cast(least(6, 2 + count(*) filter (outcome = 'kept')) as int) as cap from outcomes group by all",
     ),
     "facet_of_query": (
-        lambda s, d: facet_of_query(views.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query")), s.createDataFrame([("there then the thing", 0), ("ation ing ent erer", 1), ("heren thand onth", 2)], "facet string, facet_order int")),
-        None,
+        lambda s, d: facet_of_query(views.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query")), s.createDataFrame(list(_FACETS), "facet string, facet_order int")),
+        f"""with f as (select * from (values {', '.join(map(str, _FACETS))}) as t(text, o)), fw as (select text as facet, o, unnest({tx._FTOK}) as w from f), q as (select item_id as id, unnest({tx._FTOK}) as w from benchmark),
+        k as (select id, facet, o, count(*) as n from q join fw using (w) group by all having count(*) >= 2), b as (select id, facet from k qualify row_number() over (partition by id order by n desc, o) = 1)
+        select item_id as id, facet from benchmark left join b on item_id = id""",
+    ),
+    "evidence_lines": (
+        lambda s, d: evidence_lines(_sentences(s, d).select((F.col("report") % 5).alias("topic"), F.col("report").alias("source"), "pos", F.col("text").alias("line"))).select("topic", "source", "pos", "place"),
+        f"""with {_LINES}, f as (select report % 5 as topic, report as source, pos, substr(regexp_replace(lower(x), '[^a-z0-9]', '', 'g'), 1, 80) as f from l),
+        o as (select * from f qualify row_number() over (partition by topic, f order by source, pos) = 1), k as (select * from o qualify row_number() over (partition by topic, source order by pos) <= 3)
+        select topic, source, pos, cast(row_number() over (partition by topic order by source, pos) as int) as place from k qualify place <= 30""",
+    ),
+    "report_repeats": (
+        lambda s, d: repeats(_sentences(s, d)),
+        f"""with {_LINES}, v as (select report, pos, pos // 2 as section, {tx._VOC} as v from (select report, pos, x as text from l)), w as (select report, pos, section, len(v) as n, unnest(v) as w from v where len(v) >= 8),
+        p as (select b.report, b.pos, a.pos as earlier, count(*) as k, any_value(a.n + b.n) as n from w a join w b on a.report = b.report and a.w = b.w and a.pos < b.pos and a.section <> b.section group by all)
+        select report, pos, earlier, round(k / (n - k), 4) as similarity from p where round(k / (n - k), 4) >= 0.5""",
+    ),
+    "candidate_kinds": (
+        lambda s, d: kinds_by_head(_names(s, d)),
+        f"""with c as (select p_partkey % 40 as report, p_name as name, p_partkey % 7 as sources, lower(string_split(trim(p_name), ' ')[-1]) as t from part), h as (select report, name, sources, {tx._FSTEM} as head from c),
+        g as (select report, head, count(*) as n, sum(sources) as sources, max({{'s': sources, 'n': name}}).n as label from h group by all), m as (select *, max(n) over (partition by report) as m from g)
+        select report, head, n, cast(sources as bigint) as sources, label from m where n > 1 or m = 1""",
     ),
-    "evidence_lines": (lambda s, d: evidence_lines(_sentences(s, d).select((F.col("report") % 5).alias("topic"), F.col("report").alias("source"), "pos", F.col("text").alias("line"))).select("topic", "source", "pos", "place"), None),
-    "report_repeats": (lambda s, d: repeats(_sentences(s, d)), None),
-    "candidate_kinds": (lambda s, d: kinds_by_head(_names(s, d)), None),
     "listed_asks": (
         lambda s, d: listed_asks(_asked(s, d), "doc_id", "q"),
         r"""with q as (select doc_id, string_split('Which of these:' || chr(10) || '- alpha' || chr(10) || '2) beta ' || chr(10) || 'Also:' || chr(10) || replace(substr(text, 1, 400), '. ', '.' || chr(10)) || chr(10) || chr(10) || 'End:' || chr(10) || 'x', chr(10)) as l from documents),

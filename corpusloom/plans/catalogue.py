@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions import citations, coerce, text, urls
-from ..operators import dedup, figures, outcomes, pages, passages, reports, runs, search, select
-from ..streaming import bench
+from ..functions import asks, citations, coerce, text, urls
+from ..operators import candidates, dedup, figures, library, models, outcomes, pages, passages, reports, runs, search, select
+from ..streaming import bench, bus
 from . import depth
 
-_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth, coerce, pages, reports, figures)
+_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth, coerce, pages, reports, figures, candidates, asks, library, models, bus)
 
 
 def flagship(spark, sf_dir):
