@@ -80,11 +80,13 @@ def test_citations(spark):
     assert sorted(one(spark, "In 2024, 1,250 of 3.50 and 7 or 12% [44]", citations.figures)) == ["12", "1250", "3.5"]
 
 
-def test_chunks_overlap_and_hard_splits():
-    assert passages.chunk_markdown("") == [] and passages.chunk_markdown("# Only") == ["# Only"]
-    long = passages.chunk_markdown("## H\n\n" + "\n\n".join(f"{k} " + "x" * 300 for k in range(10)))
-    assert all(c.startswith("## H") for c in long) and long[1].split("\n\n")[1] == long[0].split("\n\n")[-1]
-    assert [len(c) for c in passages.chunk_markdown("y" * 3000)] == [1300, 1300, 400]
+def test_chunks_overlap_and_hard_splits(spark):
+    texts = ["", "# Only", "## H\n\n" + "\n\n".join(f"{k} " + "x" * 300 for k in range(10)), "y" * 3000, "   \n\n  ", None, "Just a line.", "# A\n\ntext\n\n## B\nmore"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    made = {k: [r.chunk for r in passages.chunks(df).where(f"doc_id = {k}").orderBy("chunk_idx").collect()] for k in range(len(texts))}
+    assert made[0] == made[4] == made[5] == [] and made[1] == ["# Only"] and made[6] == ["Just a line."] and made[7] == ["# A\n\ntext", "## B\n\nmore"]
+    assert all(c.startswith("## H") for c in made[2]) and made[2][1].split("\n\n")[1] == made[2][0].split("\n\n")[-1]
+    assert [len(c) for c in made[3]] == [1300, 1300, 400]
 
 
 def test_two_caps_admit_in_order(spark):
@@ -98,8 +100,18 @@ def test_two_caps_admit_in_order(spark):
 def test_keep_first_drops_later_copies(spark):
     base = [f"w{k}" for k in range(60)]
     texts = [(0, " ".join(base)), (1, " ".join(base + ["tail"])), (2, " ".join(base[:40])), (3, "quite other words " * 10), (4, " ".join(base))]
-    got = dict(dedup.keep_first(spark.createDataFrame(texts, "doc_id long, text string")).collect())
-    assert got == {0: True, 1: False, 2: False}
+    docs = spark.createDataFrame([*texts, (5, ""), (6, None)], "doc_id long, text string")
+    assert dict(dedup.keep_first(docs).collect()) == {0: True, 1: False, 2: False, 3: True, 4: False, 5: True, 6: True}
+    assert {(r.a, r.b): r.containment for r in dedup.near_pairs(docs).collect()} == {(0, 1): 1.0, (0, 2): 1.0, (1, 2): 1.0, (0, 4): 1.0}
+
+
+def test_near_pairs_of_copies_and_a_common_passage(spark):
+    shared = " ".join(f"s{k}" for k in range(30))
+    texts = [shared + " " + " ".join(f"d{d}x{k}" for k in range(60)) for d in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[3], texts[3] + " more"])), "doc_id int, text string")
+    assert {(r.a, r.b) for r in dedup.near_pairs(docs).collect()} == {(3, 40), (3, 41)}
+    kept = dict(dedup.keep_first(docs).collect())
+    assert len(kept) == 42 and [k for k, v in kept.items() if not v] in ([40, 41], [41, 40])
 
 
 def test_packing_skips_and_prefix_stops(spark):
@@ -129,7 +141,7 @@ def test_feeds_rss_and_atom(spark):
 def test_sniffs_and_vocabulary(spark):
     from corpusloom.operators import pages
 
-    assert one(spark, "Please VERIFY you are human", pages.looks_bot_walled) and not one(spark, "a page", pages.looks_bot_walled)
+    assert one(spark, "<title>Just a Moment...</title>", pages.looks_bot_walled) and not one(spark, "a page", pages.looks_bot_walled)
     assert one(spark, "x\n| a | b |\n|---|---|\n| 1 | 2 |", pages.has_table) and not one(spark, "a\n|---|---|", pages.has_table)
     assert one(spark, "# Title\ntext", pages.is_markdown_document) and not one(spark, "text only", pages.is_markdown_document)
     pool = spark.createDataFrame([("kindles here",), ("other",)], "text string")
