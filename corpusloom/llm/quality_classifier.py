@@ -34,7 +34,7 @@ SHAPES, WORDS, DIMENSIONS, NEIGHBOURS, SHARPNESS, THRESHOLD = 512, 512, 64, 25,
 #: Words tell topics apart more than quality, so they weigh less than shapes; repetition weighs more.
 WORD_WEIGHT, REPEAT_WEIGHT = 0.3, 2.0
 _TERMS = SHAPES + WORDS + 1
-_BLOCK = 512
+_BLOCK = 128
 #: Decimal places of a cosine: beyond them texts count as equally near, however a block was cut.
 PLACES = 9
 
