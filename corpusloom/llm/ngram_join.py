@@ -446,8 +446,12 @@ def ngram_join(
         groups = groups.unionByName(often.join(F.broadcast(firsts), F.col("word") == F.col("w")).where("id <> first").select("id", "first"))
     stars = scratch.written(groups.groupBy(F.col("id").alias("a"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "stars")
 
-    equal = signed.where("id is not null and n > 0").groupBy("digest").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest", "b")
-    equal = signed.where("id is not null and n > 0").select("digest", F.col("id").alias("a")).join(equal, "digest").where("a <> b").select("a", "b")
+    named = signed.where("id is not null and n > 0").select("digest", F.col("id").alias("a"))
+    copied = named.groupBy("digest").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest", "b")
+    copied = scratch.written(copied, "copied")
+    if copied.count() <= BROADCAST_IDS:  # then a text that a third of all rows hold does not meet in one task
+        copied = F.broadcast(copied)
+    equal = named.join(copied, "digest").where("a <> b").select("a", "b")
 
     links = scratch.written(verified(docs, "_id", "_text", _first_checks(stars, marks), scratch, size).unionByName(equal), "linked")
     known = components(links, scratch)
