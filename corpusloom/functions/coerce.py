@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +67,14 @@ def sources_label(low: Column, high: Column) -> Column:
     return F.when(low == high, F.concat(F.lit("~"), low, F.lit(" sources"))).otherwise(F.concat(low, F.lit("–"), high, F.lit(" sources")))
 
 
+def _ascii(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
+
 def slug(text: Column, most: int = 40) -> Column:
-    """Letters and digits joined by dashes; accents of western European letters are taken off."""
-    plain = F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
-    plain = F.lower(F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]", ""), r"[^a-zA-Z0-9]+", "-"))
+    """Letters and digits joined by dashes; accents and other marks are taken off by the compatibility decomposition, for
+    which there is no built-in function."""
+    plain = F.lower(F.regexp_replace(F.pandas_udf(_ascii, "string")(text), r"[^a-zA-Z0-9]+", "-"))
     cut = F.regexp_replace(F.substring(F.regexp_replace(plain, r"^-+|-+$", ""), 1, most), r"-+$", "")
     return F.when(cut == "", F.lit("research")).otherwise(cut)
 

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def shared_dir(spark) -> str:
-    """The session's ``spark.checkpoint.dir``; a session without one (tests) gets its own."""
+    """The session's ``spark.checkpoint.dir``. A local session without one (tests) gets its own; on a cluster a folder of
+    one machine would lose rows, so one must be named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         found = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"

@@ -162,5 +162,6 @@ def test_coercion(spark):
     assert [one(spark, v, coerce.depth) for v in ("7", "99", "-1", "x", None)] == [7, 10, 1, 3, 3]
     assert one(spark, ["[33]", "a", "7"], coerce.id_list, "array<string>") == [33, 7]
     assert one(spark, "Éa Ünïcode -- test!", coerce.slug) == "ea-unicode-test" and one(spark, "日本", coerce.slug) == "research"
+    assert one(spark, "Żółć Ğüş Ｆｕｌｌ ﬁt", coerce.slug) == "zoc-gus-full-fit"
     assert [one(spark, v, coerce.duration_label, "double") for v in (60.0, 1800.0, 5400.0)] == ["about a minute", "about 30 min", "about 1.5 h"]
     assert str(one(spark, "Mon, 05 Feb 2024 10:00:00 GMT", coerce.published)) == "2024-02-05" and one(spark, "soon", coerce.published) is None
