@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from ..functions import asks, citations, coerce, text, urls
-from ..operators import candidates, dedup, excerpts, figures, finding_files, library, models, outcomes, pages, passages, reports, runs, search, select
+from ..operators import candidates, dedup, excerpts, figures, finding_files, library, models, outcomes, pages, passages, reports, runs, screens, search, select
 from ..streaming import bench, bus
 from . import depth
 
-_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth, coerce, pages, reports, figures, candidates, asks, library, models, bus, excerpts, finding_files)
+_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth, coerce, pages, reports, figures, candidates, asks, library, models, bus, excerpts, finding_files, screens)
 
 
 def flagship(spark, sf_dir):
