@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, mixing, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts, url_filters, warc
+from . import collocations, decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scans, spelling, token_counts, url_filters, warc
 
 MODULES = {
     "op1_ngram_join": ngram_join,
@@ -15,6 +15,9 @@ MODULES = {
     "op8_quality_classifier": quality_classifier,
     "op9_mixing": mixing,
     "op10_quality_rules": quality_rules,
+    "op11_line_dedup": line_dedup,
+    "op12_spelling_variants": spelling,
+    "op13_collocations": collocations,
 }
 
 

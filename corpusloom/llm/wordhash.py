@@ -120,3 +120,13 @@ def word_shapes(texts: list[bytes], in_word: np.ndarray) -> np.ndarray:
     total = np.r_[_U(0), np.cumsum(shape * up[: len(shape)])]
     starts, ends = place[starts], place[ends]
     return mix((total[ends] - total[starts]) * down[starts])
+
+
+def span_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every span of the bytes ``low``; equal bytes have equal hashes wherever they stand."""
+    up, down = _power_tables(len(low) + 1)
+    total = low.astype(np.uint64)
+    total += _U(1)
+    total *= up[: len(low)]
+    total = np.r_[_U(0), np.cumsum(total)]
+    return mix((total[ends] - total[starts]) * down[starts] ^ ((ends - starts).astype(np.uint64) * _U(_Q)))
