@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, without
+from .common import table, without
 
 #: (verdict, host, path) of the contract's rules.
 RULES = (
@@ -51,7 +51,7 @@ def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default_verdict: str = "allow", max_lengths: int = LENGTHS) -> DataFrame:
     """``pages`` plus url_host, url_path, url_rule, url_verdict, n_rules (rules that fit); columns of these names are replaced."""
     pages = without(pages, "url_host", "url_path", "url_rule", "url_verdict", "n_rules")
-    row, u_host, u_path = free_name(pages, "_row"), free_name(pages, "_u_host"), free_name(pages, "_u_path")
+    u_host, u_path = "_u_host", "_u_path"
     made = rules.select("verdict", "host", "path").where("host is not null and path is not null and verdict is not null")
     made = made.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # 'block' > 'allow': a contradiction blocks
     made = made.select(
@@ -70,8 +70,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default
     labels = facts[0] or 0
 
     host, path = F.col(u_host), F.col(u_path)
-    base = pages.withColumns({row: F.monotonically_increasing_id(), u_host: host_of(F.col(url)), u_path: path_of(F.col(url))})
-    keep = F.struct(*[F.col(f"`{c}`") for c in pages.columns], host.alias(u_host), path.alias(u_path))
+    # Each distinct url is judged once, so a row's other columns are in no expression's row, and a url of many rows is one.
+    base = pages.select(F.col(url).alias("url")).distinct().withColumns({u_host: host_of(F.col("url")), u_path: path_of(F.col("url"))})
     tail = F.split(F.substring_index(host, ".", -max(labels, 1)), r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(tail)), lambda i: F.array_join(F.slice(tail, i, F.size(tail)), "."))
     if len(lengths) > max_lengths:
@@ -81,20 +81,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default
     else:
         fits = F.array().cast("array<int>")
     exprs = F.flatten(F.transform(hosts, lambda h: F.transform(fits, lambda n: F.sha2(F.concat_ws("\x00", h, F.substring(path, F.lit(1), n)), 256))))
-    asked = base.select(
-        F.col(row).alias("row"), keep.alias("page"), F.explode_outer(F.when((host != "") & F.lit(bool(labels)), F.array_distinct(exprs))).alias("digest")
-    ).withColumn("short", F.substring("digest", 1, 8))
+    asked = base.select("url", F.explode(F.when((host != "") & F.lit(bool(labels)), F.array_distinct(exprs))).alias("digest")).withColumn("short", F.substring("digest", 1, 8))
     if (facts[2] or 0) <= BROADCAST_BYTES:
         made = F.broadcast(made)
-    met = asked.join(made, F.col("short") == F.col("rule_short"), "left")
-    sure = F.when(F.col("digest") == F.col("rule_digest"), F.col("found"))
-    best = met.groupBy("row").agg(F.first("page").alias("page"), F.max(sure).alias("best"), F.count(sure).alias("n_rules"))
-    return best.select(
-        "page.*",
-        F.col("best.rule").alias("url_rule"),
-        F.coalesce("best.verdict", F.lit(default_verdict)).alias("url_verdict"),
-        "n_rules",
-    ).withColumnsRenamed({u_host: "url_host", u_path: "url_path"})
+    met = asked.join(made, F.col("short") == F.col("rule_short")).where(F.col("digest") == F.col("rule_digest"))
+    best = met.groupBy("url").agg(F.max("found").alias("best"), F.count(F.lit(1)).alias("n_rules")).alias("judged")
+    own = pages.alias("own")
+    out = own.join(best, F.col(f"own.`{url}`") == F.col("judged.url"), "left")
+    return out.select(
+        *[F.col(f"own.`{c}`") for c in pages.columns],
+        host_of(F.col(f"own.`{url}`")).alias("url_host"),
+        path_of(F.col(f"own.`{url}`")).alias("url_path"),
+        F.col("judged.best.rule").alias("url_rule"),
+        F.coalesce("judged.best.verdict", F.lit(default_verdict)).alias("url_verdict"),
+        F.coalesce("judged.n_rules", F.lit(0)).cast("long").alias("n_rules"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
