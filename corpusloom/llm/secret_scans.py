@@ -37,6 +37,8 @@ KINDS = (
     ),
 )
 BASE = ("assign", "access", "hex")
+#: Example values that are broadcast to the hits; more of them meet the hits in a join.
+BROADCAST_VALUES = 500_000
 #: A value that this many owners and repositories have at most looks live; one that more have is an example.
 LIVE_OWNERS, LIVE_REPOSITORIES = 2, 20
 #: Code points in the pieces of a text from which redaction cuts.
@@ -96,8 +98,11 @@ def find_secrets(
     """Per document: repository, owner, spans array<struct<start, kind_no, kind, end, live, added, before>> in order of
     start, then kind; ``before`` is the furthest end of the spans before it."""
     hits = scan(docs, text=text, owner=owner, repository=repository)
-    # Few values are examples; only those travel to the hits.
-    wide = ownership(hits).where((F.col("n_owners") > live_owners) | (F.col("n_repositories") > live_repositories)).select("value", F.lit(False).alias("_narrow"))
+    # Few values are examples, and these are the ones that many hits have: where they are few enough they are broadcast, so
+    # that no value's hits meet in a task.
+    wide = written(ownership(hits).where((F.col("n_owners") > live_owners) | (F.col("n_repositories") > live_repositories)).select("value", F.lit(False).alias("_narrow")), "example-values")
+    if wide.count() <= BROADCAST_VALUES:
+        wide = F.broadcast(wide)
     judged = hits.where("value is not null").join(wide, "value", "left").withColumn("live", F.coalesce("_narrow", F.lit(True)))
     order = F.array_position(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("kind"))
     added = ~F.col("kind").isin(*BASE)
