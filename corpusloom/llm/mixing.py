@@ -13,7 +13,8 @@ The labelled sample is at most SAMPLE rows of each domain (a documented bound);
 rows. Defined results: null and empty texts have no tokens and the prior as posterior. A null domain is no label.
 Domains without a target have the target 0, targets without labelled rows are left out and the others rescaled. With
 no labels at all every rate is 1. Repeated rows get equal rates. Of tied posteriors the first domain by name is named;
-rates use all of them. Other columns are kept; n_tokens, domain, posterior and rate are replaced, whatever their case.
+rates use all of them. Other columns are kept; n_tokens, domain, posterior, rate and gap are replaced, whatever their case.
+Targets that no rates meet, or that ROUNDS steps do not reach, show in gap.
 """
 
 from __future__ import annotations
@@ -123,20 +124,25 @@ def posteriors(docs: DataFrame, model: dict, *, text: str) -> DataFrame:
 
 
 def rates(scored: DataFrame, domains: list[str], targets: dict[str, float]) -> DataFrame:
-    """``scored`` (a written table) plus rate, so that expected tokens per domain match the targets' shares of all tokens."""
+    """``scored`` (a written table) plus rate, so that expected tokens per domain match the targets' shares of all tokens, and
+    gap, the same in every row: the most by which a domain's expected total misses its target, as a share of the target (of a
+    thousandth of all tokens, if that is more). It is at most TOLERANCE unless ROUNDS steps did not reach the targets or no
+    rates can, as for a target without documents; rates have no upper bound.
+    """
     p = [F.get(F.col("posterior"), F.lit(k)) for k in range(len(domains))]
     t = F.col("n_tokens").cast("double")
     mass = [x or 0.0 for x in scored.agg(*[F.sum(t * x) for x in p]).first()]
     known = {d: targets.get(d, 0.0) for d in domains}
     whole = sum(known.values())
     if whole <= 0 or not sum(mass):
-        return scored.select("*", F.lit(1.0).alias("rate"))
+        return scored.select("*", F.lit(1.0).alias("rate"), F.lit(None).cast("double").alias("gap"))
     wanted = [sum(mass) * known[d] / whole for d in domains]
     rate, now, held = F.lit(1.0), scored, free_name(scored, "_rate")
     total = mass
+    missed = lambda: max(abs(s - w) / max(w, 1e-3 * sum(mass)) for s, w in zip(total, wanted, strict=True))
     for k in range(ROUNDS):
         gap = [(s - w) / c if c > 0 else 0.0 for s, w, c in zip(total, wanted, mass, strict=True)]
-        if max(abs(s - w) / max(w, 1e-3 * sum(mass)) for s, w in zip(total, wanted, strict=True)) <= TOLERANCE:
+        if missed() <= TOLERANCE:
             break
         slope = F.lit(0.0)
         for x, g in zip(p, gap, strict=True):
@@ -146,22 +152,22 @@ def rates(scored: DataFrame, domains: list[str], targets: dict[str, float]) -> D
             now = written(now.withColumn(held, rate), "rates")
             rate = F.col(held)
         total = [x or 0.0 for x in now.agg(*[F.sum(rate * t * x) for x in p]).first()]
-    return now.select(*[F.col(f"`{c}`") for c in scored.columns], rate.alias("rate"))
+    return now.select(*[F.col(f"`{c}`") for c in scored.columns], rate.alias("rate"), F.lit(missed()).alias("gap"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, key: str = "doc_id", text: str = "text", domain: str = "lang") -> DataFrame:
-    """Every column of ``docs`` but the text, plus n_tokens, domain (the likeliest), posterior of it, rate."""
+    """Every column of ``docs`` but the text, plus n_tokens, domain (the likeliest), posterior of it, rate and gap as of ``rates``."""
     model = fit(docs, labelled, key=key, text=text, domain=domain)
-    kept = [F.col(f"`{c}`") for c in without(docs, text, "n_tokens", "posterior", "rate", "domain").columns]
+    kept = [F.col(f"`{c}`") for c in without(docs, text, "n_tokens", "posterior", "rate", "gap", "domain").columns]
     if not model["domains"]:
         n = F.size(words_of(F.col(text))).cast("long")
         none = F.lit(None)
-        return docs.select(*kept, n.alias("n_tokens"), none.cast("string").alias("domain"), none.cast("double").alias("posterior"), F.lit(1.0).alias("rate"))
+        return docs.select(*kept, n.alias("n_tokens"), none.cast("string").alias("domain"), none.cast("double").alias("posterior"), F.lit(1.0).alias("rate"), none.cast("double").alias("gap"))
     scored = written(posteriors(docs.select(*kept, text), model, text=text).drop(text), "posteriors")
     out = rates(scored, model["domains"], targets)
     best = F.array_max("posterior")
     likeliest = F.get(_literal(model["domains"], "string"), F.array_position("posterior", best).cast("int") - 1)
-    return out.select(*kept, "n_tokens", likeliest.alias("domain"), best.alias("posterior"), "rate")
+    return out.select(*kept, "n_tokens", likeliest.alias("domain"), best.alias("posterior"), "rate", "gap")
 
 
 def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
