@@ -8,7 +8,13 @@ do not that are short for their page.
 
 An outermost <article> or <main> is a hint of a boundary and of weight, on a page that surges and dives like any other:
 its link text counts, windows do not cross its edges, a first surge inside it starts the text at its opening, and that
-text ends with it at the latest. Without a surge it is no text, and what surges outside it is.
+text ends with it at the latest. Without a surge it is no text, and what surges outside it is. Beside one that surges,
+text outside is main text only if one of its blocks is longer than all that the articles have: readers' comments below an
+article go, whatever they are called, and a teaser in an article element hides no long text.
+
+Within a stretch of main text, a div or section whose class says nothing of content is an island if one box has most of
+the stretch's text and this one is not around it: adverts and comments of any name. Classes that name content, or how a
+page is built, and elements without a class are no islands.
 
 White space (as Unicode has it) inside a block becomes one space; ``<br>`` is white space. Character references are
 decoded after markup is gone, so that escaped markup stays as text. Defined results: a null or empty page, and one
@@ -50,13 +56,22 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dia
 _NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup "
     "modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies disqus sidebar sidenav menu nav navbar "
-    "navigation breadcrumb breadcrumbs footer header masthead topbar related recommended share sharing social widget pagination pager toolbar search skip".split()
+    "navigation discussion discussions thread threads opinions talkback bnr breadcrumb breadcrumbs footer header masthead topbar related recommended share sharing social widget pagination pager toolbar search skip".split()
 )
 #: Parts of a class name that say how an element is built, not what it is.
 _BUILD = set(
     "area bar block body box btn button buttons card cell col column container content frame group holder icons inner item items layout link links list module outer "
     "panel posts articles stories row section slot strip text unit wrap wrapper zone".split()
 )
+#: Words of class names that name content; with _BUILD, those that make no island.
+_CONTENT = set(
+    "abstract answer article attachment author blockquote body byline caption center chapter clearfix code content copy date definition desc description details entry equation example excerpt faq "
+    "figure footnote footnotes gallery grid headline heading highlight hentry image images img info ingredients instructions intro intertitle kicker lang lead left lede lyrics main math media meta "
+    "mw note overview page para paragraph part photo picture poem post prose question quote pullquote recipe right source spec specs standfirst step steps story subtitle summary "
+    "table tabs tip title transcript translation verse video warning".split()
+)
+#: Share of a stretch's characters that one box must have for others to be islands in it.
+MOST = 0.6
 #: Elements that an opening tag of the same group, or any block, ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 _WHOLE = {"html", "body", "main", "article"}
@@ -88,8 +103,18 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def _is_box(tag: str, attrs: str) -> bool:
+    """Whether an element is a box of its own: a div or section with a class, none of whose words names content."""
+    if tag not in ("div", "section") or not attrs:
+        return False
+    words = [w for name, a, b, c in _ATTR.findall(attrs) if name.lower() == "class" for w in (a or b or c).split()]
+    parts = [x.lower().rstrip("0123456789") for w in words for x in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", w)]
+    return any(parts) and not any(x in _CONTENT or x in _BUILD for x in parts)
+
+
 class _Page:
-    """Lines of a page: (text, link characters, is heading, number of the outermost article or 0, is furniture).
+    """Lines of a page: (text, link characters, is heading, number of the outermost article or 0, is furniture), and the
+    number of the box that each lies in, or 0.
 
     Every step looks at its own tag: open elements are counted by name, the open blocks have a stack of their own and the
     last closing tag of each name is found once, so the time is in proportion to the page whatever it holds.
@@ -103,6 +128,9 @@ class _Page:
         self.open: dict[str, int] = {}
         self.blocks: list[int] = []  # places of blocks in the stack
         self.hidden = self.articles = self.anchors = self.marks = 0
+        self.boxes: list[tuple[int, int]] = []  # places of boxes in the stack, and their numbers
+        self.around: list[int] = [0]  # by a box's number that of the one around it
+        self.box: list[int] = []  # by line
         self.source, self.low, self.last = source, None, None
         self._read(source)
         self._break()
@@ -167,6 +195,7 @@ class _Page:
         if text:
             heading = any(t in _HEADING for t, _ in self.stack[-3:])
             self.lines.append((text, min(self.links, len(text)), heading, self.marks if self.articles else 0, self.hidden > 0))
+            self.box.append(self.boxes[-1][1] if self.boxes else 0)
         self.links = 0
 
     def _pop(self) -> None:
@@ -174,6 +203,8 @@ class _Page:
         self.open[tag] -= 1
         if self.blocks and self.blocks[-1] == len(self.stack):
             self.blocks.pop()
+        if self.boxes and self.boxes[-1][0] == len(self.stack):
+            self.boxes.pop()
         self.hidden -= hides
         self.articles -= tag in ("article", "main")
         self.anchors -= tag == "a"
@@ -203,6 +234,9 @@ class _Page:
             hides = False  # it never closes: what follows is not its own
         if tag in _BLOCK:
             self.blocks.append(len(self.stack))
+        if _is_box(tag, attrs) and self._closes(tag, at):
+            self.around.append(self.boxes[-1][1] if self.boxes else 0)
+            self.boxes.append((len(self.stack), len(self.around) - 1))
         self.stack.append((tag, hides))
         self.open[tag] = self.open.get(tag, 0) + 1
         self.hidden += hides
@@ -215,7 +249,8 @@ def extract(source: str | None, *, lines: int = LINES, surge: int = SURGE) -> st
     """The main text of one page."""
     if not source:
         return ""
-    found = _Page(source).lines
+    page = _Page(source)
+    found = page.lines
     shown = [not hidden for *_, hidden in found]
     mark = [article for _, _, _, article, _ in found]
     weight = [len(text) - (0 if article else links) if show else 0 for (text, links, _, article, _), show in zip(found, shown, strict=True)]
@@ -226,6 +261,7 @@ def extract(source: str | None, *, lines: int = LINES, surge: int = SURGE) -> st
     threshold = min(surge, best / 2)
     usual = sum(w * w for w in weight) / sum(weight)  # the length of the block that a character of the page lies in
     kept: set[int] = set()
+    stretches: list[tuple[int, list[int]]] = []
     i = 0
     while i < len(sums):
         if sums[i] <= threshold or not weight[i]:
@@ -247,7 +283,26 @@ def extract(source: str | None, *, lines: int = LINES, surge: int = SURGE) -> st
         while i < len(sums) and (mark[i] == inside and sums[i] if inside else any(weight[i : i + lines])):
             i += 1
         kept.update(range(start, i))
-    return "\n".join(found[k][0] for k in sorted(kept) if shown[k])
+        stretches.append((inside, [k for k in range(start, i) if shown[k]]))
+    marked = sum(weight[k] for inside, rows in stretches if inside for k in rows)
+    stretches = [(inside, rows) for inside, rows in stretches if inside or max((weight[k] for k in rows), default=0) > marked]
+    lines_ = sorted(k for _, rows in stretches for k in _without_islands(page, rows))
+    return "\n".join(found[k][0] for k in lines_)
+
+
+def _without_islands(page: _Page, rows: list[int]) -> list[int]:
+    """The lines of a stretch without those in boxes that stand in, or beside, the one that has most of its text."""
+    size: dict[int, int] = {}
+    for k in rows:
+        size[page.box[k]] = size.get(page.box[k], 0) + len(page.lines[k][0])
+    most = max(size, key=size.get, default=0)
+    if len(size) < 2 or size[most] < MOST * sum(size.values()):
+        return rows
+    fine, at = {most}, most
+    while at:
+        at = page.around[at]
+        fine.add(at)
+    return [k for k in rows if page.box[k] in fine]
 
 
 def extract_text(pages: DataFrame, *, html: str = "html", out: str = "text") -> DataFrame:
