@@ -27,14 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, slices, table, written
+from .common import FILTER_BITS, Scratch, bit_filter, holds, slices, table, written
 from .wordhash import _LOWER, SLICE_BYTES, grams, mix, span_hashes
 
 MAX_N, MIN_COUNT, TOP = 4, 30, 2000
 #: A phrase goes if a longer one has this share of its occurrences, in percent.
 CONTAINED = 80
-#: Bits of a filter for each phrase in it, and its most bits (128 MB); a fuller filter lets more rare phrases pass.
-FILTER_BITS, MOST_BITS = 16, 1 << 30
 
 _SIDE = np.zeros(256, np.uint8)  # 0 in words, 1 between words, 2 between pieces
 _SIDE[[9, 32]] = 1
@@ -89,11 +87,6 @@ def _sliced(b: pa.RecordBatch) -> Iterator[tuple[list[str], list[bytes]]]:
         yield langs[i:j], texts[i:j]
 
 
-def _holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(64 * len(bits) - 1)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _counted(docs: DataFrame, sizes: tuple[int, ...], filters: dict) -> DataFrame:
     """(lang, size, phrase, f) of the n-grams of ``sizes`` whose parts of each size in ``filters`` all pass its filter.
     With single words comes a row of size 0 for each language that counts them all."""
@@ -105,7 +98,7 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], filters: dict) -> DataFram
                 code = {x: k for k, x in enumerate(names)}
                 codes = np.array([code[x] for x in langs])
                 lang = np.array([_language_hash(x) for x in names], np.uint64)[codes]
-                passes = {k: _holds(bits.value, p.keys(k, lang)) for k, bits in filters.items() if len(p.words) >= k}
+                passes = {k: holds(bits.value, p.keys(k, lang)) for k, bits in filters.items() if len(p.words) >= k}
                 for n in sizes:
                     if len(p.words) < n:
                         continue
@@ -129,23 +122,17 @@ def _rows(langs: list[str], n: int, phrases: pa.Array, f: np.ndarray) -> pa.Reco
 
 
 def _filter(frequent: DataFrame, size: int):
-    """A broadcast bit filter of the phrases of ``size`` words; its bits meet in an aggregation, no phrase on the driver."""
-    rows = frequent.where(F.col("size") == size).select("lang", "phrase")
-    bits = min(MOST_BITS, max(1 << 10, 1 << (FILTER_BITS * rows.count()).bit_length()))
+    """A broadcast bit filter of the phrases of ``size`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for langs, texts in _sliced(b):
                 p = Pieces(texts)
                 at = np.flatnonzero(np.r_[True, p.text[1:] != p.text[:-1]]) if len(p.text) else np.zeros(0, np.int64)
-                key = p.keys(size, np.array([_language_hash(x) for x in langs], np.uint64))[at] & np.uint64(bits - 1)
-                value = np.uint64(1) << (key & np.uint64(63))
-                yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(6)).view(np.int64)), pa.array(value.view(np.int64))], names=["slot", "value"])
-
-    made = rows.mapInArrow(run, "slot long, value long").groupBy("slot").agg(F.bit_or("value").alias("value")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[made.column("slot").to_numpy()] = made.column("value").to_numpy().view(np.uint64)
-    return frequent.sparkSession.sparkContext.broadcast(out)
+                key = p.keys(size, np.array([_language_hash(x) for x in langs], np.uint64))[at]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    return bit_filter(frequent.where(F.col("size") == size).select("lang", "phrase").mapInArrow(run, "key long"), "key", FILTER_BITS)
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, *, text: str = "text", lang: str = "lang", max_n: int = MAX_N, min_count: int = MIN_COUNT) -> DataFrame:

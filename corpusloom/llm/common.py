@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,30 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a filter for each hash in it, and its most bits (128 MB); a fuller filter lets more strangers pass.
+FILTER_BITS, MOST_BITS = 16, 1 << 30
+
+
+def bit_filter(rows: DataFrame, column: str, per_row: int = FILTER_BITS):
+    """A broadcast bit filter of the 64-bit hashes in ``column`` of a table that is cheap to count.
+
+    Bits meet by OR in an aggregation, so what reaches the driver is the filter, of bounded size, and no list of hashes.
+    """
+    bits = min(MOST_BITS, max(1 << 10, 1 << (per_row * rows.count()).bit_length()))
+    h = F.col(column)
+    slot, value = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(bits // 64 - 1).cast("long")), F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    made = rows.select(slot.alias("slot"), value.alias("value")).groupBy("slot").agg(F.bit_or("value").alias("value")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[made.column("slot").to_numpy()] = made.column("value").to_numpy().view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast(out)
+
+
+def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which ``hashes`` (uint64) pass the bits of a filter: all that are in it, and few others."""
+    at = (hashes >> np.uint64(6)) & np.uint64(len(bits) - 1)
+    return (bits[at] >> (hashes & np.uint64(63))) & np.uint64(1) == 1
+
+
 def words_of(text: Column) -> Column:
     """Maximal runs without space or \\x09-\\x0D; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -7,13 +7,14 @@ WINDOW words around it is held against the benchmark's windows, and the words of
 than WINDOW words are one window each, looked up at every position.
 
 A benchmark of at most BLOCK_BYTES of text is broadcast, and documents never move. A larger one is joined: documents emit
-their fingerprints, which meet the benchmark's in an equi-join; documents with a fingerprint in common are read again,
-emit the windows around those places, and these meet the benchmark's windows. Nothing of it passes through the driver.
+those of their fingerprints that pass a bit filter of the benchmark's, which has a bounded size and holds no fingerprint
+back that the benchmark has; these meet the benchmark's in an equi-join; documents with a fingerprint in common are read
+again, emit the windows around those places, and these meet the benchmark's windows.
 
 Defined results: null and empty texts, and texts without words, have no words and no hits. Items without words are in
-no window; several items may share a window and each counts; an item_id of several rows counts once. Benchmark rows
-with a null item_id or a null text mark nothing, here and in ``drop_contaminated``: documents that hold such a passage
-count as clean. Repeated rows give repeated results. An empty benchmark marks nothing.
+no window; several items may share a window and each counts; an item_id of several rows counts once. A benchmark row with
+a null item_id marks words like any other, and has no name in ``items``; one with a null text marks nothing. Repeated rows
+give repeated results. An empty benchmark marks nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, table, written
+from .common import Scratch, bit_filter, free_name, holds, table, written
 from .wordhash import ALNUM, byte_slices, grams, grams_at, hash_words
 
 WINDOW = 10
@@ -56,7 +57,7 @@ def winnow(h: np.ndarray, doc: np.ndarray, k: int = K, window: int = WINDOW) ->
 class Windows:
     """The windows of a block of items: sorted hashes, the items of each, and the fingerprints."""
 
-    def __init__(self, items: list[tuple[str, bytes]]):
+    def __init__(self, items: list[tuple[str | None, bytes]]):
         self.names = [name for name, _ in items]
         long_h, long_i, prints = [], [], []
         short: dict[int, list[tuple[int, int]]] = {}
@@ -131,7 +132,7 @@ def _marks(windows: Windows, texts: list[bytes]) -> list[tuple[int, list, list]]
     for d, n, k in pairs:
         _, cut, owners = windows.sizes[n]
         items.setdefault(d, set()).update(owners[cut[k] : cut[k + 1]].tolist())
-    return [(int(sizes[d]), hits.get(d, []), sorted({windows.names[i] for i in items.get(d, ())})) for d in range(len(texts))]
+    return [(int(sizes[d]), hits.get(d, []), sorted({windows.names[i] for i in items.get(d, ())} - {None})) for d in range(len(texts))]
 
 
 def _small(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Windows | None:
@@ -143,7 +144,7 @@ def _small(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Wind
 
 
 def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    return benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    return benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
 
 
 def find_contamination(
@@ -216,12 +217,15 @@ def _joined(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame
     wanted = scratch.written(wanted, "prints")
     # At most WINDOW - 1 sizes of short items, whatever the benchmark.
     short = tuple(sorted(r[0] for r in wanted.where("words > 0").select("words").distinct().collect()))
+    sent = bit_filter(wanted, "hash")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             o, a = (b.column(k).to_numpy() for k in range(2))
             for start, texts in byte_slices(b.column(2)):
                 for doc, at, h, n in _hashes(texts, short):
+                    ok = holds(sent.value, h)
+                    doc, at, h = doc[ok], at[ok], h[ok]
                     yield _columns((o[start + doc], a[start + doc], at, np.full(len(at), n), h.view(np.int64)), ("own", "also", "at", "words", "hash"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +240,7 @@ def _joined(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame
                 yield _columns((*same, at, np.full(len(at), WINDOW), grams_at(h, at, WINDOW).view(np.int64)), ("own", "also", "at", "words", "hash"))
 
     hashes = "own bigint, also bigint, at bigint, words bigint, hash bigint"
-    met = rows.select("own", "also", "text").mapInArrow(emit, hashes).distinct().join(wanted, ["words", "hash"], "left_semi")
+    met = rows.select("own", "also", "text").mapInArrow(emit, hashes).join(wanted, ["words", "hash"], "left_semi").distinct()
     met = scratch.written(met, "met")
     places = met.where("words = 0").groupBy("own", "also").agg(F.collect_set("at").alias("places"))
     full = rows.join(places, ["own", "also"]).select("own", "also", "text", "places").mapInArrow(around, hashes).distinct()
@@ -244,7 +248,7 @@ def _joined(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame
     hits = scratch.written(hits.select("own", "also", "at", "words", "item"), "hits")
     spans = hits.select("own", "also", F.struct(F.col("at").alias("a"), (F.col("at") + F.col("words")).alias("b")).alias("x")).distinct()
     spans = spans.groupBy("own", "also").agg(F.sort_array(F.collect_list("x")).alias("hits"))
-    names = hits.select("own", "also", "item").distinct().groupBy("own", "also").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    names = hits.select("own", "also", "item").where("item is not null").distinct().groupBy("own", "also").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -96,6 +96,18 @@ def test_mixing_meets_targets_and_rates_follow_numpy(spark, sf):
     p, t, w = np.array([r.posterior for r in rows]), np.array([r.n_tokens for r in rows], float), np.array([r.rate for r in rows])
     share = (p * (t * w)[:, None]).sum(axis=0) / t.sum()
     assert np.allclose(share, [mixing.TARGETS[x] for x in model["domains"]], atol=1e-4) and (w >= 0).all()
+    rate, mass = np.ones(len(t)), (p * t[:, None]).sum(axis=0)  # the same descent in numpy
+    wanted = np.array([mixing.TARGETS[x] for x in model["domains"]])
+    wanted = mass.sum() * wanted / wanted.sum()
+    for _ in range(mixing.ROUNDS):
+        total = (p * (t * rate)[:, None]).sum(axis=0)
+        if np.max(np.abs(total - wanted) / np.maximum(wanted, 1e-3 * mass.sum())) <= mixing.TOLERANCE:
+            break
+        rate = np.maximum(0, rate - p @ (mixing.STEP * (total - wanted) / mass))
+    assert np.allclose(rate, w, atol=1e-6, rtol=0) and rows[0].gap <= mixing.TOLERANCE
+    # Of all rates that meet the targets the descent from 1 finds those of a projection: 1 less a sum of posteriors, or 0.
+    off, *_ = np.linalg.lstsq(p[w > 1e-9], 1 - w[w > 1e-9], rcond=None)
+    assert np.allclose(np.maximum(0, 1 - p @ off), w, atol=1e-3)
     for r in rows[:40]:  # posteriors by hand
         seen = {x for x in _words(docs[r.doc_id].text) if x in model["words"]}
         s = np.array(model["prior"]) + (np.array(model["base"]) + sum((np.array(model["words"][x][:-1]) for x in seen), np.zeros(len(p[0])))) * (r.n_tokens > 0)

@@ -254,6 +254,22 @@ def test_html_class_names_tell_by_their_last_part():
     assert html_extraction.extract(f"<article>{PARA}{kept}{gone}{PARA}</article>").split("\n")[1:-1] == ["Meeting on Monday", "12 euros"]
 
 
+TALK = "".join(f"<p>{x} and more words of a reader, long enough to surge.</p>" for x in ("First I think so", "Second I do not", "Third of all"))
+
+
+def test_html_comments_and_adverts_of_unknown_names_go():
+    want = html_extraction.extract(f"<article>{PARA * 3}</article>")
+    for name in ("discussion-thread", "visitor-voices", "zz9"):
+        assert html_extraction.extract(f"<article>{PARA * 3}</article><div class='{name}'>{TALK}</div>") == want
+        assert html_extraction.extract(f"<body>{PARA * 3}<div class='{name}'>{TALK}</div></body>") == want
+        assert html_extraction.extract(f"<div id=wrap><div class=content><h1>T</h1>{PARA * 2}<div class='{name}'>Buy now, the best of all offers of this week</div>{PARA}</div></div>") == "T\n" + want
+    for name in ("content-part", "post_body", "highlight", "wp-block-quote", "row"):
+        assert len(html_extraction.extract(f"<article>{PARA}<div class='{name}'>{PARA}</div>{PARA * 2}</article>").split("\n")) == 4
+    even = "".join(f"<div class='x{k}'>{PARA}</div>" for k in "abcd")  # no box has most of the text: none is an island
+    assert len(html_extraction.extract(f"<article>{even}</article>").split("\n")) == 4
+    assert html_extraction.extract(f"<article><p>{'Teaser text that surges. ' * 5}</p></article><div class=zz>{'<p>' + 'Long text of the page. ' * 20 + '</p>'}</div>").endswith("page.")
+
+
 # 4 --------------------------------------------------------------------------------------------------------------------
 def test_token_small_cases(spark):
     from tokenizers import Tokenizer
@@ -341,13 +357,23 @@ def test_decontamination_small_cases(spark):
     df = docs(spark, *texts).withColumn("row", F.lit("r")).withColumn("items", F.lit("i"))
     for block in (decontamination.BLOCK_BYTES, 20):
         got = {r.doc_id: (r.n_words, len({w for h in r.hits for w in range(h.a, h.b)}), list(r.items)) for r in decontamination.find_contamination(df, items, block_bytes=block).collect()}
-        assert got == {0: (0, 0, []), 1: (0, 0, []), 2: (16, 14, ["10", "2"]), 3: (9, 0, []), 4: (5, 4, ["3"]), 5: (60_014, 14, ["10", "2"]), 6: (3, 0, [])}
+        assert got == {0: (0, 0, []), 1: (0, 0, []), 2: (16, 14, ["10", "2"]), 3: (9, 0, []), 4: (5, 4, ["3"]), 5: (60_014, 14, ["10", "2"]), 6: (3, 3, [])}
     clean = decontamination.drop_contaminated(df, items, block_bytes=20)
-    assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == [0, 1, 3, 6]
+    assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == [0, 1, 3]
     assert decontamination.find_contamination(df, items.where("false")).where("size(hits) > 0").count() == 0
     assert decontamination.find_contamination(df.where("false"), items).count() == 0
 
 
+def test_items_without_a_name_mark_words_and_are_not_listed(spark):
+    passage = " ".join(f"p{k}" for k in range(12))
+    items = bench(spark, (None, passage), (None, "two words"), (5, passage + " end"))
+    texts = ["x " + passage + " y", "some two words", "y " + passage + " end"]
+    for block in (decontamination.BLOCK_BYTES, 0):
+        got = {r.doc_id: (sum(h.b - h.a for h in r.hits), list(r.items)) for r in decontamination.find_contamination(docs(spark, *texts), items, block_bytes=block).collect()}
+        assert got == {0: (12, ["5"]), 1: (2, []), 2: (13, ["5"])}
+        assert decontamination.drop_contaminated(docs(spark, *texts), items, block_bytes=block).count() == 0
+
+
 def test_items_of_several_rows_count_once_whatever_the_blocks(spark):
     one, two = (" ".join(f"{x}{k}" for k in range(12)) for x in "ab")
     items = bench(spark, (7, one), (7, two), (8, two))
@@ -447,8 +473,11 @@ def test_mixing_small_cases(spark):
     total = {d: sum(r.rate * r.n_tokens for r in got if r.domain == d) for d in ("en", "de")}
     assert len(got) == 8 and all(r.rate >= 0 for r in got) and total["en"] == pytest.approx(total["de"], rel=0.05)
     assert len({r.rate for r in got if r.doc_id == 4}) == 1
+    assert len({r.gap for r in got}) == 1 and got[0].gap <= 1e-6
+    far = mixing.mix(df.where("lang = 'en'"), df.select("doc_id", "lang"), {"de": 1.0}).first()  # no rates give German tokens alone
+    assert far.gap > 1e-6
     none = mixing.mix(df, df.select("doc_id", "lang").where("false"), {"en": 1.0}).collect()
-    assert {r.rate for r in none} == {1.0}
+    assert {(r.rate, r.gap) for r in none} == {(1.0, None)}
     assert mixing.mix(df.where("false"), df.select("doc_id", "lang"), {"en": 1.0}).count() == 0
 
 
@@ -462,7 +491,7 @@ def test_mixing_many_domains_clashes_long_texts_and_ties(spark):
     for c in ("_m", "_s", "_e", "_t", "_rate", "_found", "Rate", "Domain"):
         clash = clash.withColumn(c, F.lit("mine"))
     out = mixing.mix(clash, df.select("doc_id", "lang").where("doc_id < 2"), {"en": 0.5, "de": 0.5})
-    assert out.columns == ["doc_id", "lang", "source", "n_chars", "_m", "_s", "_e", "_t", "_rate", "_found", "n_tokens", "domain", "posterior", "rate"]
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "_m", "_s", "_e", "_t", "_rate", "_found", "n_tokens", "domain", "posterior", "rate", "gap"]
     got = {r.doc_id: r for r in out.collect()}
     assert {(r._m, r._s, r._e, r._t, r._rate, r._found) for r in got.values()} == {("mine",) * 6}
     assert got[3].n_tokens == 60_000 and got[3].domain == got[4].domain == "de" and got[4].posterior == pytest.approx(0.5)
