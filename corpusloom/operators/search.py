@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import words
 from ..sources import views
+from . import postings
 
 K1, B = 1.2, 0.75
 RRF_K, SEARCH_LIMIT = 60, 30
@@ -82,41 +83,48 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         return score, np.broadcast_to(ids, score.shape)
     place = np.empty(len(ids), np.int64)
     place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    key = np.nan_to_num(np.rint(score * -10_000), nan=20_000).astype(np.int64) * len(ids) + place
+    key = np.nan_to_num(np.rint(score * -10_000), nan=20_000, posinf=30_000).astype(np.int64) * len(ids) + place
     at = np.argpartition(key, k - 1, axis=1)[:, :k]
     return np.take_along_axis(score, at, 1), ids[at]
 
 
-def vector_topk_of_many(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = QUERY_BLOCK) -> DataFrame:
-    """(q, id, score, rank) as of ``vector_topk``, for any number of queries, with integer ids.
+def vector_topk_of_many(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = QUERY_BLOCK, apart: bool = False) -> DataFrame:
+    """``vector_topk`` for query sets of any size, such as every 20th row of the table itself.
 
-    Each block of about ``block`` queries is broadcast and passes the vectors once; a task keeps k rows per query of the
-    block, and the lists of all tasks are merged.
+    Queries are broadcast in blocks of about ``block`` rows (their place by hash), so what is sent is bounded by the block
+    and never grows with the table; each task keeps the best k of its own rows per query, and only these are merged. Ids are
+    integers or strings. With ``apart`` both sides have a column of that name, and rows that are equal in it never meet.
     """
     spark = vectors.sparkSession
-    queries = queries.select("q", "vector").where("q is not null")
+    queries = queries.select("q", "vector", *["apart"] * apart).where("q is not null")
     n = -(-queries.count() // block) or 1
+    text = vectors.schema["id"].dataType.simpleString() == "string"
+    kind, made_of = ("string", pa.string()) if text else ("bigint", pa.int64())
     found = None
     for j in range(n):
         part = (queries if n == 1 else queries.where(F.pmod(F.xxhash64("q"), F.lit(n)) == j)).toArrow()
         unit = _matrix(part.column("vector"))
-        sent = spark.sparkContext.broadcast((part.column("q").to_numpy(), unit))
+        sent = spark.sparkContext.broadcast((part.column("q").to_pylist(), unit, np.array(part.column("apart").to_pylist() if apart else [])))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q, unit = sent.value
-            score, ids = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+            q, unit, groups = sent.value
+            score, ids = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.str_ if text else np.int64)
             for b in batches:
                 for at in range(0, b.num_rows if len(q) else 0, ROW_BLOCK):
                     rows = b.slice(at, ROW_BLOCK)
                     new = np.round(unit @ _matrix(rows.column(1), unit.shape[1]).T, 4)
-                    own = rows.column(0).to_numpy()
+                    own = np.array(rows.column(0).to_pylist()) if text else rows.column(0).to_numpy()
+                    if apart:
+                        new[groups[:, None] == np.array(rows.column(2).to_pylist())] = -np.inf
                     score, ids = _joined(score, ids, *_best(new, own, k), k)
-            kept = score.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(q, kept)), pa.array(ids.ravel()), pa.array(score.ravel(), pa.float64(), from_pandas=True)], names=["q", "id", "score"]
-            )
-
-        made = vectors.select(F.col("id").cast("bigint"), "embedding").mapInArrow(run, "q bigint, id bigint, score double")
+            kept = ~np.isneginf(score)
+            row, _ = np.nonzero(kept)
+            named = pa.array([q[i] for i in row.tolist()], qtype)
+            yield pa.RecordBatch.from_arrays([named, pa.array(ids[kept].tolist(), made_of), pa.array(score[kept], pa.float64(), from_pandas=True)], names=["q", "id", "score"])
+
+        qtype = part.schema.field("q").type
+        columns = [F.col("id").cast(kind), "embedding", *["apart"] * apart]
+        made = vectors.select(*columns).mapInArrow(run, f"q {queries.schema['q'].dataType.simpleString()}, id {kind}, score double")
         found = made if found is None else found.unionByName(made)
     order = W.partitionBy("q").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -124,7 +132,7 @@ def vector_topk_of_many(vectors: DataFrame, queries: DataFrame, k: int, *, block
 
 def _joined(score: np.ndarray, ids: np.ndarray, more: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     score, ids = np.concatenate([score, more], axis=1), np.concatenate([ids, own], axis=1)
-    order = np.lexsort((ids, np.where(np.isnan(score), np.inf, -score)), axis=1)[:, :k]
+    order = np.lexsort((ids, np.where(np.isnan(score), 2.0, -score)), axis=1)[:, :k]
     return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
@@ -139,12 +147,13 @@ def best_of_groups(hits: DataFrame, group: str) -> DataFrame:
     return hits.groupBy("q", group).agg(F.max("score").alias("score"))
 
 
-def fuse(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of (run_id, pos, engine) lists with 0-based positions; every hit adds, a run may have several."""
+def fuse(*ranked: DataFrame, k: int = RRF_K, by: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal rank fusion of (run_id, pos, engine) lists with 0-based positions; every hit adds, a run may have several.
+    ``by`` names the columns that tell one question's lists from another's."""
     all_ = ranked[0]
     for r in ranked[1:]:
         all_ = all_.unionByName(r)
-    return all_.groupBy("run_id").agg(F.round(F.sum(1 / (F.lit(k) + F.col("pos"))), 9).alias("points"), (F.count_distinct("engine") > 1).alias("both"))
+    return all_.groupBy(*by, "run_id").agg(F.round(F.sum(1 / (F.lit(k) + F.col("pos"))), 9).alias("points"), (F.count_distinct("engine") > 1).alias("both"))
 
 
 def library_search(docs: DataFrame, vectors: DataFrame, query: str, vector: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
@@ -230,6 +239,74 @@ QUERIES = {
 }
 
 
+def _asked_all(spark, d):
+    """Every 20th row asks; its own run is ``apart``."""
+    return views.table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"), F.col("label").alias("apart"))
+
+
+def _pools(spark, d, pool, floor):
+    """(q, own, id, run_id, score): each question's nearest vectors that reach the floor."""
+    v, q = _vectors(spark, d), _asked_all(spark, d)
+    hits = vector_topk_of_many(v.select("id", "embedding"), q, pool).where(F.col("score") >= floor)
+    return hits.join(v.select("id", "run_id"), "id").join(q.select("q", F.col("apart").alias("own")), "q").select("q", "own", "id", "run_id", "score")
+
+
+def _context_all(spark, d, pool, floor, limit, backfill, apart):
+    from .select import diversify_each
+
+    hits = _pools(spark, d, pool, floor)
+    return diversify_each(hits.where("run_id <> own") if apart else hits, ["q"], "run_id", [F.desc("score"), F.asc("id")], 3, limit, backfill).drop("own")
+
+
+def _prior_related(spark, d):
+    """Runs of the prior block whose best score reaches the floor, three at most."""
+    best = _context_all(spark, d, 32, 0.3, 8, False, True).groupBy("q", "run_id").agg(F.max("score").alias("score")).where("score >= 0.35")
+    return best.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "run_id"))).where("place <= 3")
+
+
+def _similar_all(spark, d):
+    """The runs that are nearest to each run's mean vector, by their best of the pool."""
+    v = _vectors(spark, d)
+    means = centroids(v, "run_id").select(F.col("run_id").alias("q"), F.col("centroid").alias("vector"), F.col("run_id").alias("apart"))
+    hits = vector_topk_of_many(v.select("id", "embedding", F.col("run_id").alias("apart")), means, 20, apart=True).join(v.select("id", "run_id"), "id")
+    top = best_of_groups(hits, "run_id").withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "run_id")))
+    return top.where("place <= 3 and score >= 0").select("q", "run_id", "score", "place")
+
+
+def _library_all(spark, d):
+    """Every 20th row asks with the first words of its document and with its vector; both lists of runs are fused."""
+    index = postings.indexed(spark, d)
+    asked = views.table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("q"), postings.head_words(F.col("text")).alias("text"))
+    words_ = index.search(asked, SEARCH_LIMIT).select("q", (F.col("doc") % 10).cast("int").alias("run_id"), (F.col("rank") - 1).alias("pos"), F.lit("keyword").alias("engine"))
+    v = _vectors(spark, d)
+    near = vector_topk_of_many(v.select("id", "embedding"), _asked_all(spark, d), SEARCH_LIMIT).join(v.select("id", "run_id"), "id")
+    return fuse(words_, near.select("q", "run_id", (F.col("rank") - 1).alias("pos"), F.lit("semantic").alias("engine")), by=("q",))
+
+
+_EVERY = "select vec_id from embeddings where vec_id % 20 = 0"
+_OWN = "own as (select vec_id as q, label as own from embeddings)"
+_PRIOR = f"{_near(_EVERY, 32)}, {_OWN}, p as (select * from (select *, row_number() over (partition by q, run_id order by score desc, id) as k from near join own using (q) where score >= 0.3 and run_id <> own) where k <= 3 qualify row_number() over (partition by q order by score desc, id) <= 8)"
+QUERIES |= {
+    "prior_block_all": (lambda s, d: _context_all(s, d, 32, 0.3, 8, False, True), f"with {_PRIOR} select q, id, run_id, score from p"),
+    "prior_related_all": (_prior_related, f"with {_PRIOR}, b as (select q, run_id, max(score) as score from p group by all) select q, run_id, score, cast(row_number() over (partition by q order by score desc, run_id) as int) as place from b where score >= 0.35 qualify place <= 3"),
+    "ask_context_all": (
+        lambda s, d: _context_all(s, d, 30, 0.2, 10, True, False),
+        f"with {_near(_EVERY, 30)}, k as (select *, row_number() over (partition by q, run_id order by score desc, id) as k from near where score >= 0.2) select q, id, run_id, score from k qualify row_number() over (partition by q order by k > 3, score desc, id) <= 10",
+    ),
+    "similar_runs_all": (
+        _similar_all,
+        f"""with {_CENTROID}, sc as (select cv.run_id as q, id, label as run_id, round(list_dot_product(e, centroid) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(centroid, centroid))), 4) as score
+        from (select vec_id as id, label, embedding::double[] as e from embeddings) join cv on cv.run_id <> label), near as (select * from sc qualify row_number() over (partition by q order by score desc, id) <= 20),
+        b as (select q, run_id, max(score) as score from near group by all) select q, run_id, score, cast(row_number() over (partition by q order by score desc, run_id) as int) as place from b where score >= 0 qualify place <= 3""",
+    ),
+    "rrf_library_search_all": (
+        _library_all,
+        f"""with {postings.search_sql(postings.HEAD_SQL, SEARCH_LIMIT)}, {_near(_EVERY, 30)}, hits as (select q, cast(doc % 10 as int) as run_id, rank - 1 as pos, 'keyword' as engine from found union all select q, run_id, rank - 1, 'semantic' from near)
+        select q, run_id, round(sum(1 / (60 + pos)), 9) as points, count(distinct engine) > 1 as both from hits group by all""",
+    ),
+}
+
+
 def _context(spark, d, pool, floor, limit, backfill):
     from .select import diversify
 

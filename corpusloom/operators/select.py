@@ -31,6 +31,15 @@ def diversify(hits: DataFrame, group: str, order: list[Column], per_group: int,
     return made.orderBy((F.col("_k") > per_group).cast("int"), *order).limit(limit).drop("_k")
 
 
+def diversify_each(hits: DataFrame, questions: list[str], group: str, order: list[Column], per_group: int, limit: int, backfill: bool = False) -> DataFrame:
+    """``diversify`` for every question on its own; a question's hits are a pool of bounded size."""
+    made = hits.withColumn("_k", F.row_number().over(W.partitionBy(*questions, group).orderBy(*order)))
+    if not backfill:
+        made = made.where(F.col("_k") <= per_group)
+    place = F.row_number().over(W.partitionBy(*questions).orderBy((F.col("_k") > per_group).cast("int"), *order))
+    return made.withColumn("_place", place).where(F.col("_place") <= limit).drop("_k", "_place")
+
+
 def allocate(proposed: DataFrame, kept: DataFrame, breadth: int) -> DataFrame:
     """Queries of a round (query, facet, pos): round-robin over facets, thinnest first, a third of the round each at most."""
     facets = kept.select("facet", "kept", "facet_order")
