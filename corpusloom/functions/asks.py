@@ -10,7 +10,7 @@ from ..sources import views
 from .text import FILLER, let
 
 # Fixed values.
-QUERY_STOPWORDS = "the a an of for to in on at by and or with vs versus how do does did is are was were can should could would will what which why when where who i my your best top guide diy".split()
+QUERY_STOPWORDS = "the a an of for to in on at by with and or vs how do does did is are was what which why when where who i my your best top guide diy".split()
 SCOPES = {"web": "general", "video": "videos", "code": "it", "academic": "science", "qa": "q&a", "news": "news", "social": "social media", "files": "files"}
 FEED_TYPES = ("application/rss+xml", "application/atom+xml")
 _EDGE = "\"'()[],.:;"
@@ -31,17 +31,20 @@ def generalize_query(query: Column, known: Column) -> Column:
     """The query without the names that ``known`` (lower-case words) lacks, or but its first name if it has them all; empty
     where fewer than two names or two words would be left."""
 
-    def thin(tokens: Column) -> Column:
-        core = lambda t: F.btrim(t, F.lit(_EDGE))
-        name = lambda t: (F.length(core(t)) >= 2) & core(t).rlike("[A-Za-z]") & ((core(t) == F.upper(core(t))) | core(t).rlike("^[A-Z].*[a-z]"))
-        rows = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"), name(t).alias("name"), F.array_contains(known, F.lower(core(t))).alias("known")))
-        strange = F.exists(rows, lambda x: x["name"] & ~x["known"])
-        first = F.array_min(F.transform(F.filter(rows, lambda x: x["name"]), lambda x: x["i"]))
-        kept = F.filter(rows, lambda x: ~(x["name"] & F.when(strange, ~x["known"]).otherwise(x["i"] != first)))
-        names = F.size(F.filter(rows, lambda x: x["name"]))
-        return F.when((names < 2) | (F.size(kept) < 2) | (F.size(kept) == F.size(tokens)), F.lit("")).otherwise(F.array_join(F.transform(kept, lambda x: x["t"]), " "))
+    def row(t: Column, i: Column) -> Column:
+        name = lambda c: (F.length(c) >= 2) & c.rlike("[A-Za-z]") & ((c == F.upper(c)) | c.rlike("^[A-Z].*[a-z]"))
+        return let(F.btrim(t, F.lit(_EDGE)), lambda c: F.struct(t.alias("t"), i.alias("i"), name(c).alias("name"), F.array_contains(known, F.lower(c)).alias("known")))
 
-    return let(_tokens(query), thin)
+    def thin(rows: Column) -> Column:
+        names = F.filter(rows, lambda x: x["name"])
+        marks = F.struct(F.size(names).alias("n"), F.exists(names, lambda x: ~x["known"]).alias("strange"), F.array_min(F.transform(names, lambda x: x["i"])).alias("first"))
+        return let(marks, lambda m: rest(rows, m, F.filter(rows, lambda x: ~(x["name"] & F.when(m["strange"], ~x["known"]).otherwise(x["i"] != m["first"])))))
+
+    def rest(rows: Column, m: Column, kept: Column) -> Column:
+        good = lambda k: (m["n"] >= 2) & (F.size(k) >= 2) & (F.size(k) < F.size(rows))
+        return let(kept, lambda k: F.when(good(k), F.array_join(F.transform(k, lambda x: x["t"]), " ")).otherwise(""))
+
+    return let(F.transform(_tokens(query), row), thin)
 
 
 def facet_query(facet: Column, subject: Column | None = None) -> Column:
@@ -132,8 +135,8 @@ QUERIES = {
         select doc_id, array_to_string((case when len(c) > 0 then c else p end)[1:4], ' ') as short, 'what is the' as none from c""",
     ),
     "general_queries": (
-        lambda s, d: _docs(s, d).select("doc_id", generalize_query(F.substring("text", 1, 300), _known()).alias("general"), generalize_query(F.lit("The ACME That"), _known()).alias("all_known"), generalize_query(F.lit("one Name only"), _known()).alias("one")),
-        f"""with t as (select doc_id, {_T.replace('Q', 'substr(text, 1, 300)')} as t from documents),
+        lambda s, d: _docs(s, d).select("doc_id", generalize_query(F.col("text"), _known()).alias("general"), generalize_query(F.lit("The ACME That"), _known()).alias("all_known"), generalize_query(F.lit("one Name only"), _known()).alias("one")),
+        f"""with t as (select doc_id, {_T.replace('Q', 'text')} as t from documents),
         r as (select doc_id, t, list_transform(range(1, len(t) + 1), lambda i: {{'t': t[i], 'i': i, 'c': trim(t[i], '"''()[],.:;')}}) as r from t),
         n as (select doc_id, t, list_transform(r, lambda x: {{'t': x.t, 'i': x.i, 'name': length(x.c) >= 2 and regexp_matches(x.c, '[A-Za-z]') and (x.c = upper(x.c) or regexp_matches(x.c, '^[A-Z].*[a-z]')), 'known': lower(x.c) in ('the', 'that', 'acme')}}) as r from r),
         k as (select doc_id, t, r, len(list_filter(r, lambda x: x.name)) as names, len(list_filter(r, lambda x: x.name and not x.known)) > 0 as strange, list_min(list_transform(list_filter(r, lambda x: x.name), lambda x: x.i)) as f from n),

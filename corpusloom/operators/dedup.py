@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import words
+from ..functions.text import let, words
 from ..sources import views
-from ..sources.scratch import written
+from ..sources.scratch import Scratch, bounded, written
 
 SHINGLE, CONTAINED = 8, 0.7
 
@@ -17,21 +17,23 @@ def shingles(text: Column, k: int = SHINGLE) -> Column:
     """Distinct hashes of k words; all words as one where there are fewer."""
 
     def of(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
-        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < k, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array_distinct(runs))
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < k, F.array(F.xxhash64(w))).otherwise(F.array_distinct(runs))
 
-    return F.transform(F.array(words(text)), of)[0]
+    return let(F.transform(words(text), lambda x: F.xxhash64(x)), of)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """A written table (id, s): the sorted shingles of every document; none where it has no words."""
-    return written(docs.select(F.col(key).alias("id"), F.sort_array(shingles(F.col(text))).alias("s")), "shingle-sets")
+def shingle_sets(docs: DataFrame, key: str, scratch: Scratch, text: str = "text") -> DataFrame:
+    """A written table (id, s, h1, h2): the sorted shingles of every document and 128 bits of hash of them; no row where it
+    has no words."""
+    sets = docs.select(F.col(key).alias("id"), F.sort_array(shingles(F.col(text))).alias("s")).where(F.size("s") > 0)
+    return scratch.written(sets.select("id", "s", F.xxhash64(F.lit(1), "s").alias("h1"), F.xxhash64(F.lit(2), "s").alias("h2")), "shingle-sets")
 
 
 def classes(sets: DataFrame) -> DataFrame:
     """(id, first): every document with words and the least document of the same set, itself included."""
-    firsts = sets.where(F.size("s") > 0).groupBy("s").agg(F.min("id").alias("first"))
-    return sets.join(firsts, "s").select("id", "first")
+    keys = sets.select("id", "h1", "h2")
+    return keys.join(keys.groupBy("h1", "h2").agg(F.min("id").alias("first")), ["h1", "h2"]).select("id", "first")
 
 
 def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", at_least: float = CONTAINED) -> DataFrame:
@@ -42,25 +44,26 @@ def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", at_leas
     that lies in another by ``at_least`` shares one of its n - ceil(at_least * n) + 1 rarest, so a passage that many
     documents share brings only those together that have nothing rarer. Pairs are then counted on whole sets.
     """
-    sets = shingle_sets(docs, key, text)
-    named = written(classes(sets), "shingle-classes")
-    firsts = written(sets.join(named.where("id = first").select("id"), "id", "left_semi"), "distinct-sets")
+    scratch = Scratch(docs.sparkSession, "near-pairs")
+    sets = shingle_sets(docs, key, scratch, text)
+    named = scratch.written(classes(sets), "shingle-classes")
+    firsts = scratch.written(sets.join(named.where("id = first").select("id"), "id", "left_semi").select("id", "s"), "distinct-sets")
     rows = firsts.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("h")).where("h is not null")
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rows = written(rows.join(common, "h"), "common-shingles")
+    rows = scratch.written(rows.join(common, "h"), "common-shingles")
     place = F.row_number().over(W.partitionBy("id").orderBy("df", "h"))
     alone = rows.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
     # Shingles of one document alone are its rarest and meet nothing: they take the first places of its prefix.
     ranked = rows.withColumn("place", place).join(alone, "id").withColumn("place", F.col("place") + F.col("n") - F.col("shared"))
     prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.lit(at_least) * F.col("n") - 1e-9) + 1).select("id", "n", "h")
     met = prefix.alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.n") <= F.col("y.n")))
-    asked = written(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "asked-pairs")
+    asked = scratch.written(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "asked-pairs")
     side = lambda i, c: firsts.select(F.col("id").alias(i), F.col("s").alias(c))
     least = F.least(F.size("sa"), F.size("sb"))
     share = F.size(F.array_intersect("sa", "sb")) / least
     near = asked.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", share.alias("share")).where(F.col("share") >= at_least)
     copies = named.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("containment"))
-    return near.select("a", "b", F.round("share", 4).alias("containment")).unionByName(copies)
+    return scratch.result(near.select("a", "b", F.round("share", 4).alias("containment")).unionByName(copies), "near-pairs")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,24 +72,27 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Decided in rounds: whoever has no earlier undecided or kept partner stays, whoever has a kept one goes. A copy goes
     with or because of its first document; what has no partner, or no words, stays.
     """
-    pairs = written(near_pairs(docs, key, text).select("a", "b"), "near-pairs")
+    scratch = Scratch(docs.sparkSession, "keep-first")
+    pairs = scratch.written(near_pairs(docs, key, text).select("a", "b"), "pairs")
     open_ = pairs.select(F.col("b").alias("id")).union(pairs.select("a")).distinct()
     decided = None
     while True:
         blocked = pairs.join(open_.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        stays = written(open_.join(blocked, "id", "left_anti"), "stays")
-        goes = written(pairs.join(stays.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(open_, "id", "left_semi"), "goes")
+        stays = scratch.written(open_.join(blocked, "id", "left_anti"), "stays")
+        goes = scratch.written(pairs.join(stays.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(open_, "id", "left_semi"), "goes")
         step = stays.withColumn("kept", F.lit(True)).unionByName(goes.withColumn("kept", F.lit(False)))
         decided = step if decided is None else decided.unionByName(step)
-        open_ = written(open_.join(step.select("id"), "id", "left_anti"), "open")
+        open_ = scratch.written(open_.join(step.select("id"), "id", "left_anti"), "open")
         if open_.isEmpty():
             break
-    return docs.select(F.col(key).alias("id")).distinct().join(decided, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    all_ = docs.select(F.col(key).alias("id")).distinct().join(decided, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    return scratch.result(all_, "kept-first")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, containment) of benchmark items whose shingles a document holds by CONTAINED or more."""
     item = items.select("item_id", shingles(F.col("text")).alias("s")).select("item_id", F.size("s").alias("n"), F.explode_outer("s").alias("h")).where("h is not null")
+    item = bounded(written(item, "item-shingles"))
     doc = docs.select("doc_id", F.explode_outer(shingles(F.col("text"))).alias("h")).where("h is not null")
     made = doc.join(item, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
     return made.where(F.col("k") / F.col("n") >= CONTAINED).select("doc_id", "item_id", F.round(F.col("k") / F.col("n"), 4).alias("containment"))

@@ -45,10 +45,11 @@ def by_name(rows: DataFrame, name: str) -> DataFrame:
 
 
 def upserted(table: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``table`` with ``changes``: of the rows of one key the latest by ``order`` stays, and a change wins over what was there."""
+    """``table`` with ``changes``: of the rows of one key the latest by ``order`` stays, and a change wins over what was there.
+    Rows that are equal in ``order`` too are ordered by their other columns, from left to right."""
     rows = table.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
     rest = [c for c in table.columns if c not in keys]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_new", order)).alias("x"))
+    latest = rows.groupBy(*keys).agg(F.max(F.struct("_new", order, *[c for c in rest if c != order])).alias("x"))
     return latest.select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest]).select(*table.columns)
 
 
@@ -175,7 +176,7 @@ def _history(spark, d):
 def _upserted(spark, d):
     f = views.findings(spark, d).select("run_id", "idx", "relevance", F.col("url"))
     old, new = f.where("idx < 4"), f.where("idx > 2").withColumn("relevance", F.col("relevance") + 100)
-    return upserted(old.groupBy("run_id", "idx").agg(F.max_by("relevance", "url").alias("relevance"), F.max("url").alias("url")), new, ["run_id", "idx"], "url")
+    return upserted(old.groupBy("run_id", "idx").agg(F.max(F.struct("url", "relevance")).alias("x")).select("run_id", "idx", "x.relevance", "x.url"), new, ["run_id", "idx"], "url")
 
 
 def _facets(spark, d):
@@ -205,9 +206,9 @@ QUERIES = {
     ),
     "upserted_findings": (
         _upserted,
-        f"""with {views.FINDINGS_SQL}, o as (select run_id, idx, max_by(relevance, url) as relevance, max(url) as url, 0 as n from findings where idx < 4 group by all),
+        f"""with {views.FINDINGS_SQL}, o as (select run_id, idx, relevance, url, 0 as n from findings where idx < 4 qualify row_number() over (partition by run_id, idx order by url desc, relevance desc) = 1),
         u as (select * from o union all select run_id, idx, relevance + 100, url, 1 from findings where idx > 2)
-        select run_id, idx, relevance, url from u qualify row_number() over (partition by run_id, idx order by n desc, url desc) = 1""",
+        select run_id, idx, relevance, url from u qualify row_number() over (partition by run_id, idx order by n desc, url desc, relevance desc) = 1""",
     ),
     "deleted_runs": (
         lambda s, d: without_run(views.findings(s, d), _runs(s, d).where("status = 'queued' or id % 9 = 0").select(F.col("id").alias("run_id"))).groupBy("run_id").agg(F.count(F.lit(1)).alias("n")),

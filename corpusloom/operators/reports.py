@@ -52,13 +52,21 @@ def evidence_lines(lines: DataFrame, per_source: int = 3, most: int = 30) -> Dat
 def repeats(sentences: DataFrame, similar: float = 0.5, least: int = 8) -> DataFrame:
     """Sentences (report, section, pos, text) like an earlier one of another section: report, pos, earlier, similarity.
 
-    Only sentences of one report that share a word meet; a report is a bounded group.
+    Of a sentence only its rarest words in the report are joined: one of n words that is ``similar`` to another shares one of
+    its n - ceil(similar * n) + 1 rarest with it. Pairs are then counted on whole vocabularies. A report is a bounded group.
     """
     ready = sentences.select("report", "section", "pos", tx.vocabulary(F.col("text")).alias("v")).where(F.size("v") >= least)
     words = ready.select("report", "section", "pos", F.size("v").alias("n"), F.explode("v").alias("w"))
-    pairs = words.alias("a").join(words.alias("b"), (F.col("a.report") == F.col("b.report")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.pos") < F.col("b.pos")) & (F.col("a.section") != F.col("b.section")))
-    made = pairs.groupBy(F.col("b.report").alias("report"), F.col("b.pos").alias("pos"), F.col("a.pos").alias("earlier")).agg(F.count(F.lit(1)).alias("k"), F.first(F.col("a.n") + F.col("b.n")).alias("n"))
-    return made.withColumn("similarity", F.round(F.col("k") / (F.col("n") - F.col("k")), 4)).where(F.col("similarity") >= similar).drop("k", "n")
+    words = words.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("report", "w")))
+    place = F.row_number().over(W.partitionBy("report", "section", "pos").orderBy("df", "w"))
+    rare = words.withColumn("k", place).where(F.col("k") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1).where("df > 1").select("report", "section", "pos", "w")
+    met = rare.alias("a").join(rare.alias("b"), (F.col("a.report") == F.col("b.report")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.pos") < F.col("b.pos")) & (F.col("a.section") != F.col("b.section")))
+    pairs = met.select(F.col("a.report").alias("report"), F.col("a.section").alias("sa"), F.col("a.pos").alias("earlier"), F.col("b.section").alias("sb"), F.col("b.pos").alias("pos")).distinct()
+    side = lambda p, s, v: ready.select("report", F.col("section").alias(s), F.col("pos").alias(p), F.col("v").alias(v))
+    both = pairs.join(side("earlier", "sa", "va"), ["report", "sa", "earlier"]).join(side("pos", "sb", "vb"), ["report", "sb", "pos"])
+    k = F.size(F.array_intersect("va", "vb"))
+    made = both.select("report", "pos", "earlier", F.round(k / (F.size("va") + F.size("vb") - k), 4).alias("similarity"))
+    return made.where(F.col("similarity") >= similar)
 
 
 def kinds_by_head(candidates: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.citations import citation_ids
 from ..functions.text import let
 from ..sources import views
+from ..sources.scratch import bounded
 
 #: Quotes of fewer characters say too little to be looked for, and subjects of fewer.
 QUOTE_CHARS, SUBJECT_CHARS = 12, 3
@@ -96,11 +97,14 @@ def mentions(texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str
     A name folds to its ASCII letters and digits in lower case; so do runs of a text's words, and both meet in an
     equi-join. A run has at most as many words as the longest folded name has characters, and one that grows beyond that
     length ends, so a text gives rows in proportion to its words. A letter beyond ASCII ends a run. Names that fold to one
-    key are all named by it; a name without letters or digits is named nowhere.
+    key are all named by it; a name without letters or digits is named nowhere. Runs are grown from words alone that begin
+    some name, or a name's first word: at most three characters of each, so the list of beginnings is of bounded size.
     """
     named = names.select("name", folded(F.col("name")).alias("_key")).where("_key <> ''").distinct()
     longest = named.agg(F.coalesce(F.max(F.length("_key")), F.lit(0))).scalar()
     word = r"(?U)[A-Za-z0-9]+|[^\W_]"
+    heads = F.explode(F.array(*[F.substring("_key", 1, k) for k in (1, 2, 3)]))
+    begins = [r.h for r in named.select(heads.alias("h")).distinct().collect()]
     words = texts.select(key, F.regexp_extract_all(F.col(text), F.lit(word), F.lit(0)).alias("_w"), longest.alias("_most"))
 
     def grown(w: Column, i: Column, most: Column) -> Column:
@@ -113,9 +117,8 @@ def mentions(texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str
 
         return F.aggregate(F.slice(w, i + 1, F.greatest(most, F.lit(1))), start, take)["all"]
 
-    runs = words.select(key, F.explode(let(F.col("_w"), lambda w: F.flatten(F.transform(w, lambda x, i: grown(w, i, F.col("_most")))))).alias("_key"))
-    counted = runs.groupBy(key, "_key").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(named, "_key").select(key, "name", "n")
+    runs = words.select(key, F.explode(let(F.col("_w"), lambda w: F.flatten(F.filter(F.transform(w, lambda x, i: F.when(F.lower(F.substring(x, 1, 3)).isin(begins), grown(w, i, F.col("_most")))), lambda a: a.isNotNull())))).alias("_key"))
+    return runs.join(bounded(named), "_key").groupBy(key, "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 FACTS = [
