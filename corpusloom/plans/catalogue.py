@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions import asks, citations, coerce, text, urls
-from ..operators import candidates, dedup, excerpts, figures, finding_files, library, models, outcomes, pages, passages, reports, runs, screens, search, select
-from ..streaming import bench, bus
+from ..functions import asks, captions, charsets, citations, coerce, markdown, text, urls
+from ..operators import candidates, dedup, excerpts, figures, finding_files, library, minhash, models, outcomes, pages, passages, postings, reindex, reports, run_index, runs, screens, search, select, store, threads
+from ..streaming import bench, bus, idle
 from . import depth
 
-_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth, coerce, pages, reports, figures, candidates, asks, library, models, bus, excerpts, finding_files, screens)
+_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth, coerce, pages, reports, figures, candidates, asks, library, models, bus, excerpts, finding_files, screens, postings, run_index, threads, charsets, idle, minhash, reindex, markdown, captions, store)
 
 
 def flagship(spark, sf_dir):
