@@ -230,6 +230,16 @@ QUERIES = {
         _docs(lambda x: x.select("doc_id", est_tokens(F.col("text")).alias("est_tokens"), target_words(F.size(words(F.col("text")))).alias("target"), F.length(clip_text(F.col("text"), 3000, 500)).alias("clipped"), score_10(F.col("n_chars") % 120).alias("score"))),
         f"select doc_id, length(text) // 3 as est_tokens, cast(least(greatest(50 * len({_WORDS}), 900), 5000) as int) as target, cast(case when length(text) <= 3500 then length(text) else 3532 end as int) as clipped, cast(trunc(least(10.0, case when n_chars % 120 > 10 and n_chars % 120 <= 100 then (n_chars % 120) / 10 else n_chars % 120 end)) as int) as score from documents",
     ),
+    "vocabulary_likeness": (
+        _docs(lambda x: x.select("doc_id", F.round(jaccard(vocabulary(F.col("text")), vocabulary(F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")))), 6).alias("likeness"))),
+        f"""with a as (select doc_id, {_VOC} as a from documents), b as (select doc_id, {_VOC} as b from (select doc_id, substr(text, 1, length(text) // 2) as text from documents))
+        select doc_id, round(len(list_intersect(a, b)) / nullif(len(list_distinct(a || b)), 0), 6) as likeness from a join b using (doc_id)""",
+    ),
+    "texts_about": (
+        _docs(lambda x: x.select("doc_id", *[is_about(F.lit(q), F.col("text")).alias(f"about{k}") for k, q in enumerate(ASKED)])),
+        "with t as (select doc_id, " + _FTOK + " as t from documents), " + ", ".join(f"q{k} as (select {_FTOK} as w{k} from (select '{q}' as text))" for k, q in enumerate(ASKED))
+        + " select doc_id, " + ", ".join(f"len(w{k}) = 0 or len(list_intersect(w{k}, t)) >= least(len(w{k}), 2) as about{k}" for k in range(len(ASKED))) + " from t, " + ", ".join(f"q{k}" for k in range(len(ASKED))),
+    ),
     "claim_terms": (
         _bench(lambda x: x.select("item_id", F.size(claim_terms(F.col("text"))).alias("n"))),
         f"""with t as (select item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[0-9]+)?'), lambda t: case when regexp_full_match(replace(t, '.', ''), '[0-9]+') then length(t) >= 2 and not regexp_full_match(t, '(19|20)[0-9][0-9]')

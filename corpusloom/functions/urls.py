@@ -131,11 +131,11 @@ def suffixes(host: Column) -> Column:
 
 
 def without_domains(pages: DataFrame, domains: DataFrame, url: str = "url") -> DataFrame:
-    """``pages`` whose host is not under any row of ``domains`` (domain): one anti join on host suffixes."""
-    row = F.monotonically_increasing_id()
-    marked = pages.withColumn("_row", row)
-    hit = marked.select("_row", F.explode(suffixes(domain_of(F.col(url)))).alias("domain")).join(domains, "domain", "left_semi").select("_row").distinct()
-    return marked.join(hit, "_row", "left_anti").drop("_row")
+    """``pages`` whose host is not under any row of ``domains`` (domain): each host is looked up once, by its suffixes."""
+    marked = pages.withColumn("_host", domain_of(F.col(url)))
+    hosts = marked.select("_host").where("_host is not null").distinct()
+    hit = hosts.select("_host", F.explode(suffixes(F.col("_host"))).alias("domain")).join(domains, "domain", "left_semi").select("_host").distinct()
+    return marked.join(hit, "_host", "left_anti").drop("_host")
 
 
 def unseen(pages: DataFrame, seen: DataFrame, url: str = "url") -> DataFrame:

@@ -187,6 +187,10 @@ def _facets(spark, d):
 
 
 QUERIES = {
+    "first_by_name": (
+        lambda s, d: by_name(views.table(s, d, "documents").select(F.substring("text", 1, 24).alias("name"), "doc_id").where("name is not null"), "name").select("name").limit(100),
+        "select substr(text, 1, 24) as name from documents where text is not null order by lower(substr(text, 1, 24)), substr(text, 1, 24) limit 100",
+    ),
     "evergreen_runs": (
         lambda s, d: evergreen(_runs(s, d).withColumn("evergreen", F.col("id") % 3 == 0)).select("id", "owner"),
         f"with {_R} select id, owner from runs where id % 3 = 0 and status = 'completed'",

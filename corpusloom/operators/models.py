@@ -124,6 +124,11 @@ def _said(p: pd.Series) -> pd.Series:
 _Q = "list_distinct(list_filter(regexp_extract_all('" + ASK + "', '[a-z0-9]+'), lambda t: length(t) >= 3))"
 _SHARE = f"len(list_filter({_Q}, lambda t: list_contains({tx._TOK}, t))) / len({_Q})"
 QUERIES = {
+    "kept_items": (
+        lambda s, d: views.table(s, d, "events").select("event_id", F.array_join(kept_items(F.array(*[F.expr(e).cast("string") for e in ("event_id % 7", "event_id % 11 - 2", "event_id % 7", "event_id % 23", "'x'")]), 9), ",").alias("kept")),
+        """with a as (select event_id, list_filter([event_id % 7, abs(event_id % 11 - 2), event_id % 7, event_id % 23], lambda x: x between 1 and 9) as a from events)
+        select event_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ',') as kept from a""",
+    ),
     "model_stand_ins": (
         lambda s, d: answered(answered(_docs(s, d), triage(F.lit(ASK), F.col("text")), F.col("text")), notes(F.lit(ASK), F.col("text")), F.col("text")).select("doc_id", "read", "read_by", "relevance"),
         f"with s as (select doc_id, {_SHARE} as s from documents) select doc_id, s > 0 as read, 'stand-in' as read_by, cast(least(10, round_even(10 * s, 0)) as int) as relevance from s",

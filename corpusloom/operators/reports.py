@@ -187,6 +187,11 @@ def _asked(spark, d):
 
 
 QUERIES = {
+    "facet_names": (
+        lambda s, d: views.table(s, d, "documents").select("doc_id", F.md5(facet_name(F.concat(F.lit("A_"), "text"))).alias("digest")),
+        r"""with p as (select doc_id, trim(regexp_replace(lower(replace('A_' || text, '_', ' ')), '\s+', ' ', 'g')) as p from documents)
+        select doc_id, md5(case when length(p) <= 110 then p else regexp_replace(substr(p, 1, 110), ' [^ ]*$', '') end) as digest from p""",
+    ),
     "reranked_hits": (
         lambda s, d: reranked(_hits(s, d)).select("q", "id", "place"),
         """with h as (select vec_id % 25 as q, vec_id // 25 as rank, case when vec_id % 25 > 5 or vec_id % 4 > 0 then round(cast(embedding[2] as double), 4) end as second, vec_id as id from embeddings),

@@ -142,6 +142,15 @@ def _quotes(spark, d):
     return made.select("report", "k", "found")
 
 
+def _conflicts(spark, d):
+    """Of every document two pieces as conflicting quotes, both ways round, and one that is too short."""
+    x = views.table(spark, d, "documents").where("text is not null")
+    cut = lambda at, n=40: F.substring("text", at, n)
+    pair = lambda k, a, b: F.struct(F.lit(k).alias("pos"), cut(11, 8).alias("subject"), a.alias("a"), b.alias("b"))
+    pairs = x.select(F.col("doc_id").alias("report"), F.inline(F.array(pair(0, cut(11), cut(61)), pair(1, cut(61), cut(11)), pair(2, cut(11), cut(61, 8)))))
+    return conflict_pairs(pairs, _blocks(spark, d)).select("report", "pos")
+
+
 _LINES = "l as (select report, i - 1 as at, x || ' [' || ((report + i - 1) % 5) || ']' as t, (report + i - 1) % 5 as c from (select doc_id as report, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from documents))"
 _PLAIN = lambda e: rf"trim(regexp_replace(regexp_replace({e}, '[*`]', '', 'g'), '\s+', ' ', 'g'))"
 QUERIES = {
@@ -157,6 +166,16 @@ QUERIES = {
         f"""with q as (select doc_id as report, cast(k as int) as k, text, case k when 0 then '**' || substr(text, 31, 40) || '**' else 'zq ' || substr(text, 31, 40) end as quote from documents, range(2) r(k))
         select report, k, coalesce(length({_PLAIN('quote')}) >= 12 and contains({_PLAIN('text')}, {_PLAIN('quote')}), false) as found from q""",
     ),
+    "checked_conflicts": (
+        _conflicts,
+        f"""with {_LINES}, b as (select report, "at" as pos, {_PLAIN('t')} as t from l), p as (select doc_id as report, k, text, lower(regexp_replace(substr(text, 11, 8), '[^A-Za-z0-9]', '', 'g')) as s from documents, range(3) r(k) where text is not null),
+        q as (select report, k, s, {_PLAIN("substr(text, case k when 1 then 61 else 11 end, 40)")} as a, {_PLAIN("substr(text, case k when 1 then 11 else 61 end, case k when 2 then 8 else 40 end)")} as b from p),
+        g as (select * from q where length(a) >= 12 and length(b) >= 12 and length(s) >= 3 and not contains(a, b) and not contains(b, a)),
+        h as (select g.report, k, a, g.b, min(pos) filter (contains(t, a)) as ha, min(pos) filter (contains(t, g.b)) as hb, any_value(s) as s from g join b using (report) group by all),
+        n as (select h.report, h.k, least(a, h.b) as x, greatest(a, h.b) as y from h join b m on m.report = h.report and m.pos = h.ha join b o on o.report = h.report and o.pos = h.hb
+          where contains(regexp_replace(lower(m.t), '[^a-z0-9]', '', 'g'), s) and contains(regexp_replace(lower(o.t), '[^a-z0-9]', '', 'g'), s))
+        select report, cast(min(k) as int) as pos from n group by report, x, y""",
+    ),
     "name_mentions": (
         lambda s, d: mentions(views.table(s, d, "documents"), s.createDataFrame([(n,) for n in NAMES], "name string")),
         None,

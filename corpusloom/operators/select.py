@@ -256,7 +256,14 @@ QUERIES = {
         i as (select *, sum(case when upto is null or start > upto then 1 else 0 end) over (partition by doc_id order by start, e rows unbounded preceding) as i from m)
         select doc_id, min(start) as start, max(e) as "end", count(*) as spans from i group by doc_id, i""",
     ),
-    "budget_packing": (lambda s, d: pack_skipping(views.table(s, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 30_000), None),
+    "budget_packing": (
+        lambda s, d: pack_skipping(views.table(s, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 30_000),
+        """with recursive d as (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id) as k from documents),
+        p(source, k, doc_id, n_chars, packed, room) as (
+          select source, k, doc_id, n_chars, n_chars <= 30000, 30000 - case when n_chars <= 30000 then n_chars else 0 end from d where k = 1
+          union all select d.source, d.k, d.doc_id, d.n_chars, d.n_chars <= room, room - case when d.n_chars <= room then d.n_chars else 0 end from p join d on d.source = p.source and d.k = p.k + 1)
+        select source, doc_id, n_chars, packed from p""",
+    ),
     "budget_prefix": (
         lambda s, d: pack_prefix(views.table(s, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 30_000),
         "select source, doc_id, n_chars from documents qualify sum(n_chars) over (partition by source order by doc_id rows unbounded preceding) <= 30000",
