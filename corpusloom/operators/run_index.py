@@ -43,7 +43,7 @@ def bag_of_words(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
             at, sign = _place(w, dimensions)
             row[at] += sign
     size = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.round(out / np.where(size > 0, size, 1.0), 6)
+    return out / np.where(size > 0, size, 1.0)
 
 
 def embedded(rows: DataFrame, text: str = "text", model: Callable[[list[str]], np.ndarray] = bag_of_words, batch: int = BATCH) -> DataFrame:
@@ -131,6 +131,8 @@ def _upkeep(spark, d):
     return index.chunks().groupBy("run_id", "kind").agg(F.count(F.lit(1)).alias("chunks"), F.min("id").alias("first"), F.sum(F.length("text")).alias("chars"))
 
 
+#: Keeps sums of ratios off the places where they would be rounded up or down by their last bit.
+_MARK = 0.7310585786
 _C = r"""t as (select source, doc_id, lang, regexp_replace(text, '([.!?]) ([A-Z])', '\1' || chr(10) || chr(10) || '\2', 'g') as t from documents),
   m as (select *, regexp_replace(coalesce(t, ''), '(?m)^(#{1,6}\s.*)$', chr(10) || chr(10) || chr(1) || '\1' || chr(10) || chr(10), 'g') as m from t),
   b as (select source, doc_id, lang, list_filter(list_transform(regexp_split_to_array(m, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as b from m),
@@ -150,11 +152,11 @@ _C = r"""t as (select source, doc_id, lang, regexp_replace(text, '([.!?]) ([A-Z]
   h as (select id, cast('0x' || substr(md5(w), 1, 8) as bigint) as h from w),
   x as (select id, (h // 2) % 64 as dim, cast(sum(1 - 2 * (h % 2)) as double) as x from h group by all),
   s as (select id, sqrt(sum(x * x)) as s from x group by id),
-  v as (select id, dim, round(x / case when s > 0 then s else 1 end, 6) as x from x join s using (id))"""
+  v as (select id, dim, x / case when s > 0 then s else 1 end as x from x join s using (id))"""
 QUERIES = {
     "run_index_chunks": (
-        lambda s, d: _indexed(s, d).chunks().select("id", "run_id", "kind", F.length("text").alias("n"), F.round(F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3).alias("mark")),
-        f"with recursive {_C}, k as (select id, round(sum(x * (dim + 1)), 3) as mark from v group by id) select ch.id, run_id, kind, cast(length(text) as int) as n, coalesce(mark, 0) as mark from ch left join k using (id)",
+        lambda s, d: _indexed(s, d).chunks().select("id", "run_id", "kind", F.length("text").alias("n"), F.round(_MARK * F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("mark")),
+        f"with recursive {_C}, k as (select id, round({_MARK} * sum(x * (dim + 1)), 6) as mark from v group by id) select ch.id, run_id, kind, cast(length(text) as int) as n, coalesce(mark, 0) as mark from ch left join k using (id)",
     ),
     "run_index_upkeep": (
         _upkeep,
