@@ -20,7 +20,7 @@ from ..sources import views
 from ..sources.scratch import written
 from .dedup import CONTAINED, shingles
 
-BANDS, ROWS, ROUNDS = 32, 4, 4
+BANDS, ROWS, ROUNDS = 64, 2, 4
 #: Shingles whose minima are taken at once.
 SLICE = 200_000
 
