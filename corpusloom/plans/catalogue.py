@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from ..functions import asks, captions, charsets, citations, coerce, markdown, text, urls
-from ..operators import candidates, citecheck, dedup, excerpts, figures, finding_files, library, minhash, models, outcomes, pages, passages, picks, postings, reindex, reports, run_index, runs, screens, search, select, store, threads
+from ..operators import candidates, source_checks, dedup, excerpts, figures, finding_files, library, minhash, models, outcomes, pages, passages, picks, postings, reindex, reports, run_index, runs, screens, search, select, store, threads
 from ..streaming import bench, bus, idle
 from . import depth
 
-_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth, coerce, pages, reports, figures, candidates, asks, library, models, bus, excerpts, finding_files, screens, postings, run_index, threads, charsets, idle, minhash, reindex, markdown, captions, store, citecheck, picks)
+_MODULES = (outcomes, runs, urls, text, select, search, dedup, citations, passages, bench, depth, coerce, pages, reports, figures, candidates, asks, library, models, bus, excerpts, finding_files, screens, postings, run_index, threads, charsets, idle, minhash, reindex, markdown, captions, store, source_checks, picks)
 
 
 def flagship(spark, sf_dir):

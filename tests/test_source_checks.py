@@ -1,6 +1,6 @@
 """Which sentences are cited anew or rewritten, and which replies of a model are refused."""
 
-from corpusloom.operators import citecheck as cc
+from corpusloom.operators import source_checks as cc
 from corpusloom.operators.figures import claim_tokens
 from pyspark.sql import functions as F
 
