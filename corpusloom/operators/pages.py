@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import text as tx
 from ..functions import urls
 from ..sources import views
+from ..sources.scratch import Scratch, bounded
 
 # Fixed values.
 BOT_MARKERS = ("pow_challenge_data", "cf-browser-verification", "challenge-platform", "just a moment...", "checking your browser", "enable javascript and cookies to continue")
@@ -81,18 +82,33 @@ def select_references(links: DataFrame, query: str, per_source: int = 3) -> Data
 def fresh_queries(proposed: DataFrame, prior: list[str], breadth: int, near: float = 0.7) -> DataFrame:
     """Proposed queries (group, pos, query) unlike earlier ones and those accepted before them; the first ``breadth``.
 
-    Acceptance depends on what was accepted, so it is a fold over each group's array, which is as small as a round.
+    Acceptance depends on what was accepted, so each round takes every group's first query, after those that were taken,
+    that is like none of them: a minimum, of which tasks send one row a group, however large groups are.
     """
-    start = F.transform(F.array(*[F.lit(p) for p in prior]).cast("array<string>"), tx.facet_words)
-    ordered = proposed.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", "query"))).alias("qs"))
-    step = lambda a, x: tx.let(
-        tx.facet_words(x["query"]),
-        lambda w: F.when(F.exists(a["seen"], lambda p: (F.size(p) > 0) & (F.size(w) > 0) & (F.size(F.array_intersect(w, p)) / F.size(F.array_union(w, p)) >= near)), a).otherwise(
-            F.struct(F.concat(a["seen"], F.array(w)).alias("seen"), F.concat(a["out"], F.array(x["query"])).alias("out"))
-        ),
-    )
-    zero = F.struct(start.cast("array<array<string>>").alias("seen"), F.array().cast("array<string>").alias("out"))
-    return ordered.select("group", F.slice(F.aggregate("qs", zero, step)["out"], 1, breadth).alias("queries"))
+    scratch = Scratch(proposed.sparkSession, "fresh-queries")
+    words = tx.facet_words(F.col("query"))
+    rows = scratch.written(proposed.groupBy("group", "pos", "query").agg(F.count(F.lit(1)).cast("int").alias("n")).select("group", F.struct("pos", "query").alias("at"), words.alias("w"), "n"), "proposed")
+    start = F.transform(F.array(*[F.lit(p) for p in prior]).cast("array<string>"), tx.facet_words).cast("array<array<string>>")
+    none = F.lit(None).cast(rows.schema["at"].dataType)
+    taken = rows.select("group").distinct().select("group", start.alias("seen"), F.array().cast("array<string>").alias("out"), none.alias("last"), F.lit(True).alias("open"))
+    taken = scratch.written(taken, "taken")
+    like = F.exists("seen", lambda p: (F.size(p) > 0) & (F.size("w") > 0) & (F.size(F.array_intersect("w", p)) / F.size(F.array_union("w", p)) >= near))
+    for _ in range(breadth):
+        now = bounded(taken.where("open").withColumnRenamed("group", "_g"))
+        after = rows.join(now, F.col("group").eqNullSafe(F.col("_g"))).where((F.col("last").isNull() | (F.col("at") > F.col("last"))) & ~like)
+        first = after.groupBy("_g").agg(F.min(F.struct("at", "w", "n")).alias("x"), F.lit(True).alias("found"))
+        copies = F.when((F.size("x.w") == 0) | F.lit(near > 1), F.col("x.n")).otherwise(1)  # copies are alike, unless they have no words
+        made = taken.join(bounded(scratch.written(first, "first")), F.col("group").eqNullSafe(F.col("_g")), "left").select(
+            "group",
+            F.when(F.col("found"), F.concat("seen", F.array("x.w"))).otherwise(F.col("seen")).alias("seen"),
+            F.when(F.col("found"), F.concat("out", F.array_repeat("x.at.query", copies))).otherwise(F.col("out")).alias("out"),
+            F.coalesce("x.at", "last").alias("last"),
+            F.coalesce("found", F.lit(False)).alias("open"),
+        )
+        taken = scratch.written(made.withColumn("open", F.col("open") & (F.size("out") < breadth)), "taken")
+        if taken.where("open").isEmpty():
+            break
+    return scratch.result(taken.select("group", F.slice("out", 1, breadth).alias("queries")), "fresh-queries")
 
 
 def matrix_cells(entities: DataFrame, dimensions: DataFrame, cells: DataFrame) -> DataFrame:

@@ -165,3 +165,29 @@ def test_coercion(spark):
     assert one(spark, "Żółć Ğüş Ｆｕｌｌ ﬁt", coerce.slug) == "zoc-gus-full-fit"
     assert [one(spark, v, coerce.duration_label, "double") for v in (60.0, 1800.0, 5400.0)] == ["about a minute", "about 30 min", "about 1.5 h"]
     assert str(one(spark, "Mon, 05 Feb 2024 10:00:00 GMT", coerce.published)) == "2024-02-05" and one(spark, "soon", coerce.published) is None
+
+
+def test_fresh_queries_of_a_large_group_follow_a_fold(spark):
+    """Whatever a group's size, tasks send a row a group and round; the values are those of the fold."""
+    import random
+
+    from corpusloom.operators import pages
+
+    rng = random.Random(3)
+    word = lambda: rng.choice("lora range antenna gain solar panel".split())
+    rows = [(g, rng.randrange(30), rng.choice(["", None, "of the", " ".join(word() for _ in range(rng.randrange(1, 5)))])) for g in ("a", "b", None) for _ in range(40)]
+    rows += [("none", 1, "prior words here"), ("two", 1, ""), ("two", 1, ""), ("two", 1, "x1 y1")]
+    df = spark.createDataFrame(rows, "group string, pos long, query string")
+    words = {r.query: r.w for r in df.select("query", pages.tx.facet_words(F.col("query")).alias("w")).collect()} | {"prior words here": ["prior", "word", "here"]}
+    for breadth in (0, 1, 8):
+        want = {}
+        for g in {r[0] for r in rows}:
+            seen, out = [set(words["prior words here"])], []
+            for _, q in sorted((r[1:] for r in rows if r[0] == g), key=lambda x: (x[0], x[1] is not None, x[1] or "")):
+                w = set(words[q])
+                if not any(p and w and len(p & w) / len(p | w) >= 0.7 for p in seen):
+                    seen, out = [*seen, w], [*out, q]
+            want[g] = out[:breadth]
+        found = pages.fresh_queries(df, ["prior words here"], breadth)
+        assert {r.group: r.queries for r in found.collect()} == want
+    assert "collect_list" not in pages.fresh_queries(df, [], 2)._jdf.queryExecution().toString()
