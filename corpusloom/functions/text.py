@@ -35,9 +35,22 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def _except(found: Column, stop: list[str]) -> Column:
+    """Distinct elements but ``stop``; sets of words are made without lambdas, which run word by word uncompiled."""
+    return F.array_except(found, F.array(*[F.lit(w) for w in stop]))
+
+
+def _rewritten(found: Column, *changes: tuple[str, str]) -> Column:
+    """Distinct words after the replacements, made in all of them at once; a word is bounded by spaces or the ends."""
+    joined = F.array_join(found, " ")
+    for pattern, new in changes:
+        joined = F.regexp_replace(joined, pattern, new)
+    return F.array_remove(F.array_distinct(F.split(joined, " ")), "")
+
+
 def content_tokens(text: Column) -> Column:
     """Distinct ASCII words of three letters or more that are not stop words."""
-    return F.array_distinct(F.filter(words(text), lambda t: (F.length(t) >= 3) & ~t.isin(*STOPWORDS)))
+    return _except(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{3,}"), F.lit(0)), STOPWORDS)
 
 
 def stem_token(t: Column) -> Column:
@@ -46,8 +59,15 @@ def stem_token(t: Column) -> Column:
     return F.when((n > 5) & t.endswith("ing"), cut(3)).when((n > 5) & t.endswith("ed"), cut(2)).when((n > 4) & t.endswith("s") & ~t.endswith("ss"), cut(1)).otherwise(t)
 
 
+#: What ``stem_token`` and ``facet_stem`` cut, at the ends of words between spaces; what stands before is looked at last.
+_STEMMED = (r"(?:ing(?= |$)(?<=[a-z0-9]{3}ing)|ed(?= |$)(?<=[a-z0-9]{4}ed)|s(?= |$)(?<=[a-z0-9]{3}[a-rt-z0-9]s))", "")
+#: SUFFIXES in groups of which a word ends in one at most, longer ones first.
+_GROUPS = ("ations?", "ments?", "it(?:ies|y)", "i(?:son|ngs?|es)", "e(?:rs?|s|d)", "s")
+_FACET_STEMMED = ("(?=[aeims])(?:" + "|".join(f"{x}(?= |$)(?<=[a-z0-9]{{3}}{x})" for x in _GROUPS) + ")", "")
+
+
 def vocabulary(text: Column) -> Column:
-    return F.array_distinct(F.transform(content_tokens(text), stem_token))
+    return _rewritten(content_tokens(text), _STEMMED)
 
 
 def facet_stem(t: Column) -> Column:
@@ -60,7 +80,8 @@ def facet_stem(t: Column) -> Column:
 
 
 def facet_words(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(words(text), lambda t: (F.length(t) >= 2) & ~t.isin(*FILLER)), facet_stem))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    return _rewritten(_except(found, FILLER), _FACET_STEMMED)
 
 
 def overlap(query: Column, text: Column) -> Column:
@@ -70,22 +91,32 @@ def overlap(query: Column, text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct words; null where both are empty."""
-    return F.when(F.size(F.array_union(a, b)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    both = F.size(a) + F.size(b)
+    return F.when(both > 0, let(F.size(F.array_intersect(a, b)), lambda k: k / (both - k)))
 
 
 def is_about(facet: Column, text: Column) -> Column:
     """The text holds two of the facet's words, or its only one."""
-    return let(facet_words(facet), lambda w: (F.size(w) == 0) | (F.size(F.array_intersect(w, facet_words(text))) >= F.least(F.size(w), F.lit(2))))
+    return words_are_about(facet_words(facet), facet_words(text))
+
+
+def words_are_about(facet: Column, text: Column) -> Column:
+    """``is_about`` of the facet words of both."""
+    return (F.size(facet) == 0) | (F.size(F.array_intersect(facet, text)) >= F.least(F.size(facet), F.lit(2)))
 
 
 def normalized(text: Column) -> Column:
     """Lower case, only a-z, 0-9 and single spaces: what quotes are compared by."""
-    t = F.translate(F.coalesce(text, F.lit("")), "‘’“”–— ", "''\"\"-- ")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
 
 
 def quote_is_verbatim(quote: Column, text: Column) -> Column:
     """Within the text, or six words in ten of its six-word runs are; under 12 characters there is nothing to check."""
+    return let(normalized(text), lambda t: normalized_is_verbatim(quote, t))
+
+
+def normalized_is_verbatim(quote: Column, text: Column) -> Column:
+    """``quote_is_verbatim`` of a text that is ``normalized``."""
 
     def check(q: Column, t: Column) -> Column:
         w = F.split(q, " ")
@@ -93,7 +124,7 @@ def quote_is_verbatim(quote: Column, text: Column) -> Column:
         share = let(grams, lambda g: F.size(F.filter(g, lambda x: t.contains(x))) / F.size(g) >= 0.6)
         return F.when(F.length(q) < 12, True).when(t.contains(q), True).when(F.size(w) < 8, False).otherwise(share)
 
-    return let(normalized(quote), lambda q: let(normalized(text), lambda t: check(q, t)))
+    return let(normalized(quote), lambda q: check(q, text))
 
 
 def sentences(text: Column) -> Column:
@@ -105,19 +136,21 @@ def repair_quote(quote: Column, text: Column) -> Column:
     """The first sentence that is most like the quote, if similar by half; 200 characters of it."""
 
     def best(q: Column) -> Column:
-        scored = F.transform(sentences(text), lambda s: F.struct(F.coalesce(jaccard(q, vocabulary(s)), F.lit(0.0)).alias("score"), s.alias("s")))
+        scored = F.transform(sentences(text), lambda s: F.struct(F.coalesce(let(vocabulary(s), lambda v: jaccard(q, v)), F.lit(0.0)).alias("score"), s.alias("s")))
         top = F.aggregate(scored, F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("s")), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
         return F.when((F.size(q) >= 4) & (top["score"] >= 0.5), F.substring(top["s"], 1, 200))
 
     return let(vocabulary(quote), best)
 
 
+#: Words of one or two characters but two digits, and years, with the space after them.
+_TOO_LITTLE = (r"(?<![^ ])(?:[a-z0-9]|[a-z][a-z0-9]|[0-9][a-z]|(?:19|20)[0-9]{2})(?: |$)", "")
+
+
 def claim_terms(text: Column) -> Column:
     """Stemmed content words and numbers of two characters or more, without years."""
     found = F.regexp_extract_all(F.regexp_replace(F.lower(text), r"(?<=\d),(?=\d)", ""), F.lit(r"[a-z0-9]+(?:\.[0-9]+)?"), F.lit(0))
-    number = lambda t: F.replace(t, F.lit("."), F.lit("")).rlike("^[0-9]+$")
-    keep = F.filter(found, lambda t: F.when(number(t), (F.length(t) >= 2) & ~t.rlike(f"^{YEAR}$")).otherwise((F.length(t) >= 3) & ~t.isin(*STOPWORDS)))
-    return F.array_distinct(F.transform(keep, lambda t: F.when(number(t), t).otherwise(stem_token(t))))
+    return _rewritten(_except(found, STOPWORDS), _TOO_LITTLE, _STEMMED)  # numbers and what ends in one have no suffix
 
 
 def distinctive_numbers(text: Column) -> Column:
@@ -231,12 +264,12 @@ QUERIES = {
         f"select doc_id, length(text) // 3 as est_tokens, cast(least(greatest(50 * len({_WORDS}), 900), 5000) as int) as target, cast(case when length(text) <= 3500 then length(text) else 3532 end as int) as clipped, cast(trunc(least(10.0, case when n_chars % 120 > 10 and n_chars % 120 <= 100 then (n_chars % 120) / 10 else n_chars % 120 end)) as int) as score from documents",
     ),
     "vocabulary_likeness": (
-        _docs(lambda x: x.select("doc_id", F.round(jaccard(vocabulary(F.col("text")), vocabulary(F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")))), 6).alias("likeness"))),
+        _docs(lambda x: x.select("doc_id", vocabulary(F.col("text")).alias("a"), vocabulary(F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))).alias("b")).select("doc_id", F.round(jaccard(F.col("a"), F.col("b")), 6).alias("likeness"))),
         f"""with a as (select doc_id, {_VOC} as a from documents), b as (select doc_id, {_VOC} as b from (select doc_id, substr(text, 1, length(text) // 2) as text from documents))
         select doc_id, round(len(list_intersect(a, b)) / nullif(len(list_distinct(a || b)), 0), 6) as likeness from a join b using (doc_id)""",
     ),
     "texts_about": (
-        _docs(lambda x: x.select("doc_id", *[is_about(F.lit(q), F.col("text")).alias(f"about{k}") for k, q in enumerate(ASKED)])),
+        _docs(lambda x: x.select("doc_id", facet_words(F.col("text")).alias("w")).select("doc_id", *[words_are_about(facet_words(F.lit(q)), F.col("w")).alias(f"about{k}") for k, q in enumerate(ASKED)])),
         "with t as (select doc_id, " + _FTOK + " as t from documents), " + ", ".join(f"q{k} as (select {_FTOK} as w{k} from (select '{q}' as text))" for k, q in enumerate(ASKED))
         + " select doc_id, " + ", ".join(f"len(w{k}) = 0 or len(list_intersect(w{k}, t)) >= least(len(w{k}), 2) as about{k}" for k in range(len(ASKED))) + " from t, " + ", ".join(f"q{k}" for k in range(len(ASKED))),
     ),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import claim_terms, quote_is_verbatim, repair_quote
+from ..functions.text import claim_terms, normalized, normalized_is_verbatim, repair_quote
 from ..sources import views
 
 EVIDENCE = 1200
@@ -107,8 +107,8 @@ def _docs(spark, d):
 def _quotes(spark, d):
     """Every document with a quote that stands in it, and one that does not."""
     x = _docs(spark, d)
-    own = F.substring("text", 20, 120)
-    return x.select("doc_id", quote_is_verbatim(own, F.col("text")).alias("own"), quote_is_verbatim(F.reverse(own), F.col("text")).alias("reversed"))
+    x = x.select("doc_id", F.substring("text", 20, 120).alias("q"), normalized(F.col("text")).alias("t"))
+    return x.select("doc_id", normalized_is_verbatim(F.col("q"), F.col("t")).alias("own"), normalized_is_verbatim(F.reverse("q"), F.col("t")).alias("reversed"))
 
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower(translate(TEXT, '‘’“”–—' || chr(160), '''''' || chr(34) || chr(34) || '-- ')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"

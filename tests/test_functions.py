@@ -191,3 +191,25 @@ def test_fresh_queries_of_a_large_group_follow_a_fold(spark):
         found = pages.fresh_queries(df, ["prior words here"], breadth)
         assert {r.group: r.queries for r in found.collect()} == want
     assert "collect_list" not in pages.fresh_queries(df, [], 2)._jdf.queryExecution().toString()
+
+
+def test_words_are_made_without_lambdas_and_stemmed_alike(spark):
+    """Sets of words were filtered and stemmed word by word in lambdas; the values are those of the word functions."""
+    odd = "stations ations xities cities ies running ing king used seed glasses class gas 2024 1999 12 5 1.5 v1.2 a a1 abs prison bison ity city the İK"
+    df = spark.createDataFrame([(odd,), (odd.upper() + " Ünïted",), ("",), (None,)], "x string")
+    c = F.col("x")
+    by_word = lambda stop, n, stem: F.array_distinct(F.transform(F.filter(text.words(c), lambda t: (F.length(t) >= n) & ~t.isin(*stop)), stem))
+    for made, want in ((text.vocabulary(c), by_word(text.STOPWORDS, 3, text.stem_token)), (text.facet_words(c), by_word(text.FILLER, 2, text.facet_stem))):
+        got = df.select(made.alias("a"), want.alias("b"))
+        assert all(r.a == r.b for r in got.collect())
+    for made in (text.vocabulary(c), text.facet_words(c), text.content_tokens(c), text.claim_terms(c)):
+        assert "lambda" not in df.select(made)._jdf.queryExecution().toString().lower()
+
+
+def test_figure_stats_take_sentences_without_their_places(spark):
+    from corpusloom.operators import figures
+
+    df = spark.createDataFrame([(1, "It has 24 GB [1]. Nothing here. No. 3 is unknown. In 2024 it was."), (2, None)], "doc_id long, text string")
+    made = figures.figure_stats(df)
+    assert {(r.doc_id, r.sentences, r.with_figures, r.cited, r.absent) for r in made.collect()} == {(1, 4, 1, 1, 1), (2, 1, 0, 0, 0)}
+    assert "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1].lower()  # it summed the lengths of all sentences before each
