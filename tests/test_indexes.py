@@ -177,3 +177,15 @@ def test_pairs_of_questions_and_documents_are_never_rows(spark, tmp_path):
     found = index.search(spark.createDataFrame(asked, "q long, text string"), 3)
     assert "Arrow" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.q, r["rank"], r.doc, r.score) for r in found.collect()) == sorted(by_hand(index.docs().collect(), asked, 3))
+
+
+def test_postings_leave_a_task_in_large_batches():
+    """Every document was a batch of its own; now documents share batches of about BATCH rows."""
+    import pyarrow as pa
+
+    n = 500
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([None, "Cat"] * (n // 2)), pa.array([f"cat Öl w{k}" for k in range(n)]), pa.array(["r"] * n)], names=["doc", "title", "body", "run_id"])
+    made = list(postings._terms(iter([b])))
+    assert len(made) == 1 and made[0].schema.names == ["term", "doc", "tf", "run_id"]
+    rows = {(r["doc"], r["term"]): r["tf"] for r in made[0].to_pylist()}
+    assert len(rows) == 3 * n and rows[1, "cat"] == 2 and rows[2, "cat"] == 1 and rows[7, "w7"] == 1 and rows[7, "l"] == 1
