@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from urllib.parse import unquote
@@ -39,9 +40,9 @@ def bag_of_words(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """Unit vectors of hashed word counts with signs; a text without words is zero throughout."""
     out = np.zeros((len(texts), dimensions))
     for row, text in zip(out, texts, strict=True):
-        for w in re.findall("[a-z0-9]+", text.lower()):
+        for w, n in Counter(re.findall("[a-z0-9]+", text.lower())).items():
             at, sign = _place(w, dimensions)
-            row[at] += sign
+            row[at] += sign * n
     size = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.where(size > 0, size, 1.0)
 
@@ -53,15 +54,16 @@ def embedded(rows: DataFrame, text: str = "text", model: Callable[[list[str]], n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(place).to_pylist()]
-            made: list = []
-            for k in range(0, len(texts), batch):
-                part = texts[k : k + batch]
+            for k in range(0, b.num_rows, batch):  # no more rows than the model sees are held as Python values
+                rows = b.slice(k, batch)
+                part = [t or "" for t in rows.column(place).to_pylist()]
                 found = model(part)
                 if len(found) != len(part):
                     raise ValueError(f"the model returned {len(found)} vectors for {len(part)} texts")
-                made += [np.asarray(v, float).tolist() for v in found]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.float64()))], names=names)
+                made = [np.asarray(v, float) for v in found]
+                ends = np.cumsum([0, *map(len, made)])
+                vectors = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, vectors], names=names)
 
     return rows.mapInArrow(run, rows.withColumn("vector", F.array().cast("array<double>")).schema)
 

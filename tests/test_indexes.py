@@ -189,3 +189,10 @@ def test_postings_leave_a_task_in_large_batches():
     assert len(made) == 1 and made[0].schema.names == ["term", "doc", "tf", "run_id"]
     rows = {(r["doc"], r["term"]): r["tf"] for r in made[0].to_pylist()}
     assert len(rows) == 3 * n and rows[1, "cat"] == 2 and rows[2, "cat"] == 1 and rows[7, "w7"] == 1 and rows[7, "l"] == 1
+
+
+def test_embedded_rows_are_whole_and_words_count_as_often_as_they_stand(spark):
+    df = spark.range(200).select("id", F.lit("a b").alias("text")).coalesce(1)
+    assert run_index.embedded(df, batch=32).where("size(vector) = 64").select("id").distinct().count() == 200
+    v = run_index.bag_of_words(["a a b"]) * math.sqrt(5)
+    assert sorted(abs(v[v != 0]).round(9)) == [1, 2]
