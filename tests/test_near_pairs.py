@@ -59,6 +59,29 @@ def test_shingles_of_one_document_alone_are_dealt_once_and_never_written(spark,
     assert sum(n for _, n in put) == 2 * 83
 
 
+@pytest.mark.parametrize("block", [3, 500])
+def test_pairs_are_counted_in_blocks_of_any_size(spark, monkeypatch, block):
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    rows = texts(200, seed=9)
+    got = [tuple(r) for r in dedup.near_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len(got) == len(set(got)) and set(got) == by_hand(rows)
+
+
+def test_a_set_travels_once_a_block_and_not_once_a_pair(spark, monkeypatch):
+    """40 texts of one template are 780 pairs; each carried a whole set."""
+    rows = [(k, " ".join([f"t{j}" for j in range(60)] + [f"own{k}"])) for k in range(40)]
+    carried, counted = spark.sparkContext.accumulator(0), dedup._counted
+
+    def counting(batches):
+        for b in batches:
+            carried.add(len(b.column("s").drop_null()))
+            yield from counted(iter([b]))
+
+    monkeypatch.setattr(dedup, "_counted", counting)
+    made = dedup.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(made) == 780 and {r.containment for r in made} == {round(53 / 54, 4)} and carried.value == 40
+
+
 @pytest.mark.parametrize("at_once", [1, 60, 10**6])
 def test_sets_of_slices_are_those_of_texts(spark, monkeypatch, at_once):
     import pyarrow as pa
