@@ -9,15 +9,17 @@ buckets and not with their squares. What is unlike the centres of all ROUNDS is
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..sources import views
-from ..sources.scratch import written
+from ..sources.scratch import bounded, written
 from .dedup import CONTAINED, shingles
 
 BANDS, ROWS, ROUNDS = 64, 2, 4
@@ -48,7 +50,8 @@ def _minima(values: np.ndarray, starts: np.ndarray, factors: np.ndarray) -> np.n
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, n, sig) of every document with words: its number of shingles and its minima."""
+    """(id, n, sig, digest) of every document with words: its number of shingles, the low halves of its minima, and a digest of
+    both."""
     sets = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), shingles(F.col(text)).alias("s")).where(F.size("s") > 0)
     factors = _factors(bands * rows)
     kind = sets.schema["id"].dataType.simpleString()
@@ -61,12 +64,14 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", bands:
             i = 0
             while i < b.num_rows:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
-                made = _minima(values[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], factors).view(np.int64)
+                n = np.diff(offsets[i : j + 1]).astype(np.int64)
+                made = _minima(values[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], factors).astype(np.uint32).view(np.int32)
+                digests = [hashlib.blake2b(x.tobytes(), digest_size=16, salt=int(k).to_bytes(8, "little")).digest() for x, k in zip(made, n, strict=True)]
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, made.shape[1]), pa.int32()), pa.array(made.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(offsets[i : j + 1]).astype(np.int64)), sig], names=["id", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), sig, pa.array(digests, pa.binary())], names=["id", "n", "sig", "digest"])
                 i = j
 
-    return sets.mapInArrow(run, f"id {kind}, n long, sig array<long>")
+    return sets.mapInArrow(run, f"id {kind}, n long, sig array<int>, digest binary")
 
 
 def _contained(sa: Column, sb: Column, na: Column, nb: Column) -> Column:
@@ -79,21 +84,23 @@ def _contained(sa: Column, sb: Column, na: Column, nb: Column) -> Column:
 def near_links(docs: DataFrame, key: str = "doc_id", text: str = "text", at_least: float = CONTAINED, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """(a, b, containment): links between documents whose estimated containment reaches ``at_least``, a < b, and 1.0 from
     the first of equal signatures to the others. Groups are the connected ones; not every pair of a group is a link."""
-    sigs = written(signatures(docs, key, text, bands, rows).withColumn("digest", F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.array_join(F.transform("sig", lambda x: x.cast("string")), ",")), 256)), "signatures")
-    first = written(sigs.groupBy("digest").agg(F.min("id").alias("first")), "first-signatures")
-    copies = sigs.select("id", "digest").join(first, "digest").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("containment"))
-    own = sigs.join(first, (sigs.digest == first.digest) & (sigs.id == first["first"]), "left_semi").select("id", "n", "sig")
+    sigs = written(signatures(docs, key, text, bands, rows), "signatures")
+    named = sigs.select("id", "digest").join(sigs.groupBy("digest").agg(F.min("id").alias("first")), "digest")
+    copies = written(named.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("containment")), "copies")
+    own = sigs.join(bounded(copies.select(F.col("b").alias("id"))), "id", "left_anti").select("id", "n", "sig")
     cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * rows + 1, rows)))
-    met = written(own.select("id", F.explode(cut).alias("bucket")), "buckets")
+    met = own.select("id", F.explode(cut).alias("bucket"))
     found = copies
     side = lambda p: own.select(F.col("id").alias(p), F.col("n").alias(f"n{p}"), F.col("sig").alias(f"s{p}"))
-    for _ in range(rounds):
-        centre = met.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "a")
-        asked = written(met.join(centre, "bucket").where("id > a").select("bucket", "a", F.col("id").alias("b")), "asked")
+    for k in range(rounds):
+        asked = written(met.withColumn("a", F.min("id").over(W.partitionBy("bucket"))).where("id > a").select("bucket", "a", F.col("id").alias("b")), "asked")
+        if k == 0:  # who is alone in all buckets is asked for no more
+            some = asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct()
+            own = written(own.join(bounded(written(some, "met")), "id", "left_semi"), "met-signatures")
         pairs = asked.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
         scored = written(pairs.select("a", "b", _contained(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb")).alias("c")), "scored")
         found = found.unionByName(scored.where(F.col("c") >= at_least).select("a", "b", F.round("c", 4).alias("containment")))
-        met = written(asked.join(scored.where(F.col("c") < at_least), ["a", "b"], "left_semi").select("bucket", F.col("b").alias("id")), "buckets")
+        met = asked.join(scored.where(F.col("c") < at_least), ["a", "b"], "left_semi").select("bucket", F.col("b").alias("id"))
     return found.distinct()
 
 

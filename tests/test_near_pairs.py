@@ -5,7 +5,7 @@ import re
 
 import pytest
 from corpusloom.functions import shingling
-from corpusloom.operators import dedup
+from corpusloom.operators import dedup, minhash
 from pyspark.sql import functions as F
 
 
@@ -97,3 +97,20 @@ def test_sets_of_slices_are_those_of_texts(spark, monkeypatch, at_once):
     assert {k: len(s) for k, s in found.items()} == size == {k: len(of.get(k, ())) for k, _ in rows}
     for k, s in found.items():
         assert known.setdefault(s, frozenset(of.get(k, ()))) == frozenset(of.get(k, ()))
+
+
+def test_minhash_carries_signatures_of_those_that_met(spark, monkeypatch):
+    """Signatures had 8 bytes a minimum, every round joined those of all documents, and all buckets were written."""
+    rows = [(k, " ".join(f"d{k}x{j}" for j in range(50))) for k in range(30)] + [(30, " ".join([*(f"d0x{j}" for j in range(50)), "more"])), (31, "..."), (None, "one")]
+    put, written = {}, minhash.written
+
+    def seen(df, what):
+        made = written(df, what)
+        put.setdefault(what, []).append(made.count())
+        return made
+
+    monkeypatch.setattr(minhash, "written", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.a, r.b) for r in minhash.near_links(docs).collect()] == [(0, 30)]
+    assert put["met-signatures"] == [2] and sum(put["asked"]) <= 64 and "buckets" not in put
+    assert dict(minhash.signatures(docs).dtypes)["sig"] == "array<int>" and minhash.signatures(docs).count() == 31
