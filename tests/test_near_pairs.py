@@ -44,6 +44,22 @@ def test_near_pairs_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 200 and len({c for *_, c in want}) > 20
 
 
+def test_keep_first_compares_copies_with_all_that_are_kept(spark):
+    """A copy of a text that went because of a kept one was kept: it had been held against its first document alone."""
+    made = [t for _, t in texts(160, seed=3)]
+    rows = list(enumerate(made + made[::2]))
+    want, kept, of = {}, [], sets(rows)
+    for k, _ in rows:
+        s = of.get(k)
+        want[k] = s is None or not any(len(s & o) / min(len(s), len(o)) >= 0.7 for o in kept)
+        kept += [s] * (s is not None and want[k])
+    assert sum(not want[k] for k in range(0, 160, 2)) > 20 and sum(want.values()) > 40
+    assert dict(dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+    base = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(0, base), (1, base + " tail"), (2, base + " tail"), (3, base + " TAIL"), (4, None)], "doc_id long, text string")
+    assert dict(dedup.keep_first(docs).collect()) == {0: True, 1: False, 2: False, 3: False, 4: True}
+
+
 def test_shingles_of_one_document_alone_are_dealt_once_and_never_written(spark, monkeypatch):
     """All sets were written twice, and each of their shingles was dealt three times; now only what several hold goes on."""
     rows = [(k, " ".join(f"d{k}x{j}" for j in range(100))) for k in range(30)] + [(30, " ".join(f"d0x{j}" for j in range(90)))]
