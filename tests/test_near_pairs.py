@@ -130,3 +130,31 @@ def test_minhash_carries_signatures_of_those_that_met(spark, monkeypatch):
     assert [(r.a, r.b) for r in minhash.near_links(docs).collect()] == [(0, 30)]
     assert put["met-signatures"] == [2] and sum(put["asked"]) <= 64 and "buckets" not in put
     assert dict(minhash.signatures(docs).dtypes)["sig"] == "array<int>" and minhash.signatures(docs).count() == 31
+
+
+@pytest.mark.parametrize(("bands", "rows", "block"), [(64, 2, 2000), (4, 1, 2000), (4, 1, 7), (3, 2, 2)])
+def test_minhash_compares_all_that_share_a_band(spark, monkeypatch, bands, rows, block):
+    """Of a bucket, what was unlike the centres of four rounds was linked to nothing, nor a near one of a centre to the rest."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r = random.Random(7)
+    passage = " ".join(f"p{k}" for k in range(40))
+    families = [[f"f{f}x{k}" for k in range(60)] for f in range(24)]
+    made = [passage + " " + " ".join(w[: r.choice([30, 45, 60])] + [f"own{r.randrange(10**6)}"] * r.choice([1, 1, 5])) for w in families for _ in range(4)]
+    r.shuffle(made)
+    docs = spark.createDataFrame([(f"d{k:03}", t) for k, t in enumerate(made)], "doc_id string, text string")
+    known = {x.id: (x.n, x.sig) for x in minhash.signatures(docs, bands=bands, rows=rows).collect()}
+    near = set()
+    for a in known:
+        for b in known:
+            (m, s), (n, t) = known[a], known[b]
+            j = sum(x == y for x, y in zip(s, t, strict=True)) / len(s)
+            if a < b and any(s[k : k + rows] == t[k : k + rows] for k in range(0, len(s), rows)) and j / (1 + j) * (m + n) / min(m, n) >= 0.7:
+                near.add((a, b))
+    root = {}
+    for links in (near, {(x.a, x.b) for x in minhash.near_links(docs, bands=bands, rows=rows).collect()}):
+        assert links <= near
+        root[len(root)] = of = dict(zip(known, known, strict=True))
+        for a, b in sorted(links):
+            low, high = sorted((of[a], of[b]))
+            of.update({k: low for k, v in of.items() if v == high})
+    assert root[0] == root[1] and 1 < len(set(root[0].values())) < len(known)
